@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.shared import HOT_PARTS, SALTS, lookup, shared_dir, whole, written
+from wayfold.llm.shared import HOT_PARTS, SALTS, keep_documents, lookup, shared_dir, whole, written
 
 #: Distinct keys that a bucket holds before it splits.
 BUCKET_KEYS = 4096
@@ -103,13 +103,5 @@ def exact_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", c
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without exact copies, with all its columns."""
-    stay = exact_classes(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha0", F.sha2(whole(F.col(text)), 256))
-    kept = marked.join(stay, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_sha0") == F.col("_sha")), "left_semi")
-    # Rows that repeat id and text are one document; the rest of their columns come from any of them.
-    again = marked.groupBy(doc_id, "_sha0").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    if again.isEmpty():
-        return kept.drop("_sha0")
-    again = again.select(F.col(doc_id).alias("_id"), F.col("_sha0").alias("_sha"))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_sha0") == F.col("_sha"))
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id, "_sha0"])).drop("_sha0")
+    stay = exact_classes(docs, doc_id, text).where("kept")
+    return keep_documents(docs, stay.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), doc_id, text)

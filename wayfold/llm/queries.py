@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat_format, exact_dedup, url_filter
+from wayfold.llm import chat_format, exact_dedup, mixing, packing, simhash, url_filter
 from wayfold.llm.shared import whole
 
 #: The site rules of op1, and the conversation that op2 adds.
@@ -93,5 +93,21 @@ k AS (SELECT text, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM g
 SELECT g.doc_id, k.keep_id, k.group_size, g.doc_id = k.keep_id AS kept, sha256(g.text) AS text_sha256
 FROM g JOIN k ON g.text = k.text"""
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_chat_format": op2_chat_format, "op3_exact_dedup": op3_exact_dedup}
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), ["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), ["doc_id"], keep_ids=False)
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))
+    found = simhash.near_classes(read(spark, sf_dir, "documents"), ["doc_id"], order)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_chat_format": op2_chat_format, "op3_exact_dedup": op3_exact_dedup, "op4_source_mix": op4_source_mix, "op8_packing": op8_packing, "op10_simhash": op10_simhash}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL}

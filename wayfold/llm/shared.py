@@ -80,3 +80,16 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], total: int, deal:
     marked = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(deal), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("_hot")
     spread = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return marked.join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
+def keep_documents(docs: DataFrame, stay: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of docs whose id and text are in stay (_id, _sha: SHA-256 in hex), repeated rows once."""
+    marked = docs.withColumn("_sha0", F.sha2(whole(F.col(text)), 256))
+    named = lambda d: d.select(F.col("_id").alias("_id1"), F.col("_sha").alias("_sha1"))
+    same = F.col(doc_id).eqNullSafe(F.col("_id1")) & (F.col("_sha0") == F.col("_sha1"))
+    kept = marked.join(named(stay), same, "left_semi")
+    again = marked.groupBy(F.col(doc_id).alias("_id"), F.col("_sha0").alias("_sha")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if not again.isEmpty():
+        again = named(again)
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id, "_sha0"]))
+    return kept.drop("_sha0")

@@ -83,6 +83,7 @@ def token_counts(urls: DataFrame, url: str, tokens: Iterable[str]) -> dict[str,
     """In how many URLs each of the rules' tokens is; other tokens are dropped before they are counted."""
     spark = urls.sparkSession
     wanted = spark.createDataFrame([(t,) for t in sorted(set(tokens))], "token string")
+    wanted = F.broadcast(wanted) if len(set(tokens)) <= BROADCAST_RULES else wanted
     seen = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(target_of(F.col(url)), F.lit("([A-Za-z0-9]+)"), 1))).alias("token"))
     return {r["token"]: r["n"] for r in seen.join(wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
 
