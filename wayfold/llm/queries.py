@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat_format, exact_dedup, mixing, packing, simhash, url_filter
+from wayfold.llm import chat_format, exact_dedup, mixing, neighbours, packing, simhash, toxicity, url_filter
 from wayfold.llm.shared import whole
 
 #: The site rules of op1, and the conversation that op2 adds.
@@ -109,5 +109,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_chat_format": op2_chat_format, "op3_exact_dedup": op3_exact_dedup, "op4_source_mix": op4_source_mix, "op8_packing": op8_packing, "op10_simhash": op10_simhash}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_exact_dedup, op4_source_mix, op6_toxicity, op7_fingerprint, op8_packing, op10_simhash)}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL}
