@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.shared import whole
+from wayfold.llm.shared import running_sums, whole
 
 #: The template's control strings.
 START, BODY, PART, END = "<|im_start|>", "<|im_body|>", "<|im_part|>", "<|im_end|>"
@@ -35,21 +35,6 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, rf"\[\\(\\*)(?={AFTER_BRACKET})", r"[$1")
 
 
-def running_sums(lengths: Column) -> Column:
-    """Sums of all elements before each one. Two levels, so that the work grows as n to the 1.5, not squared."""
-    n = F.size(lengths)
-    step = F.ceil(F.sqrt(n.cast("double"))).cast("int")
-    cut = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / F.greatest(step, F.lit(1))).cast("int")), lambda k: F.slice(lengths, k * step + 1, step))).otherwise(F.array().cast("array<array<bigint>>"))
-
-    def sums(a: Column) -> Column:
-        last = lambda acc: F.element_at(acc, -1)
-        return F.aggregate(a, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(last(acc) + x)))
-
-    inner = F.transform(cut, sums)
-    starts = sums(F.transform(inner, lambda s: F.element_at(s, -1)))
-    return F.flatten(F.transform(F.arrays_zip(inner.alias("inner"), F.slice(starts, 1, F.size(cut)).alias("start")), lambda z: F.transform(F.slice(z["inner"], 1, F.size(z["inner"]) - 1), lambda x: x + z["start"])))
-
-
 def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """A row for each conversation: conv, n_turns, n_blocks, formatted, loss_spans.
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.shared import shared_dir, ship_package, whole, written
+from wayfold.llm.shared import free_names, shared_dir, ship_package, whole, written
 
 #: Documents in a block of the first level, and blocks that meet in one of the next.
 BLOCK_DOCS, FAN_IN = 4096, 1024
@@ -136,10 +136,12 @@ def mix(docs: DataFrame, keys: list[str], text: str = "text", source: str = "sou
 
 def repeat_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """docs with every row as often as the mix takes it; rows that repeat id and text share their copies."""
-    marked = docs.withColumn("_key", F.xxhash64(whole(F.col(text)))).withColumn("_id", F.col(doc_id))
-    copies = mix(marked, ["_id", "_key"], text, source, **options).groupBy("_id", "_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    copies = written(copies.select(F.col("_id").alias("_id2"), F.col("_key").alias("_key2"), "_copies", "_rows"), shared_dir(docs.sparkSession, "copies"))
-    met = marked.join(copies, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")))
-    if not copies.where("_rows > 1").isEmpty():
-        met = met.where("_rows = 1").unionByName(met.where("_rows > 1").dropDuplicates(["_id", "_key"]))
-    return met.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    key, id2, key2, copies, rows, copy = free_names(docs, "_key", "_id2", "_key2", "_copies", "_rows", "_copy")
+    of_text = F.xxhash64(whole(F.col(text)))
+    plain = docs.select(F.col(doc_id).alias("_id"), of_text.alias("_key"), F.col(text).alias("_text"), F.col(source).alias("_source"))
+    mixed = mix(plain, ["_id", "_key"], "_text", "_source", **options).groupBy("_id", "_key").agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
+    mixed = written(mixed.select(F.col("_id").alias(id2), F.col("_key").alias(key2), copies, rows), shared_dir(docs.sparkSession, "copies"))
+    met = docs.withColumn(key, of_text).join(mixed, F.col(doc_id).eqNullSafe(F.col(id2)) & (F.col(key) == F.col(key2)))
+    if not mixed.where(F.col(rows) > 1).isEmpty():
+        met = met.where(F.col(rows) == 1).unionByName(met.where(F.col(rows) > 1).dropDuplicates([doc_id, key]))
+    return met.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

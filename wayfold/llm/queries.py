@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat_format, exact_dedup, mixing, neighbours, packing, simhash, toxicity, url_filter
-from wayfold.llm.shared import whole
+from wayfold.llm import chat_format, exact_dedup, license_scan, mixing, neighbours, packing, secret_scan, simhash, toxicity, url_filter
+from wayfold.llm.shared import shared_dir
 
 #: The site rules of op1, and the conversation that op2 adds.
 SITE_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -119,5 +119,43 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.fingerprint_edits(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_exact_dedup, op4_source_mix, op6_toxicity, op7_fingerprint, op8_packing, op10_simhash)}
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL}
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read(spark, sf_dir, "documents"), shared_dir(spark, "secret-ledger"), ["doc_id"])
+    base = tuple(r.kind for r in secret_scan.BASE_RULES)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in base], F.sha2(secret_scan.listed(F.col("spans"), base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+#: The rules as RE2 takes them: letters in either case spelt out, so that no other letter folds to them.
+OP5_PATTERNS = (
+    ("assign", """([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "(AKIA[A-Z0-9]+)", 1, 20),
+    ("hex", "([0-9a-f]+)", 1, 24),
+    ("private_key", "(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)", 1, 1),
+    ("github", "(gh[pousr]_[A-Za-z0-9]{36,})", 1, 1),
+    ("slack", "(xox[abprs]-[A-Za-z0-9-]{10,})", 1, 1),
+    ("jwt", r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 1),
+)
+OP5_SQL = (
+    "WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), cut AS ("
+    + " UNION ALL ".join(f"SELECT r, {k} AS rank, '{kind}' AS kind, {least} AS least, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}', 0) AS hits, regexp_extract_all(text, '{p}', {g}) AS checked FROM t" for k, (kind, p, g, least) in enumerate(OP5_PATTERNS))
+    + """),
+each AS (SELECT r, rank, kind, least, unnest(range(1, len(hits) + 1)) AS i, gaps, hits, checked FROM cut),
+measured AS (SELECT r, rank, kind, i, length(gaps[i]) AS gap, length(hits[i]) AS hit, length(checked[i]) >= least AS ok FROM each),
+placed AS (SELECT *, sum(gap + hit) OVER (PARTITION BY r, rank ORDER BY i) AS stop FROM measured),
+spans AS (SELECT r, rank, kind, stop - hit AS start, kind || ':' || (stop - hit)::BIGINT || ':' || stop::BIGINT AS span FROM placed WHERE ok),
+joined AS (
+  SELECT r, sum((kind = 'assign')::INT)::BIGINT AS n_assign, sum((kind = 'access')::INT)::BIGINT AS n_access, sum((kind = 'hex')::INT)::BIGINT AS n_hex,
+    coalesce(string_agg(CASE WHEN rank < 3 THEN span END, ',' ORDER BY start, rank), '') AS base, string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN joined USING (r)"""
+)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spark, read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_exact_dedup, op4_source_mix, op5_secret_scan, op6_toxicity, op7_fingerprint, op8_packing, op9_license_scan, op10_simhash)}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op5_secret_scan": OP5_SQL}

@@ -69,6 +69,21 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def running_sums(lengths: Column) -> Column:
+    """Sums of all elements before each one. Two levels, so that the work grows as n to the 1.5, not squared."""
+    n = F.size(lengths)
+    step = F.ceil(F.sqrt(n.cast("double"))).cast("int")
+    cut = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / F.greatest(step, F.lit(1))).cast("int")), lambda k: F.slice(lengths, k * step + 1, step))).otherwise(F.array().cast("array<array<bigint>>"))
+
+    def sums(a: Column) -> Column:
+        last = lambda acc: F.element_at(acc, -1)
+        return F.aggregate(a, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(last(acc) + x)))
+
+    inner = F.transform(cut, sums)
+    starts = sums(F.transform(inner, lambda s: F.element_at(s, -1)))
+    return F.flatten(F.transform(F.arrays_zip(inner.alias("inner"), F.slice(starts, 1, F.size(cut)).alias("start")), lambda z: F.transform(F.slice(z["inner"], 1, F.size(z["inner"]) - 1), lambda x: x + z["start"])))
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], total: int, deal: Column, how: str = "left") -> DataFrame:
     """left joined with right, whose keys are unique, without a task that gets all rows of a hot key.
 
@@ -82,14 +97,26 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], total: int, deal:
     return marked.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of df has."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def keep_documents(docs: DataFrame, stay: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The rows of docs whose id and text are in stay (_id, _sha: SHA-256 in hex), repeated rows once."""
-    marked = docs.withColumn("_sha0", F.sha2(whole(F.col(text)), 256))
-    named = lambda d: d.select(F.col("_id").alias("_id1"), F.col("_sha").alias("_sha1"))
-    same = F.col(doc_id).eqNullSafe(F.col("_id1")) & (F.col("_sha0") == F.col("_sha1"))
+    sha0, id1, sha1, n = free_names(docs, "_sha0", "_id1", "_sha1", "_n")
+    marked = docs.withColumn(sha0, F.sha2(whole(F.col(text)), 256))
+    named = lambda d: d.select(F.col("_id").alias(id1), F.col("_sha").alias(sha1))
+    same = F.col(doc_id).eqNullSafe(F.col(id1)) & (F.col(sha0) == F.col(sha1))
     kept = marked.join(named(stay), same, "left_semi")
-    again = marked.groupBy(F.col(doc_id).alias("_id"), F.col("_sha0").alias("_sha")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = marked.groupBy(F.col(doc_id).alias("_id"), F.col(sha0).alias("_sha")).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
     if not again.isEmpty():
         again = named(again)
-        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id, "_sha0"]))
-    return kept.drop("_sha0")
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id, sha0]))
+    return kept.drop(sha0)

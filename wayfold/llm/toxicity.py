@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.shared import arrow_rows, shared_dir, ship_package, whole, written
+from wayfold.llm.shared import arrow_rows, free_names, shared_dir, ship_package, whole, written
 
 #: Rows that training sees at most, however large the corpus.
 MOST_POSITIVE, MOST_UNLABELLED = 6000, 18000
@@ -162,3 +162,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", result: str = "scor
             yield pd.Series(1 / (1 + np.exp(-np.clip(sums, -30, 30))))
 
     return docs.withColumn(result, apply(whole(F.col(text))))
+
+
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs that score below `least`, with all columns."""
+    (name,) = free_names(docs, "_score")
+    return score(docs, model, text, name).where(F.col(name) < least).drop(name)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.shared import SALTS, ascii_lower, ship_package
+from wayfold.llm.shared import SALTS, ascii_lower, free_names, ship_package
 
 #: As many rules go to each Python worker (about 300 bytes a rule); more are joined by token instead.
 BROADCAST_RULES = 100_000
@@ -134,8 +134,9 @@ def _judge_by_join(spark: SparkSession, pages: DataFrame, by_token: dict, rest:
     fields = "token string, site boolean, length int, text string, action string, regex string"
     rows = [(t, r.site, len(r.text), r.text, r.action, f"(?s){to_regex(r)}") for t, v in by_token.items() for r in v]
     index = spark.createDataFrame(rows, fields).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = pages.withColumn("_target", target_of(F.col(url)))
-    targets = keyed.select("_target").distinct()
+    (own,) = free_names(pages, "_target")
+    keyed = pages.withColumn(own, target_of(F.col(url)))
+    targets = keyed.select(F.col(own).alias("_target")).distinct()
     met = (
         targets.withColumn("token", F.explode(F.array_distinct(F.regexp_extract_all("_target", F.lit("([A-Za-z0-9]+)"), 1))))
         .withColumn("salt", F.pmod(F.xxhash64("_target"), F.lit(SALTS)).cast("int"))
@@ -145,5 +146,7 @@ def _judge_by_join(spark: SparkSession, pages: DataFrame, by_token: dict, rest:
         met = met.unionByName(targets.select("_target", F.lit("").alias("token"), F.lit(0).alias("salt"), F.lit(r.site).alias("site"), F.lit(len(r.text)).alias("length"), F.lit(r.text).alias("text"), F.lit(r.action).alias("action"), F.lit(f"(?s){to_regex(r)}").alias("regex")))
     best = met.groupBy("_target").agg(F.count(F.lit(1)).cast("int").alias("_n"), F.max(F.when(F.expr("_target rlike regex"), F.struct("site", "length", "text", "action"))).alias("_best"))
     part = lambda k: F.coalesce(F.regexp_extract(F.col(url), r"://([^/?#]*)([^?#]*)", k), F.lit(""))
-    judged = F.struct(ascii_lower(part(1)).alias("host"), part(2).alias("path"), F.when(F.col("_best.site"), F.col("_best.text")).alias("rule"), F.col("_best.text").alias("pattern"), F.coalesce("_best.action", F.lit(default)).alias("verdict"), F.coalesce("_n", F.lit(0)).alias("candidates"))
-    return keyed.join(best, "_target", "left").withColumn(result, judged).drop("_target", "_n", "_best")
+    verdicts = best.select(F.col("_target").alias(own), F.struct("_n", "_best").alias(result))
+    met = keyed.join(verdicts, own, "left")
+    judged = F.struct(ascii_lower(part(1)).alias("host"), part(2).alias("path"), F.when(F.col(f"{result}._best.site"), F.col(f"{result}._best.text")).alias("rule"), F.col(f"{result}._best.text").alias("pattern"), F.coalesce(F.col(f"{result}._best.action"), F.lit(default)).alias("verdict"), F.coalesce(F.col(f"{result}._n"), F.lit(0)).alias("candidates"))
+    return met.withColumn(result, judged).drop(own)
