@@ -54,7 +54,7 @@ def anchors_of(words: list[str], least: float = LEAST, size: int = SHINGLE) -> s
     shingles = [set(s.split(" ")) for s in shingles_of(words, size)]
     chosen: set[str] = set()
     for w in sorted(set(words), key=lambda w: (-len(w), w)):
-        if sum(bool(s & chosen) for s in shingles) > (1 - least) * len(shingles):
+        if sum(not s & chosen for s in shingles) < least * len(shingles):
             break
         chosen.add(w)
     return chosen
@@ -71,7 +71,11 @@ def _shingles(words: Column, size: int = SHINGLE) -> Column:
 
 def _minima(shingles: Column) -> Column:
     hashes = F.transform(shingles, lambda s: F.xxhash64(s))
-    return F.array(*[F.array_min(F.transform(hashes, lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(BANDS)])
+
+    def lowest(band: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(band))))
+
+    return F.array(*[lowest(k) for k in range(BANDS)])
 
 
 def scan(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
