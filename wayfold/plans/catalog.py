@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from wayfold.plans import network
+
+BOOKS = (network.book,)
+QUERIES: dict = {name: make for b in BOOKS for name, make in b.queries.items()}
+ORACLE_SQL: dict[str, str] = {name: text for b in BOOKS for name, text in b.sql.items()}
