@@ -14,7 +14,7 @@ ROUTE_STOPS, BASE_US, NOW_US = 12, 1_704_067_200_000_000, 1_704_070_800_000_000
 
 
 def _place(key: str, salt_lat: int = 7919, salt_lon: int = 104729) -> tuple[str, str]:
-    return f"37.90D + (({key} * {salt_lat}) % 1000) / 10000.0D", f"58.30D + (({key} * {salt_lon}) % 1500) / 10000.0D"
+    return f"37.90D + ((({key}) * {salt_lat}) % 1000) / 10000.0D", f"58.30D + ((({key}) * {salt_lon}) % 1500) / 10000.0D"
 
 
 class Transit:
