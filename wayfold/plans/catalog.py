@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wayfold.plans import fleet, network
+from wayfold.plans import fleet, network, trackbook
 
-BOOKS = (network.book, fleet.book)
+BOOKS = (network.book, fleet.book, trackbook.book)
 QUERIES: dict = {name: make for b in BOOKS for name, make in b.queries.items()}
 ORACLE_SQL: dict[str, str] = {name: text for b in BOOKS for name, text in b.sql.items()}
