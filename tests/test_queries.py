@@ -9,7 +9,7 @@ import pytest
 from wayfold.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages conversations labels benchmark embeddings".split()
 
 
 @pytest.fixture(scope="module")
