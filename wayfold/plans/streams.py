@@ -43,7 +43,7 @@ def stream_outliers(t: Transit) -> DataFrame:
         F.expr("37.90D + ((user_id * 7919) % 1000) / 10000.0D + case when event_id % 10 = 0 then 0.0D else ((event_id * 31) % 41 - 20) / 20000.0D end").alias("lat"),
         F.expr("58.30D + ((user_id * 104729) % 1500) / 10000.0D + case when event_id % 10 = 0 then 0.0D else ((event_id * 17) % 41 - 20) / 20000.0D end").alias("lon"), F.expr("value % 80").alias("speed"),
     )
-    return st.run_available(st.stateful_outliers(s), "append", "outliers")
+    return st.run_available(st.stateful_outliers(s), "append", "outliers", idle_batches=False)
 
 
 @query("SELECT user_id, arg_max(event_id, (epoch_us(ts), event_id)) AS event_id, max(epoch_us(ts)) AS at_us FROM events GROUP BY 1")

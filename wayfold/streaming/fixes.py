@@ -96,15 +96,22 @@ def verdict(last: tuple | None, t_us: int, lat: float, lon: float, speed: float)
     return "SPEED_EXCEEDED" if d / dt * 3.6 > 150 else "VALID"
 
 
-def run_available(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """Run a stream over all that is there now, into a table on shared storage; the table."""
+def run_available(stream: DataFrame, mode: str = "append", name: str = "stream", idle_batches: bool = True) -> DataFrame:
+    """Run a stream over all that is there now, into a table on shared storage; the table.
+
+    idle_batches: False for state with processing-time timeouts, for which batches without data would never end.
+    """
     spark = stream.sparkSession
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(idle_batches and before == "true").lower())
     where = scratch(spark, name)
     schema = stream.schema
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
     else:
         query = stream.writeStream.outputMode(mode).foreachBatch(overwrite(f"{where}/out")).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
+    spark.conf.set(key, before)
     query.awaitTermination()
     return spark.read.schema(schema).parquet(f"{where}/out")
 
