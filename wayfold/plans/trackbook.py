@@ -245,11 +245,15 @@ def route_match(t: Transit) -> DataFrame:
 
     segs = segments(t.placed_stops).groupBy("route_id", "direction").agg(F.collect_list(F.struct("a_lat", "a_lon", "b_lat", "b_lon")).alias("line"))
 
-    def away(s):
+    def place(s):
+        # A pass of its own, so that the projection is computed once for each segment.
         u = geo.project_t(F.col("lat"), F.col("lon"), s["a_lat"], s["a_lon"], s["b_lat"], s["b_lon"])
-        return geo.haversine(F.col("lat"), F.col("lon"), s["a_lat"] + (s["b_lat"] - s["a_lat"]) * u, s["a_lon"] + (s["b_lon"] - s["a_lon"]) * u)
+        return F.transform(F.array(u), lambda x: F.struct((s["a_lat"] + (s["b_lat"] - s["a_lat"]) * x).alias("lat"), (s["a_lon"] + (s["b_lon"] - s["a_lon"]) * x).alias("lon")))
 
-    near = t.fixes.select("vehicle_id", "lat", "lon").crossJoin(F.broadcast(segs)).select("vehicle_id", "route_id", "direction", F.array_min(F.transform("line", away)).alias("d"))
+    def away(q):
+        return geo.haversine(F.col("lat"), F.col("lon"), q["lat"], q["lon"])
+
+    near = t.fixes.select("vehicle_id", "lat", "lon").crossJoin(F.broadcast(segs)).select("vehicle_id", "route_id", "direction", F.array_min(F.transform(F.flatten(F.transform("line", place)), away)).alias("d"))
     share = F.avg((F.col("d") <= 1500).cast("int"))
     scored = near.groupBy("vehicle_id", "route_id", "direction").agg(F.count(F.lit(1)).alias("points"), share.alias("near_share"), (share * 0.6 + (1 - F.least(F.avg("d") / 5000, F.lit(1.0))) * 0.4).alias("score"))
     best = scored.groupBy("vehicle_id").agg(F.min(F.struct((-F.round("score", 9)).alias("o"), "route_id", "direction", "points", "near_share", "score")).alias("b"))
