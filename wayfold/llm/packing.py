@@ -142,3 +142,8 @@ def pack(docs: DataFrame, keys: list[str], tokenizer: str = "word_bpe_49k.json",
         (F.col("first_offset") + within % F.col("each") * F.col("length")).cast("bigint").alias("offset"),
         *(["ids"] if keep_ids else []),
     )
+
+
+def digests(packed: DataFrame) -> DataFrame:
+    """Packed pieces with the CRC-32 of their ids as they were placed, instead of the ids."""
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

@@ -100,7 +100,7 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), ["doc_id"], keep_ids=False)
+    return packing.digests(packing.pack(read(spark, sf_dir, "documents"), ["doc_id"]))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
