@@ -3,8 +3,7 @@
 State per vehicle: arc position x, speed v, covariance P, mode, direction and trip. Each fix is snapped to the
 line near x, gated by its innovation, and corrects the state within bounds; rejected fixes in a row re-anchor it.
 Stops and terminals are zones of the line; at a terminal the other direction becomes the line. `step` is the whole
-per-row helper; partitioning, order and state are Spark's: mapInArrow over sorted vehicles in batch,
-transformWithStateInPandas in a stream.
+per-row helper; partitioning and order are Spark's: mapInArrow over sorted vehicles. There is no stream version.
 """
 
 from __future__ import annotations
