@@ -127,7 +127,7 @@ def garage_geofence(t: Transit) -> DataFrame:
 
 
 @query(
-    f"""SELECT vehicle_id, stop_id, seq, round(d, 3) AS distance_m FROM (SELECT v.vehicle_id, r.stop_id, r.seq, {haversine_sql('v.lat', 'v.lon', 'r.lat', 'r.lon')} AS d, row_number() OVER (PARTITION BY v.vehicle_id ORDER BY {haversine_sql('v.lat', 'v.lon', 'r.lat', 'r.lon')}, r.stop_id) AS rn FROM vehicles v JOIN placed_stops r ON r.route_id = v.route_id AND r.direction = v.direction WHERE v.lat IS NOT NULL) WHERE rn = 1"""
+    f"""SELECT vehicle_id, stop_id, seq, round(d, 3) AS distance_m FROM (SELECT v.vehicle_id, r.stop_id, r.seq, {haversine_sql('v.lat', 'v.lon', 'r.lat', 'r.lon')} AS d, row_number() OVER (PARTITION BY v.vehicle_id ORDER BY {haversine_sql('v.lat', 'v.lon', 'r.lat', 'r.lon')}, r.stop_id, r.seq) AS rn FROM vehicles v JOIN placed_stops r ON r.route_id = v.route_id AND r.direction = v.direction WHERE v.lat IS NOT NULL) WHERE rn = 1"""
 )
 def nearest_stop(t: Transit) -> DataFrame:
     """The nearest stop of each vehicle's route and direction."""
