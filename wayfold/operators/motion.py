@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.geo import DEGREE_PLANE_M
+from wayfold.operators.storage import ship_package
 
 #: Metres, seconds, m/s.
 WINDOW_M, WINDOW_K, SIGMA_M, ACC_REF, SNAP_M, OFF_M, GATE = 150.0, 1.5, 15.0, 5.0, 80.0, 120.0, 3.0
@@ -212,6 +213,7 @@ def filter_tracks(fixes: DataFrame, placed_stops: DataFrame) -> DataFrame:
 
     Geometry goes along with the first row of a vehicle only: a map of routes is joined by route and dropped but there.
     """
+    ship_package(fixes.sparkSession)
     columns = ["vehicle_id", "t_us", "fix_id", "route_id", "lat", "lon", "speed", "hdop"]
     first = fixes.groupBy("vehicle_id", "route_id").agg(F.min("t_us").alias("t_us")).join(F.broadcast(line_table(placed_stops)), "route_id").select("vehicle_id", (F.col("t_us") - 1).alias("t_us"), F.lit(-1).cast("bigint").alias("fix_id"), "route_id", "lines")
     rows = fixes.select(*columns).unionByName(first, allowMissingColumns=True).select(*columns, "lines")

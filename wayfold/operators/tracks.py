@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wayfold.functions import geo
+from wayfold.operators.storage import ship_package
 
 
 def ordered(key: str = "vehicle_id", time: str = "t_us", tie: str = "fix_id"):
@@ -138,6 +139,7 @@ def validate(fixes: DataFrame, arrival: str = "fix_id") -> DataFrame:
 
     Vehicles are dealt by key and sorted, so a task holds one vehicle's last accepted fix at a time.
     """
+    ship_package(fixes.sparkSession)
     dealt = fixes.select("vehicle_id", "fix_id", "t_us", "wall_us", "lat", "lon", "speed", F.col(arrival).alias("_at")).repartition("vehicle_id").sortWithinPartitions("vehicle_id", "_at")
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

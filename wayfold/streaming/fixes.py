@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wayfold.functions import geo
-from wayfold.operators.storage import scratch
+from wayfold.operators.storage import scratch, ship_package
 
 #: How long fixes may be late, and how long a silent vehicle's state is kept.
 LATENESS, IDLE_MS = "2 minutes", 30 * 60 * 1000
@@ -62,6 +62,8 @@ LAST_FIX = "t_us bigint, lat double, lon double"
 def stateful_outliers(stream: DataFrame) -> DataFrame:
     """Verdicts on fixes (fix_id, vehicle_id, t_us, lat, lon, speed) against the vehicle's last fix, kept as state."""
 
+    ship_package(stream.sparkSession)
+
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
