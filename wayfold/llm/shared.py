@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from wayfold.operators.storage import scratch as shared_dir  # noqa: F401
+from wayfold.operators.storage import ship_package, stored as written  # noqa: F401
 
 #: A key is hot if it has more than 1/HOT_PARTS of all rows, so at most HOT_PARTS keys are.
 HOT_PARTS = 1000
@@ -16,44 +15,11 @@ HOT_PARTS = 1000
 SALTS = 64
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
+def arrow_rows(spark: SparkSession, most: int = 500) -> None:
+    """Bound the rows of an Arrow batch, so that batches of long texts fit in a Python worker.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is set for the session.
+    A setting of the session, as plans read it when they run, after their operator has returned; smaller ones stay.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='wayfold-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
-    return path
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    """df as a Parquet table at path: later reads do not repeat its work and survive lost executors."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give this package to the executors' Python once a session, wherever the driver imported it from."""
-    context = spark.sparkContext
-    if getattr(context, "_wayfold_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    with tempfile.TemporaryDirectory() as tmp:
-        pack = Path(tmp) / "pack" / root.name
-        shutil.copytree(root, pack, ignore=shutil.ignore_patterns("__pycache__"))
-        name = shutil.make_archive(f"{tempfile.mkdtemp(prefix='wayfold-')}/{root.name}-package", "zip", pack.parent)
-    context.addPyFile(name)
-    context._wayfold_shipped = True
-
-
-def arrow_rows(spark: SparkSession, most: int = 500) -> None:
-    """Bound the rows of an Arrow batch, so that batches of long texts fit in a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= most:
         spark.conf.set(key, str(most))
@@ -91,6 +57,8 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], total: int, deal:
     HOT_PARTS, are the only thing broadcast; their rows are dealt over SALTS and their right rows repeated.
     """
     least = max(10_000, total // HOT_PARTS)
+    if total <= least:
+        return left.join(right, keys, how)
     hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).select(*keys, F.lit(True).alias("_hot"))
     marked = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(deal), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("_hot")
     spread = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
@@ -118,5 +86,10 @@ def keep_documents(docs: DataFrame, stay: DataFrame, doc_id: str, text: str) ->
     again = marked.groupBy(F.col(doc_id).alias("_id"), F.col(sha0).alias("_sha")).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
     if not again.isEmpty():
         again = named(again)
-        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id, sha0]))
+        rest = [c for c in docs.columns if c not in (doc_id, text)]
+        # Of rows with one id and text the first by their other columns, so that reruns keep the same one.
+        least = F.xxhash64(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0)
+        doubled = kept.join(again, same, "left_semi")
+        one = doubled.withColumn(n, F.row_number().over(W.partitionBy(doc_id, sha0).orderBy(least))).where(F.col(n) == 1).drop(n)
+        kept = kept.join(again, same, "left_anti").unionByName(one)
     return kept.drop(sha0)
