@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from fixtures import awkward, docs_table, prose
 from pyspark.sql import functions as F
 
@@ -54,3 +55,21 @@ def test_repeat_rows(spark):
     copies = m.mix(docs.select("doc_id", "text", "source"), ["doc_id"])
     assert got.count() == copies.agg(F.sum("copies")).first()[0]
     assert m.repeat_rows(docs.limit(0)).count() == 0
+
+
+def test_shares_as_a_table_are_those_of_the_driver(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = awkward() + [(100 + k, prose(rng, rng.randrange(0, 80)), f"src{rng.randrange(40)}") for k in range(500)]
+    docs = docs_table(spark, rows)
+    want = sorted(map(repr, m.mix(docs, ["doc_id"], block_docs=16).collect()))
+    monkeypatch.setattr(m, "DRIVER_SOURCES", 0)
+    assert sorted(map(repr, m.mix(docs, ["doc_id"], block_docs=16).collect())) == want
+    assert m.mix(docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_keys_with_names_of_the_operator(spark):
+    docs = docs_table(spark, awkward()).withColumnsRenamed({"doc_id": "block", "lang": "open"})
+    got = m.mix(docs, ["block", "open"])
+    assert got.columns == ["block", "open", "source", "size", "source_size", "target", "copies"] and got.count() == len(awkward())
+    with pytest.raises(ValueError, match="size"):
+        m.mix(docs.withColumnRenamed("block", "size"), ["size"])

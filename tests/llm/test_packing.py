@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from fixtures import awkward, docs_table
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -77,3 +78,17 @@ def test_pack_equals_brute_force(spark):
     assert all(zlib.crc32(x) == c for x, c in zip(got["ids"], got["ids_crc32"]))
     assert got["sequence_id"].nunique() <= 1.02 * got["length"].sum() / 512 + 1
     assert p.pack(docs_table(spark, rows).limit(0), ["doc_id"]).count() == 0
+
+
+def test_large_plans_and_counts_are_joined_alike(spark, monkeypatch):
+    docs = docs_table(spark, awkward()).withColumnsRenamed({"doc_id": "rank", "lang": "part"})
+    kept = lambda d: sorted(map(repr, d.drop("sequence_id", "offset").collect()))
+    want = kept(p.pack(docs, ["rank", "part"], capacity=64))
+    monkeypatch.setattr(p, "BROADCAST_RUNS", 0)
+    monkeypatch.setattr(p, "BROADCAST_COUNTS", 0)
+    got = p.pack(docs, ["rank", "part"], capacity=64)
+    assert got.columns[:2] == ["rank", "part"] and kept(got) == want
+    for _, own in got.toPandas().sort_values("offset").groupby("sequence_id"):
+        assert own["offset"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]] and own["length"].sum() <= 64
+    with pytest.raises(ValueError, match="piece"):
+        p.pack(docs.withColumnRenamed("rank", "piece"), ["piece"])

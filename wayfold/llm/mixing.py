@@ -8,25 +8,28 @@ rounded alone. So the words taken from a source miss its target by less than one
 
 Null texts have size 0; null is a source of its own, ordered last. Documents of size 0 get no copies that count.
 Repeated rows are documents of their own. An empty table gives no rows. Which documents gain depends on their
-ids, sizes and the seed only, not on partitions or order, so reruns agree.
+ids, texts and the seed only, not on partitions or order, so reruns agree. Keys may have any names but those of the
+result. Rows that repeat keys and text lie in one block.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from wayfold.llm.shared import free_names, shared_dir, ship_package, whole, written
+from wayfold.llm.shared import free_names, lookup, own_keys, shared_dir, ship_package, whole, written
 
 #: Documents in a block of the first level, and blocks that meet in one of the next.
 BLOCK_DOCS, FAN_IN = 4096, 1024
-#: A mix is configured by source; more sources than this are an error, not a plan.
-MOST_SOURCES = 100_000
+#: Sources, about 60 bytes each, whose shares the driver finds and broadcasts; of more a table is made in rounds.
+DRIVER_SOURCES = 100_000
 #: A word, and the weights that sources take in turn.
 WORD, WEIGHTS = r"[^\x20\x09-\x0D]+", (3, 1, 2)
 
@@ -96,6 +99,52 @@ def block_rounder(keys: list[str], level: int, last: bool, seed: int):
     return round_block
 
 
+def positions(rows: DataFrame, by: list[Column], where: str) -> DataFrame:
+    """rows with `position`, from 0 in the order of `by`: numbered within ranges, whose sizes are added up."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(n, *by).withColumn("_range", F.spark_partition_id()), where)
+    sizes = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = dict(zip(sorted(sizes), accumulate([0, *(sizes[k] for k in sorted(sizes))]), strict=False))
+    table = F.broadcast(rows.sparkSession.createDataFrame(list(before.items()), "_range int, _before bigint"))
+    return ranged.join(table, "_range").withColumn("position", F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy(*by)) - 1).drop("_range", "_before")
+
+
+def share_table(totals: DataFrame, weights: tuple[float, ...], epoch: float, cap: float, where: str) -> DataFrame:
+    """totals (source, size, docs) with `target`, as share() finds it: each round settles all sources above their cap."""
+    placed = positions(totals, [F.col("source").isNull(), F.col("source")], f"{where}/positions")
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("position") % len(weights) + 1).cast("int"))
+    left = written(placed.withColumn("weight", turn), f"{where}/weights")
+    rest, settled, k = epoch * (left.agg(F.sum("size")).first()[0] or 0), None, 0
+    while True:
+        weight = left.agg(F.sum("weight")).first()[0]
+        level = left.withColumn("target", F.col("weight") * rest / (weight or 1.0)).withColumn("over", F.col("target") > cap * F.col("size"))
+        level = written(level, f"{where}/round-{k}")
+        over = level.where("over")
+        spent = over.agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).first()
+        done = (over.withColumn("target", cap * F.col("size")) if spent["n"] else level).select("source", "size", "docs", F.col("target").cast("double").alias("target"))
+        settled = done if settled is None else settled.unionByName(done)
+        if not spent["n"]:
+            return settled
+        rest, left, k = rest - cap * spent["size"], level.where("not over").drop("target", "over"), k + 1
+
+
+def _plan(sized: DataFrame, weights: tuple[float, ...], epoch: float, cap: float, block_docs: int, where: str) -> tuple[DataFrame, int, bool]:
+    """(_source, source_size, target, rate, blocks) by source, the most blocks of one, and whether the plan may be broadcast."""
+    spark = sized.sparkSession
+    totals = written(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")), f"{where}/totals")
+    small = totals.count() <= DRIVER_SOURCES
+    if small:
+        rows = sorted(totals.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
+        sizes = [r["size"] for r in rows]
+        targets = share(sizes, [weights[i % len(weights)] for i in range(len(sizes))], epoch * sum(sizes), cap)
+        shares = spark.createDataFrame([(r["source"], r["size"], r["docs"], float(t)) for r, t in zip(rows, targets, strict=True)], "source string, size bigint, docs bigint, target double")
+    else:
+        shares = share_table(totals, weights, epoch, cap, f"{where}/shares")
+    rate = F.when(F.col("size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("size"))).otherwise(0.0)
+    plan = shares.select(F.col("source").alias("_source"), F.col("size").alias("source_size"), "target", rate.alias("rate"), F.ceil(F.col("docs") / block_docs).alias("blocks"))
+    return plan, int(totals.agg(F.ceil(F.max("docs") / block_docs).alias("n")).first()["n"] or 1), small
+
+
 def mix(docs: DataFrame, keys: list[str], text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, epoch: float = 1.5, cap: float = 2.0, seed: int = 17, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """A row for each row of docs: keys, source, size, source_size, target, copies.
 
@@ -105,31 +154,25 @@ def mix(docs: DataFrame, keys: list[str], text: str = "text", source: str = "sou
     spark = docs.sparkSession
     ship_package(spark)
     where = shared_dir(spark, "mixing")
-    sized = written(docs.select(*[F.col(k) for k in keys], F.col(source).alias("source"), F.regexp_count(whole(F.col(text)), F.lit(WORD)).cast("bigint").alias("size")), f"{where}/sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["size"] for r in totals]
-    shares = share(sizes, [weights[i % len(weights)] for i in range(len(sizes))], epoch * sum(sizes), cap)
-    plan = spark.createDataFrame(
-        [(r["source"], r["size"], float(t), min(cap, t / r["size"]) if r["size"] else 0.0, math.ceil(r["docs"] / block_docs)) for r, t in zip(totals, shares, strict=True)],
-        "_source string, source_size bigint, target double, rate double, blocks bigint",
-    )
-    start = (
-        sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("block", F.pmod(F.xxhash64(*keys, "size", F.lit(seed)), F.col("blocks")))
-        .select(*keys, "source", "size", "source_size", "target", F.floor("rate").cast("bigint").alias("copies"), (F.col("rate") - F.floor("rate")).alias("fraction"), "block", F.lit(False).alias("open"))
+    own = own_keys(keys, "source", "size", "source_size", "target", "copies")
+    sized = written(docs.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(source).cast("string").alias("source"), F.regexp_count(whole(F.col(text)), F.lit(WORD)).cast("bigint").alias("size"), F.xxhash64(whole(F.col(text))).alias("_tie")), f"{where}/sizes")
+    plan, blocks, small = _plan(sized, weights, epoch, cap, block_docs, where)
+    # Null is a source too: the key of the join is never null.
+    named = lambda c: F.concat(F.when(c.isNull(), F.lit("n")).otherwise(F.lit("s")), F.coalesce(c, F.lit("")))
+    keyed, plan = sized.withColumn("_plan", named(F.col("source"))), plan.withColumn("_plan", named(F.col("_source")))
+    met = keyed.join(F.broadcast(plan), "_plan") if small else lookup(keyed, plan, ["_plan"], sized.count(), F.xxhash64(*own, "_tie"), "inner")
+    start = met.withColumn("block", F.pmod(F.xxhash64(*own, "size", "_tie", F.lit(seed)), F.col("blocks"))).select(
+        *own, "source", "size", "_tie", "source_size", "target", F.floor("rate").cast("bigint").alias("copies"), (F.col("rate") - F.floor("rate")).alias("fraction"), "block", F.lit(False).alias("open")
     )
-    level, blocks, done, rows = 0, max((math.ceil(r["docs"] / block_docs) for r in totals), default=1), None, start
+    level, done, rows = 0, None, start
     while True:
         last = blocks <= 1
 
-        out = written(rows.groupBy("source", "block").applyInPandas(block_rounder(keys, level, last, seed), rows.schema), f"{where}/level-{level}")
+        out = written(rows.groupBy("source", "block").applyInPandas(block_rounder([*own, "_tie"], level, last, seed), rows.schema), f"{where}/level-{level}")
         closed = out.where(~F.col("open"))
         done = closed if done is None else done.unionByName(closed)
         if last:
-            return done.select(*keys, "source", "size", "source_size", "target", "copies")
+            return done.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], "source", "size", "source_size", "target", "copies")
         rows = out.where("open").withColumn("block", F.floor(F.col("block") / FAN_IN).cast("bigint"))
         level, blocks = level + 1, math.ceil(blocks / FAN_IN)
 

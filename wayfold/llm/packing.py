@@ -7,7 +7,8 @@ smallest gap that holds them. The plan is a list of runs of equal pieces; a piec
 and its rank among the pieces of that length, which Spark counts by scan task.
 
 A document is its ids and an end id. One longer than the capacity is cut, its last piece may be shorter. Null
-and empty texts are the end id alone. Repeated rows are packed each. An empty table gives no rows.
+and empty texts are the end id alone. Repeated rows are packed each. An empty table gives no rows. Keys may have
+any names but those of the result.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.shared import arrow_rows, shared_dir, ship_package, whole, written
+from wayfold.llm.shared import SALTS, arrow_rows, own_keys, shared_dir, ship_package, whole, written
 
-#: Runs of a plan, about 50 bytes each; they are few times the capacity and go to every executor.
-MOST_RUNS = 200_000
+#: Runs of a plan, about 50 bytes each, that are broadcast, and counts by length and scan task, about 20 bytes each;
+#: more are joined by a shuffle.
+BROADCAST_RUNS, BROADCAST_COUNTS = 200_000, 400_000
 
 
 def plan(lengths: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -122,18 +124,23 @@ def pack(docs: DataFrame, keys: list[str], tokenizer: str = "word_bpe_49k.json",
     """
     spark = docs.sparkSession
     where = shared_dir(spark, "packing")
-    pieces = written(cut_pieces(docs, keys, tokenizer, text, capacity, end_id, keep_ids), f"{where}/pieces")
+    own = own_keys(keys, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
+    named = docs.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(text).alias("_body"))
+    pieces = written(cut_pieces(named, own, tokenizer, "_body", capacity, end_id, keep_ids), f"{where}/pieces")
     counts = written(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), f"{where}/counts")
     runs = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
-    if len(runs) > MOST_RUNS:
-        raise ValueError(f"the plan has {len(runs)} runs")
     placed = spark.createDataFrame(runs, "run_length int, first_rank bigint, pieces bigint, each bigint, first_sequence bigint, first_offset bigint")
-    before = counts.selectExpr("length", "part", "coalesce(sum(n) over (partition by length order by part rows between unbounded preceding and 1 preceding), 0) as before")
-    ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
-    met = ranked.join(F.broadcast(placed), (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("pieces")))
+    before = counts.selectExpr("length as _length", "part as _part", "coalesce(sum(n) over (partition by length order by part rows between unbounded preceding and 1 preceding), 0) as _before")
+    before = F.broadcast(before) if counts.count() <= BROADCAST_COUNTS else before.hint("merge")
+    met = pieces.join(before, (F.col("length") == F.col("_length")) & (F.col("part") == F.col("_part"))).withColumn("rank", F.col("rank") + F.col("_before"))
+    fits = (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("pieces"))
+    if len(runs) <= BROADCAST_RUNS:
+        met = met.join(F.broadcast(placed), fits)
+    else:
+        met = met.withColumn("_salt", F.pmod("rank", F.lit(SALTS)).cast("int")).join(placed.withColumn("_run_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), fits & (F.col("_salt") == F.col("_run_salt")))
     within = F.col("rank") - F.col("first_rank")
     return met.select(
-        *keys,
+        *[F.col(a).alias(k) for a, k in zip(own, keys, strict=True)],
         "piece",
         "start",
         F.col("length").cast("bigint").alias("length"),

@@ -93,3 +93,10 @@ def keep_documents(docs: DataFrame, stay: DataFrame, doc_id: str, text: str) ->
         one = doubled.withColumn(n, F.row_number().over(W.partitionBy(doc_id, sha0).orderBy(least))).where(F.col(n) == 1).drop(n)
         kept = kept.join(again, same, "left_anti").unionByName(one)
     return kept.drop(sha0)
+
+
+def own_keys(keys: list[str], *results: str) -> list[str]:
+    """Names for the keys inside an operator, so that no key clashes with its columns; keys may not have a result's name."""
+    if taken := {k.lower() for k in keys} & set(results):
+        raise ValueError(f"keys may not be named {sorted(taken)}")
+    return [f"_key{i}" for i in range(len(keys))]
