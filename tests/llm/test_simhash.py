@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from fixtures import awkward, docs_table, prose
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -47,7 +48,7 @@ def planted(rng, n, centres):
     return sorted(set(made))
 
 
-def test_links_connect_what_brute_force_connects(spark):
+def test_links_connect_what_brute_force_connects(spark, monkeypatch):
     rng = random.Random(8)
     values = planted(rng, 500, 25)
     dense = rng.getrandbits(64)
@@ -58,7 +59,8 @@ def test_links_connect_what_brute_force_connects(spark):
     groups = {}
     for v, r in zip(signed, want):
         groups.setdefault(r, set()).add(v)
-    for group_rows in (64, 10**-6):
+    for group_rows, hot_group in ((64, s.HOT_GROUP), (10**-6, s.HOT_GROUP), (64, 100)):
+        monkeypatch.setattr(s, "HOT_GROUP", hot_group)
         edges = s.links(frame, len(values), group_rows=group_rows)
         found = {r["node"]: r["root"] for r in s.components(edges, shared_dir(spark, "test")).collect()}
         by_root = {}
@@ -98,3 +100,24 @@ def test_near_classes(spark):
     kept = s.drop_near_copies(docs_table(spark, rows).withColumn("fp", F.lit(0)))
     assert kept.count() == len(set(by_row)) and kept.columns[-1] == "fp"
     assert s.drop_near_copies(docs_table(spark, rows).limit(0)).count() == 0
+
+
+def test_hot_groups_are_cut_before_they_are_dealt(spark, monkeypatch):
+    """Fingerprints that share half of their bits make one group, which has to end in many."""
+    monkeypatch.setattr(s, "HOT_GROUP", 100)
+    rng = random.Random(1)
+    values = [rng.getrandbits(32) for _ in range(2000)]
+    keyed = spark.createDataFrame([(-(1 << 32), 0, v) for v in values], "mask bigint, key bigint, fp bigint")
+    cut = s.cut_hot(keyed, 2000, 3).groupBy("mask", "key").count().agg(F.max("count"), F.count("*")).first()
+    assert cut[0] <= 100 and cut[1] > 100
+
+
+def test_hubs_are_dealt(spark):
+    edges = spark.range(25_000).select(F.lit(-1).cast("bigint").alias("a"), F.col("id").alias("b")).unionByName(spark.range(30_000, 30_010).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    got = {r["node"]: r["root"] for r in s.components(edges, shared_dir(spark, "test")).collect()}
+    assert got == {**{k: -1 for k in range(25_000)}, **{k: 30_000 for k in range(30_001, 30_011)}}
+
+
+def test_keys_named_like_results(spark):
+    with pytest.raises(ValueError, match="fp"):
+        s.near_classes(docs_table(spark, awkward()).withColumnRenamed("doc_id", "fp"), ["fp"], F.col("fp"))

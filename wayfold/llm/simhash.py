@@ -8,7 +8,8 @@ choice of k - r ranges is a table of keys; k grows with the number of fingerprin
 small. Within a group the 64 bit planes are stored vertically. Small groups: one shift of the planes compares all
 rows of a partition with the row d below at once, carry-save counters add up the differing bits, and words in
 which every lane exceeds the radius are dropped. Large groups: a fingerprint is compared with all that are not
-yet linked, so a dense group costs little more than one pass; groups too large for that are cut by further bits.
+yet linked, so a dense group costs little more than one pass; groups too large for that are cut by further bits, the
+largest, which would be too much for a task, before they are dealt.
 Tasks give spanning forests, not pairs; components come from star contraction over written tables.
 
 Null and empty texts have fingerprint 0. Null doc_ids never become a component's id unless all its ids are null.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.shared import arrow_rows, keep_documents, lookup, shared_dir, ship_package, whole, written
+from wayfold.llm.shared import HOT_PARTS, arrow_rows, keep_documents, lookup, shared_dir, ship_package, whole, written
 
 #: Rows of a group compared by shifts; larger groups are walked.
 SHIFT_ROWS = 64
@@ -34,6 +35,8 @@ SHIFT_ROWS = 64
 WALK_ROWS = 4096
 #: Fingerprints that a key should hold on average at most.
 GROUP_ROWS = 64
+#: Fingerprints of a key that one task compares; groups above that, or above their share of all, are cut before.
+HOT_GROUP = 1 << 16
 #: Hashes whose bits are unpacked at once.
 UNPACK = 1 << 16
 
@@ -49,7 +52,11 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     ends = [e - 1 for e in accumulate(len(p) + 1 for p in parts)]
     starts = [0, *(e + 1 for e in ends[:-1])]
     spans = zip(starts, ends[words - 1 :], strict=False) if len(parts) >= words else [(0, len(joined))]
-    hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in spans], "<u8")
+    return majority(np.array([xxh64_intdigest(joined[a:b], 42) for a, b in spans], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), UNPACK):
         ones += np.unpackbits(hashes[k : k + UNPACK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -119,6 +126,21 @@ def within(differing: Iterable[np.ndarray], alive: np.ndarray, radius: int) -> n
     return out
 
 
+def pairs_within(pairs: DataFrame, radius: int) -> DataFrame:
+    """Of the pairs (a, b, a_bits, b_bits) those whose fingerprints differ in at most radius bits, as (a, b)."""
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (planes_of(np.asarray(batch.column(k)).view(np.uint64)) for k in (2, 3))
+            every = np.zeros(left.shape[1] * 64, np.uint8)
+            every[: batch.num_rows] = 1
+            hit = within(lambda p, w: left[p][w] ^ right[p][w], np.packbits(every, bitorder="little").view("<u8"), radius)  # noqa: B023
+            yield batch.select([0, 1]).filter(pa.array(_lanes(hit)[: batch.num_rows]))
+
+    ship_package(pairs.sparkSession)
+    return pairs.mapInArrow(search, "a bigint, b bigint")
+
+
 def shifted_pairs(fps: np.ndarray, group: np.ndarray, sizes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within the radius of rows that lie in one group; rows are sorted by group, sizes is by row."""
     rows = np.arange(len(fps))
@@ -221,13 +243,47 @@ def tables_for(total: int, radius: int, group_rows: int = GROUP_ROWS) -> list[tu
     return found
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _free(mask: int) -> list[int]:
+    return [b for b in range(64) if not mask >> b & 1]
+
+
+def cut_hot(keyed: DataFrame, rows: int, radius: int) -> DataFrame:
+    """keyed (mask, key, fp; key is fp under mask) with hot groups cut by further bits, so that they spread over tasks.
+
+    The rows of a group that lie within the radius agree on one of radius + 1 parts of its free bits. Groups are cut
+    again until none is hot, or so few bits are free that a group is small for that reason.
+    """
+    least = max(HOT_GROUP, rows // HOT_PARTS)
+    while True:
+        hot = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+        parts = {}
+        for mask in (r["mask"] for r in hot.select("mask").distinct().collect()):
+            free = _free(mask % (1 << 64))
+            if len(free) >= 4 * (radius + 1):
+                parts[mask] = [_signed(mask % (1 << 64) | sum(1 << int(b) for b in p)) for p in np.array_split(np.array(free), radius + 1)]
+        if not parts:
+            return keyed
+        # At most HOT_PARTS groups are that large.
+        hot = hot.where(F.col("mask").isin(*parts)).select("mask", "key", F.lit(True).alias("hot"))
+        marked = keyed.join(F.broadcast(hot), ["mask", "key"], "left")
+        deeper = F.create_map(*[x for m, p in parts.items() for x in (F.lit(m).cast("bigint"), F.array(*[F.lit(q).cast("bigint") for q in p]))])
+        cut = marked.where("hot").select(F.explode(deeper[F.col("mask")]).alias("mask"), "fp").select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
+        keyed = marked.where("hot is null").select("mask", "key", "fp").unionByName(cut)
+    return keyed
+
+
 def links(fps: DataFrame, total: int, radius: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Links (a, b) of distinct fingerprints that connect all within the radius; a forest from each task."""
-    tables = tables_for(total, radius, group_rows)
-    signed = [m - (1 << 64) if m >> 63 else m for m, _ in tables]
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("key")) for t, m in enumerate(signed)])).alias("k")).select("k.t", "k.key", "fp")
+    masks = [_signed(m) for m, _ in tables_for(total, radius, group_rows)]
+    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(m).cast("bigint").alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("key")) for m in masks])).alias("k")).select("k.mask", "k.key", "fp")
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(parts, "t", "key").sortWithinPartitions("t", "key")
+    # A group has at most all fingerprints.
+    keyed = cut_hot(keyed, total * len(masks), radius) if total > HOT_GROUP else keyed
+    dealt = keyed.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, found = Forest(), []
@@ -247,7 +303,7 @@ def links(fps: DataFrame, total: int, radius: int = 3, group_rows: int = GROUP_R
                     link(own[i], own[j])
             for g in np.flatnonzero(sizes > SHIFT_ROWS).tolist():
                 own = fp[starts[g] : starts[g] + sizes[g]]
-                for i, j in group_links(own.view(np.uint64), tables[int(t[starts[g]])][1], radius):
+                for i, j in group_links(own.view(np.uint64), _free(int(t[starts[g]]) % (1 << 64)), radius):
                     if forest.link(int(own[i]), int(own[j])):
                         found.append((int(own[i]), int(own[j])))
 
@@ -289,14 +345,17 @@ def components(edges: DataFrame, where: str) -> DataFrame:
         state, k = now, k + 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        # A hub, the smallest node of a giant component, is on one side of most links: its rows are dealt.
+        large = lookup(both.where("v > u"), least, ["u"], 2 * now["n"], F.col("v"), "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
+        small = lookup(large, lowest, ["u"], 2 * now["n"], F.col("v"), "inner").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
         edges = written(small, f"{where}/round-{k}")
 
 
 def near_classes(docs: DataFrame, keys: list[str], id_order: Column, text: str = "text", radius: int = 3, words: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
     """A row for each row of docs: keys, fp and first, the least id_order (a struct or value of keys) of its component."""
+    if taken := {"fp", "first"} & {k.lower() for k in keys}:
+        raise ValueError(f"keys may not be named {sorted(taken)}")
     where = shared_dir(docs.sparkSession, "simhash")
     rows = written(fingerprints(docs, keys, text, words), f"{where}/fingerprints")
     groups = written(rows.groupBy("fp").agg(F.min(id_order).alias("least"), F.count(F.lit(1)).alias("rows")), f"{where}/groups")
