@@ -5,6 +5,7 @@ import numpy as np
 from fixtures import awkward, docs_table, prose
 
 from wayfold.llm import near_copies as nc
+from wayfold.llm import simhash
 
 
 def shingle_set(text):
@@ -86,3 +87,17 @@ def test_bands_find_pairs_at_the_limit():
         b = np.concatenate([a[:89], rng.integers(0, 1 << 64, 11, np.uint64, endpoint=False)])
         missed += not (nc.band_keys(a) == nc.band_keys(b)).any()
     assert missed <= 3
+
+
+def test_fingerprints_of_pairs_at_the_limit_are_within_the_radius(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for size in (9, 45, 450):
+        for k in range(1000):
+            common = rng.integers(0, 1 << 64, size * 8 // 9, np.uint64, endpoint=False)
+            a, b = (np.concatenate([common, rng.integers(0, 1 << 64, size // 9, np.uint64, endpoint=False)]) for _ in range(2))
+            rows.append((k, size, *(int(np.uint64(simhash.majority(x)).view(np.int64)) for x in (a, b))))
+    pairs = spark.createDataFrame(rows, "a bigint, b bigint, a_bits bigint, b_bits bigint")
+    assert simhash.pairs_within(pairs, nc.RADIUS).count() >= len(rows) - 3
+    want = sorted((r[0], r[1]) for r in rows if ((r[2] ^ r[3]) % (1 << 64)).bit_count() <= 9)
+    assert sorted(map(tuple, simhash.pairs_within(pairs, 9).collect())) == want
