@@ -6,7 +6,8 @@ parent domain of it). It is matched against host + path + query, the host with A
 indexes the rule; a URL's tokens fetch its candidate rules, and only those run their regular expressions.
 
 A null URL or one without `://` has an empty host and path, fits no rule and gets the default verdict. Repeated
-rows are judged each; columns beside the URL pass through, also where they are named like a result.
+rows are judged each; columns beside the URL pass through, but for one named like the result, which it replaces.
+URLs are read whole, however long.
 """
 
 from __future__ import annotations
@@ -57,6 +58,8 @@ def to_regex(rule: Rule) -> str:
     body = rule.pattern[2:] if anchored else rule.pattern
     if rule.site:
         return r"^(?:[^/?#]*\.)?" + re.escape(body)
+    # A search needs no wildcard at its ends; one at the start would try every place of a long URL anew.
+    body = body.rstrip("*") if anchored else body.strip("*")
     parts = {"*": ".*", "^": r"(?:[^A-Za-z0-9_.%-]|$)"}
     return (r"^(?:[^/?#]*\.)?" if anchored else "") + "".join(parts.get(c) or re.escape(c) for c in body)
 
@@ -103,6 +106,7 @@ def index_rules(rules: Iterable[Rule], counts: dict[str, int]) -> tuple[dict[str
 def judge(spark: SparkSession, pages: DataFrame, rules: Iterable[Rule], url: str = "url", default: str = "allow", result: str = "judged") -> DataFrame:
     """pages with a struct `result`: host, path, rule (the site rule's text), pattern (what decided), verdict, candidates."""
     rules = sorted(set(rules), key=lambda r: r.order)
+    pages = pages.drop(*[c for c in pages.columns if c.lower() == result.lower() and c.lower() != url.lower()])
     tokens = [t for r in rules for t in literal_tokens(r)]
     by_token, rest = index_rules(rules, token_counts(pages, url, tokens) if tokens else {})
     if len(rules) > BROADCAST_RULES:
@@ -130,23 +134,21 @@ def _judge_one(url: str | None, by_token: dict, rest: list[Rule], compiled: dict
 
 
 def _judge_by_join(spark: SparkSession, pages: DataFrame, by_token: dict, rest: list[Rule], url: str, default: str, result: str) -> DataFrame:
-    """The same with any number of rules: distinct targets meet the index in a join by token, dealt over salts."""
+    """The same with any number of rules: distinct targets meet the index in a join by token, dealt over salts.
+
+    Rules without a token have the empty one, which every target has besides its own.
+    """
     fields = "token string, site boolean, length int, text string, action string, regex string"
-    rows = [(t, r.site, len(r.text), r.text, r.action, f"(?s){to_regex(r)}") for t, v in by_token.items() for r in v]
+    rows = [(t, r.site, len(r.text), r.text, r.action, f"(?s){to_regex(r)}") for t, v in [*by_token.items(), ("", rest)] for r in v]
     index = spark.createDataFrame(rows, fields).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    (own,) = free_names(pages, "_target")
+    own, met_name = free_names(pages, "_target", "_met")
     keyed = pages.withColumn(own, target_of(F.col(url)))
-    targets = keyed.select(F.col(own).alias("_target")).distinct()
-    met = (
-        targets.withColumn("token", F.explode(F.array_distinct(F.regexp_extract_all("_target", F.lit("([A-Za-z0-9]+)"), 1))))
-        .withColumn("salt", F.pmod(F.xxhash64("_target"), F.lit(SALTS)).cast("int"))
-        .join(index, ["token", "salt"])
-    )
-    for r in rest:
-        met = met.unionByName(targets.select("_target", F.lit("").alias("token"), F.lit(0).alias("salt"), F.lit(r.site).alias("site"), F.lit(len(r.text)).alias("length"), F.lit(r.text).alias("text"), F.lit(r.action).alias("action"), F.lit(f"(?s){to_regex(r)}").alias("regex")))
-    best = met.groupBy("_target").agg(F.count(F.lit(1)).cast("int").alias("_n"), F.max(F.when(F.expr("_target rlike regex"), F.struct("site", "length", "text", "action"))).alias("_best"))
+    targets = keyed.select(F.col(own).alias("target")).distinct()
+    tokens = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all("target", F.lit("([A-Za-z0-9]+)"), 1)))
+    met = targets.withColumn("token", F.explode(tokens)).withColumn("salt", F.pmod(F.xxhash64("target"), F.lit(SALTS)).cast("int")).join(index, ["token", "salt"])
+    best = met.groupBy("target").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(F.when(F.expr("target rlike regex"), F.struct("site", "length", "text", "action"))).alias("best"))
+    verdicts = best.select(F.col("target").alias(own), F.struct("n", "best").alias(met_name))
     part = lambda k: F.coalesce(F.regexp_extract(F.col(url), r"://([^/?#]*)([^?#]*)", k), F.lit(""))
-    verdicts = best.select(F.col("_target").alias(own), F.struct("_n", "_best").alias(result))
-    met = keyed.join(verdicts, own, "left")
-    judged = F.struct(ascii_lower(part(1)).alias("host"), part(2).alias("path"), F.when(F.col(f"{result}._best.site"), F.col(f"{result}._best.text")).alias("rule"), F.col(f"{result}._best.text").alias("pattern"), F.coalesce(F.col(f"{result}._best.action"), F.lit(default)).alias("verdict"), F.coalesce(F.col(f"{result}._n"), F.lit(0)).alias("candidates"))
-    return met.withColumn(result, judged).drop(own)
+    m = lambda path: F.col(f"{met_name}.{path}")
+    judged = F.struct(ascii_lower(part(1)).alias("host"), part(2).alias("path"), F.when(m("best.site"), m("best.text")).alias("rule"), m("best.text").alias("pattern"), F.coalesce(m("best.action"), F.lit(default)).alias("verdict"), F.coalesce(m("n"), F.lit(0)).alias("candidates"))
+    return keyed.join(verdicts, own, "left").withColumn(result, judged).drop(own, met_name)
