@@ -1,12 +1,13 @@
+import random
 import re
 
+import pytest
 from fixtures import awkward, docs_table, prose
+from pyspark.sql import functions as F
 
 from wayfold.llm import secret_scan as s
 from wayfold.llm.shared import shared_dir
 
-import random
-
 PATTERNS = [
     ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 6),
     ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20),
@@ -55,3 +56,47 @@ def test_ledger_scans_only_what_is_new(spark):
     assert any(x["end"] - x["start"] == 8 for r in got for x in r["spans"])
     assert spark.read.parquet(f"{ledger}/paths").count() == len(rows(20)) * 2 + len(rows(40)) * 2
     assert s.scan(first.limit(0), ledger, ["doc_id"]).count() == 0
+
+
+def test_history_has_every_version_of_a_path(spark):
+    ledger = shared_dir(spark, "test-ledger")
+    s.scan(docs_table(spark, [(1, "password: hunter22"), (2, "clean")]), ledger, ["doc_id"], rules=s.BASE_RULES)
+    now = s.scan(docs_table(spark, [(1, "clean"), (3, "password: hunter22")]), ledger, ["doc_id"], rules=s.BASE_RULES).collect()
+    assert {r["doc_id"]: len(r["spans"]) for r in now} == {1: 0, 3: 1}
+    all_versions = s.history(spark, ledger, ["doc_id"], s.BASE_RULES).collect()
+    assert sorted((r["doc_id"], len(r["spans"])) for r in all_versions) == [(1, 0), (1, 1), (2, 0), (3, 1)]
+    newer = (s.SecretRule("short", "(hunter22)", "hunter22", 1, 1),)
+    assert all(not r["spans"] for r in s.history(spark, ledger, ["doc_id"], newer).collect())
+    s.catch_up(spark, ledger, newer)
+    assert sorted(r["doc_id"] for r in s.history(spark, ledger, ["doc_id"], newer).collect() if r["spans"]) == [1, 3]
+    before = spark.read.parquet(f"{ledger}/scans").count()
+    s.catch_up(spark, ledger, newer)
+    assert spark.read.parquet(f"{ledger}/scans").count() == before
+
+
+def test_facts_that_are_there_twice_count_once(spark):
+    """Two calls that start together, or one that failed after it wrote its facts and runs again."""
+    ledger, docs = shared_dir(spark, "test-ledger"), docs_table(spark, rows(20))
+    first = s.scan(docs, ledger, ["doc_id"], rules=s.BASE_RULES).select("doc_id", "blob", F.to_json("spans").alias("spans")).collect()
+    for name in ("blobs", "scans"):
+        facts = spark.read.parquet(f"{ledger}/{name}").drop("call")
+        facts.write.parquet(f"{ledger}/{name}/call=again")
+    again = s.scan(docs, ledger, ["doc_id"], rules=s.BASE_RULES).select("doc_id", "blob", F.to_json("spans").alias("spans")).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, first))
+
+
+def test_a_scan_that_failed_is_repeated(spark, monkeypatch):
+    ledger, docs = shared_dir(spark, "test-ledger"), docs_table(spark, rows(10))
+    with monkeypatch.context() as m:
+        m.setattr(s, "_run", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            s.scan(docs, ledger, ["doc_id"], rules=s.BASE_RULES)
+    got = s.scan(docs, ledger, ["doc_id"], rules=s.BASE_RULES).collect()
+    assert sum(len(r["spans"]) for r in got) == sum(len(brute(r[1])) for r in rows(10))
+
+
+def test_path_columns_that_clash(spark):
+    docs = docs_table(spark, rows(3)).withColumnRenamed("lang", "rank").withColumnRenamed("source", "_p")
+    assert s.scan(docs, shared_dir(spark, "test-ledger"), ["doc_id", "rank", "_p"]).columns == ["doc_id", "rank", "_p", "blob", "spans"]
+    with pytest.raises(ValueError, match="blob"):
+        s.scan(docs.withColumnRenamed("rank", "blob"), shared_dir(spark, "test-ledger"), ["blob"])
