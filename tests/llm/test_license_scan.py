@@ -1,5 +1,4 @@
 import random
-import re
 
 from fixtures import awkward, docs_table, prose
 
@@ -9,32 +8,67 @@ from wayfold.llm import license_scan as lic
 def rows():
     rng, made = random.Random(9), []
     names = sorted(lic.TEMPLATES)
-    for k in range(160):
-        words = prose(rng, rng.randrange(0, 600), 200).split(" ")
-        if k % 4:
+    for k in range(120):
+        words = prose(rng, rng.randrange(0, 400), 200).split(" ")
+        for _ in range(k % 4):
             template = lic.TEMPLATES[rng.choice(names)].split(" ")
             for _ in range(rng.randrange(3)):
                 at = rng.randrange(len(template))
-                template[at : at + 1] = rng.choice([[], ["edited"], [template[at], "more"]])
+                template[at : at + 1] = rng.choice([[], ["edited"], [template[at], "more"], [template[at], *prose(rng, rng.randrange(30)).split(" ")]])
             at = rng.randrange(len(words) + 1)
             words[at:at] = template
         made.append((100 + k, " ".join(words), "a"))
     return awkward() + made
 
 
-def brute(text, template):
-    """The best share of the template's shingles in a stretch of the window's size, at any word."""
-    words, wanted = re.findall(r"[^\W_]+", (text or "").lower()), set(lic.shingles_of(lic.words_of(template)))
-    size = 1 << (len(wanted) - 1).bit_length()
-    shingles = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
-    step = max(1, size // 2)
-    return max((len(wanted & set(shingles[i : i + 2 * size])) / len(wanted) for i in range(0, max(1, len(shingles)), step)), default=0)
+def words_in(text):
+    """Words without the module's help: letters and digits in a row."""
+    return "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
 
 
-def test_finds_what_brute_force_finds(spark):
-    got = {(r["doc_id"], r["template"]): r["containment"] for r in lic.scan(spark, docs_table(spark, rows())).collect()}
-    want = {(i, k): b for i, text, *_ in rows() for k, t in lic.TEMPLATES.items() if (b := brute(text, t)) >= 0.8}
-    assert got == want and len(want) > 80
+def five(words):
+    return [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+
+
+def best(shingles, wanted, size):
+    """The best share of the template's shingles in a stretch of `size` shingles from any word on."""
+    return max((len(wanted & set(shingles[i : i + size])) / len(wanted) for i in range(len(shingles))), default=0)
+
+
+def test_recall_and_precision_against_every_window(spark):
+    """All that lies in 1.5 L shingles, from any word on, is found; all that is found lies in 2 L."""
+    got = {(r["doc_id"], r["template"]) for r in lic.scan(spark, docs_table(spark, rows())).collect()}
+    near, far = set(), set()
+    for i, text, *_ in rows():
+        shingles = five(words_in(text))
+        for k, t in lic.TEMPLATES.items():
+            wanted = set(five(words_in(t)))
+            if not wanted & set(shingles):
+                continue
+            size = 1 << (len(wanted) - 1).bit_length()
+            if best(shingles, wanted, size + size // 2) >= 0.8:
+                near.add((i, k))
+            if best(shingles, wanted, 2 * size) >= 0.8:
+                far.add((i, k))
+    assert near <= got <= far and len(near) > 100
+
+
+def test_every_occurrence_has_its_place(spark):
+    mit = lic.TEMPLATES["mit-text"]
+    n = len(words_in(mit))
+    text = f"{'one ' * 40}{mit} {'two ' * 900}{mit} {'three ' * 10}"
+    got = sorted((r["first_word"], r["last_word"], r["containment"]) for r in lic.scan(spark, docs_table(spark, [(1, text)])).collect() if r["template"] == "mit-text")
+    assert got == [(40, 39 + n, 1.0), (940 + n, 939 + 2 * n, 1.0)]
+
+
+def test_templates_that_are_joined_by_a_shuffle(spark, monkeypatch):
+    docs = docs_table(spark, rows()[-60:])
+    want = sorted(map(repr, lic.scan(spark, docs).collect()))
+    monkeypatch.setattr(lic, "BROADCAST_TEMPLATES", 0)
+    assert sorted(map(repr, lic.scan(spark, docs).collect())) == want and want
+    assert lic.scan(spark, docs, templates={}).count() == 0
+    one = lic.scan(spark, docs, templates={"mine": "w1 w2"})
+    assert set(r["template"] for r in one.collect()) <= {"mine"}
 
 
 def test_anchors_cover_more_than_a_fifth():

@@ -10,8 +10,9 @@ Only windows with an anchor word are hashed. A template's anchors are words such
 shingles have one: a text with 80 % of the shingles has at least one of them, so nothing is lost.
 
 Words are runs of letters and digits of the lower-cased text. Shorter texts are one shingle. Null and empty texts
-match nothing. A document matches a template once, by its best window, the first of equals; rows with one id
-count as one document, null ids too. An empty table gives no rows. Only the id and the text are read.
+match nothing. Windows that match a template and overlap in the words they match are one occurrence; each has its
+own row, so a notice that comes three times is found three times. Rows with one id count as one document, null ids
+too. An empty table gives no rows. Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from wayfold.llm.shared import whole
 
 SHINGLE, BANDS, LEAST = 5, 48, 0.8
-#: Bands of templates that are broadcast: 24 bytes each. More templates than this are joined by a shuffle.
-BROADCAST_TEMPLATES = 5_000
+#: Templates whose shingles (about 10 KB for a whole licence) are broadcast; of more they are joined by a shuffle.
+BROADCAST_TEMPLATES = 2_000
+FOUND = "doc_id, template, containment, shared, shingles, first_word, last_word"
 
 #: Notices to look for.
 TEMPLATES = {
@@ -37,6 +40,21 @@ TEMPLATES = {
     "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-1.0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "bsd-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "mit-disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
 }
 
 
@@ -78,17 +96,30 @@ def _minima(shingles: Column) -> Column:
     return F.array(*[lowest(k) for k in range(BANDS)])
 
 
+def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+    """A row for each template that has words: template, class, wanted (its shingles)."""
+    parsed = {k: shingles_of(words_of(t)) for k, t in sorted(templates.items()) if words_of(t)}
+    return spark.createDataFrame([(k, class_of(w), w) for k, w in parsed.items()], "template string, class int, wanted array<string>")
+
+
+def class_of(shingles: list[str]) -> int:
+    return 1 << (len(shingles) - 1).bit_length()
+
+
 def scan(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """A row for each document and template that it has: doc_id, template, containment, shared, shingles, first_word."""
+    """A row for each occurrence of a template: doc_id, template, containment, shared, shingles, first_word, last_word.
+
+    Words are numbered from 0; first and last are those of the occurrence's matching shingles.
+    """
     templates = TEMPLATES if templates is None else templates
-    parsed = {k: words_of(t) for k, t in templates.items() if words_of(t)}
     classes: dict[int, set[str]] = {}
-    for w in parsed.values():
-        classes.setdefault(1 << (len(shingles_of(w)) - 1).bit_length(), set()).update(anchors_of(w, least))
-    rows = [F.struct(F.lit(k).alias("template"), F.lit(1 << (len(shingles_of(w)) - 1).bit_length()).alias("class"), F.array(*[F.lit(s) for s in shingles_of(w)]).alias("wanted")) for k, w in sorted(parsed.items())]
-    table = spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
-    bands = table.withColumn("minima", _minima(F.col("wanted"))).select("template", "class", "wanted", F.posexplode("minima").alias("band", "low"))
-    bands = F.broadcast(bands) if len(parsed) <= BROADCAST_TEMPLATES else bands
+    for w in map(words_of, templates.values()):
+        if w:
+            classes.setdefault(class_of(shingles_of(w)), set()).update(anchors_of(w, least))
+    if not classes:
+        return docs.select(F.col(doc_id).alias("doc_id"), F.lit("").alias("template"), F.lit(0.0).alias("containment"), F.lit(0).alias("shared"), F.lit(0).alias("shingles"), F.lit(0).cast("bigint").alias("first_word"), F.lit(0).cast("bigint").alias("last_word")).limit(0)
+    bands = template_table(spark, templates).withColumn("minima", _minima(F.col("wanted"))).select("template", "class", "wanted", F.posexplode("minima").alias("band", "low"))
+    bands = F.broadcast(bands) if len(templates) <= BROADCAST_TEMPLATES else bands.hint("merge")
 
     every = sorted(set().union(*classes.values()))
     body = whole(F.col(text))
@@ -104,6 +135,15 @@ def scan(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str
     cut = gated.select("doc_id", F.explode(F.flatten(F.array(*[windows(n, a) for n, a in sorted(classes.items())]))).alias("w")).select("doc_id", "w.class", "w.start", "w.words")
     shingled = cut.withColumn("shingles", _shingles(F.col("words"))).drop("words")
     hashed = shingled.withColumn("minima", _minima(F.col("shingles"))).select("doc_id", "class", "start", "shingles", F.posexplode("minima").alias("band", "low"))
-    met = hashed.join(bands, ["class", "band", "low"]).select("doc_id", "start", "template", "wanted", F.size(F.array_intersect("shingles", "wanted")).alias("shared"))
-    best = met.where(F.col("shared") >= least * F.size("wanted")).groupBy("doc_id", "template").agg(F.max(F.struct("shared", (-F.col("start")).alias("before"), F.size("wanted").alias("shingles"))).alias("b"))
-    return best.select("doc_id", "template", (F.col("b.shared") / F.col("b.shingles")).alias("containment"), F.col("b.shared").alias("shared"), F.col("b.shingles").alias("shingles"), (-F.col("b.before")).cast("bigint").alias("first_word"))
+    met = hashed.join(bands, ["class", "band", "low"])
+    shared = F.size(F.array_intersect("shingles", "wanted"))
+    fits = met.withColumn("shared", shared).where(F.col("shared") >= least * F.size("wanted"))
+    # A window meets a template in several bands; only one is placed.
+    once = fits.groupBy("doc_id", "template", "start").agg(F.first("shared").alias("shared"), F.first("shingles").alias("own"), F.first("wanted").alias("wanted"))
+    places = F.filter(F.transform("own", lambda x, i: F.when(F.array_contains("wanted", x), i)), lambda i: i.isNotNull())
+    placed = once.select("doc_id", "template", "shared", F.size("wanted").alias("shingles"), (F.col("start") + F.array_min(places)).alias("first"), (F.col("start") + F.array_max(places) + SHINGLE - 1).alias("last"))
+    order = W.partitionBy("doc_id", "template").orderBy("first", "last")
+    new = F.coalesce(F.col("first") > F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    runs = placed.withColumn("run", F.sum(new.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    out = runs.groupBy("doc_id", "template", "run").agg(F.max("shared").alias("shared"), F.max("shingles").alias("shingles"), F.min("first").cast("bigint").alias("first_word"), F.max("last").cast("bigint").alias("last_word"))
+    return out.withColumn("containment", F.col("shared") / F.col("shingles")).select(*FOUND.split(", "))
