@@ -14,26 +14,27 @@ book = Book()
 query = book.query
 
 
-@query("""SELECT r.route_id, r.number, r.is_active, count(DISTINCT CASE WHEN rs.direction = 0 THEN rs.stop_id END) AS forward_stops, count(DISTINCT CASE WHEN rs.direction = 1 THEN rs.stop_id END) AS backward_stops,
- count(DISTINCT CASE WHEN v.is_active THEN v.vehicle_id END) AS active_vehicles, max(rs.seq) AS max_seq
+@query("""SELECT r.route_id, r.number, r.is_active, count(DISTINCT rs.stop_id) AS total_stops, count(DISTINCT CASE WHEN rs.direction = 0 THEN rs.stop_id END) AS forward_stops, count(DISTINCT CASE WHEN rs.direction = 1 THEN rs.stop_id END) AS backward_stops,
+ count(DISTINCT v.vehicle_id) AS total_vehicles, count(DISTINCT CASE WHEN v.is_active THEN v.vehicle_id END) AS active_vehicles, max(rs.seq) AS max_seq
 FROM routes r LEFT JOIN route_stops rs USING (route_id) LEFT JOIN vehicles v ON v.route_id = r.route_id GROUP BY ALL""")
 def mv_route_statistics(t: Transit) -> DataFrame:
     return v.route_statistics(t.routes, t.route_stops, t.vehicles)
 
 
-@query("""SELECT a.stop_id AS from_stop, b.stop_id AS to_stop, a.route_id, r.number, a.direction, (b.seq - a.seq) * 2 AS est_minutes, (SELECT count(*) FROM vehicles v WHERE v.route_id = a.route_id AND v.is_active) AS active_vehicles
-FROM route_stops a JOIN route_stops b ON a.route_id = b.route_id AND a.direction = b.direction AND a.seq < b.seq AND b.seq - a.seq <= 20 AND a.stop_id <> b.stop_id JOIN routes r ON r.route_id = a.route_id AND r.is_active""")
+@query("""SELECT a.stop_id AS from_stop, b.stop_id AS to_stop, a.route_id, r.number, a.direction, (b.seq - a.seq) * 2 AS est_minutes, (SELECT count(*) FROM vehicles v WHERE v.route_id = a.route_id AND v.is_active) AS active_vehicles,
+ x.name AS from_name, x.lat AS from_lat, x.lon AS from_lon, y.name AS to_name, y.lat AS to_lat, y.lon AS to_lon
+FROM route_stops a JOIN route_stops b ON a.route_id = b.route_id AND a.direction = b.direction AND a.seq < b.seq AND b.seq - a.seq <= 20 JOIN routes r ON r.route_id = a.route_id AND r.is_active JOIN stops x ON x.stop_id = a.stop_id AND x.is_active JOIN stops y ON y.stop_id = b.stop_id AND y.is_active""")
 def mv_popular_direct_routes(t: Transit) -> DataFrame:
-    return v.popular_direct_routes(t.routes, t.route_stops, t.vehicles)
+    return v.popular_direct_routes(t.routes, t.route_stops, t.vehicles, t.stops)
 
 
-@query("""SELECT a.stop_id AS from_stop, b.stop_id AS to_stop, count(DISTINCT a.route_id) AS routes, array_to_string(list_sort(list(DISTINCT r.number)), ',') AS numbers, min((b.seq - a.seq) * 2)::INT AS least_minutes, round(avg((b.seq - a.seq) * 2), 6) AS mean_minutes
-FROM route_stops a JOIN route_stops b ON a.route_id = b.route_id AND a.direction = b.direction AND a.seq < b.seq AND a.stop_id <> b.stop_id JOIN routes r ON r.route_id = a.route_id AND r.is_active GROUP BY ALL""")
+@query("""SELECT a.stop_id AS from_stop, b.stop_id AS to_stop, x.name AS from_name, y.name AS to_name, count(DISTINCT a.route_id) AS routes, array_to_string(list_sort(list(DISTINCT r.number)), ',') AS numbers, min((b.seq - a.seq) * 2)::INT AS least_minutes, round(avg((b.seq - a.seq) * 2), 6) AS mean_minutes
+FROM route_stops a JOIN route_stops b ON a.route_id = b.route_id AND a.direction = b.direction AND a.seq < b.seq AND a.stop_id <> b.stop_id JOIN routes r ON r.route_id = a.route_id AND r.is_active JOIN stops x ON x.stop_id = a.stop_id AND x.is_active JOIN stops y ON y.stop_id = b.stop_id AND y.is_active GROUP BY ALL""")
 def mv_stop_connections(t: Transit) -> DataFrame:
-    return v.stop_connections(t.route_stops, t.routes)
+    return v.stop_connections(t.route_stops, t.routes, t.stops)
 
 
-@query("""SELECT r.route_id, r.number, count(DISTINCT CASE WHEN v.is_active THEN v.vehicle_id END) AS active_vehicles, count(DISTINCT CASE WHEN v.is_active AND v.in_motion THEN v.vehicle_id END) AS moving_vehicles, count(DISTINCT rs.stop_id) AS stops, max(v.updated_us) AS last_update_us
+@query("""SELECT r.route_id, r.number, r.color, r.duration_min, count(DISTINCT CASE WHEN v.is_active THEN v.vehicle_id END) AS active_vehicles, count(DISTINCT CASE WHEN v.in_motion THEN v.vehicle_id END) AS moving_vehicles, count(DISTINCT rs.stop_id) AS stops, max(v.updated_us) AS last_update_us
 FROM routes r LEFT JOIN route_stops rs USING (route_id) LEFT JOIN vehicles v ON v.route_id = r.route_id WHERE r.is_active GROUP BY ALL""")
 def mv_active_routes_summary(t: Transit) -> DataFrame:
     return v.active_routes_summary(t.routes, t.route_stops, t.vehicles)
