@@ -34,6 +34,49 @@ def in_fence(lat: Column, lon: Column, fence: str = "") -> Column:
     return F.when(c("boundary").isNotNull(), geo.in_ring(lat, lon, c("boundary"))).otherwise(geo.haversine(lat, lon, c("lat"), c("lon")) <= c("radius"))
 
 
+def fence_box(fence: str = "") -> dict[str, Column]:
+    """The bounds of a fence's boundary, or of its circle."""
+    c = lambda n: F.col(f"{fence}{n}")
+    side = lambda f, n: f(F.transform(c("boundary"), lambda p: p[n]))
+    circle = geo.box(c("lat"), c("lon"), c("radius"))
+    ring = {"south": side(F.array_min, "lat"), "north": side(F.array_max, "lat"), "west": side(F.array_min, "lon"), "east": side(F.array_max, "lon")}
+    return {k: F.coalesce(ring[k], circle[k]) for k in ring}
+
+
+def fenced(points: DataFrame, fences: DataFrame, size_m: float = 1000.0) -> DataFrame:
+    """points (lat, lon, ...) with each fence (g_lat, g_lon, g_radius, g_boundary, ...) in whose bounds they lie, and `inside`.
+
+    An equi-join by grid cell: a fence has the cells of its bounds, so points far from all fences meet none.
+    """
+    bounds = fence_box("g_")
+    boxed = fences.select("*", *[v.alias(f"_{k}") for k, v in bounds.items()])
+    south, west = geo.cell(F.col("_south"), F.col("_west"), size_m)
+    north, east = geo.cell(F.col("_north"), F.col("_east"), size_m)
+    cells = boxed.withColumn("_row", F.explode(F.sequence(south, north))).withColumn("_column", F.explode(F.sequence(west, east)))
+    row, column = geo.cell(F.col("lat"), F.col("lon"), size_m)
+    met = points.withColumn("_row", row).withColumn("_column", column).join(cells, ["_row", "_column"])
+    held = met.where(geo.in_box(F.col("lat"), F.col("lon"), {k: F.col(f"_{k}") for k in bounds}))
+    return held.withColumn("inside", in_fence(F.col("lat"), F.col("lon"), "g_")).drop("_row", "_column", *[f"_{k}" for k in bounds])
+
+
+def near_lines(points: DataFrame, segs: DataFrame, metres: float, key: str) -> DataFrame:
+    """(key, route_id, direction, distance_m) for each point (key, lat, lon) and line at most `metres` from it.
+
+    Segments are laid out in grid cells twice as wide as that: a place of a segment at every cell's half, with the
+    cells around it. Whatever is near a segment lies in one of them, so an equi-join by cell finds all pairs.
+    """
+    size = 2 * metres
+    steps = F.greatest(F.ceil(F.col("length_m") / (size / 2)).cast("int"), F.lit(1))
+    laid = segs.withColumn("_at", F.explode(F.transform(F.sequence(F.lit(0), steps), lambda i: i / steps)))
+    row, column = geo.cell(F.expr("a_lat + (b_lat - a_lat) * _at"), F.expr("a_lon + (b_lon - a_lon) * _at"), size)
+    cells = laid.withColumn("_cell", F.explode(geo.neighbour_cells(row, column))).select("_cell", "route_id", "direction", "a_lat", "a_lon", "b_lat", "b_lon").distinct()
+    p_row, p_column = geo.cell(F.col("lat"), F.col("lon"), size)
+    met = points.select(key, "lat", "lon", F.struct(p_row.alias("row"), p_column.alias("column")).alias("_cell")).join(cells, "_cell")
+    met = met.withColumn("_t", geo.project_t(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
+    away = geo.haversine(F.col("lat"), F.col("lon"), F.expr("a_lat + (b_lat - a_lat) * _t"), F.expr("a_lon + (b_lon - a_lon) * _t"))
+    return met.select(key, "route_id", "direction", away.alias("d")).where(F.col("d") <= metres).groupBy(key, "route_id", "direction").agg(F.min("d").alias("distance_m"))
+
+
 def nearest(left: DataFrame, right: DataFrame, on: list[str], left_key: str, right_key: str) -> DataFrame:
     """For each left row the right row of the same `on` that is nearest; ties go to the smaller right_key.
 

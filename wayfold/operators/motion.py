@@ -2,8 +2,9 @@
 
 State per vehicle: arc position x, speed v, covariance P, mode, direction and trip. Each fix is snapped to the
 line near x, gated by its innovation, and corrects the state within bounds; rejected fixes in a row re-anchor it.
-Stops and terminals are zones of the line; at a terminal the other direction becomes the line. `step` is the whole
-per-row helper; partitioning and order are Spark's: mapInArrow over sorted vehicles. There is no stream version.
+Stops and terminals are zones of the line; at a terminal the other direction becomes the line. The first fix after
+a gap has the event GPS_LOST or NO_GPS, unless it has another one; its mode is the one the filter went on with.
+`step` is the whole per-row helper; partitioning and order are Spark's: mapInArrow over sorted vehicles. There is no stream version.
 """
 
 from __future__ import annotations
@@ -140,6 +141,7 @@ def step(s: State, lines: dict[int, Line], t_us: int, lat: float, lon: float, km
     dt = max((t_us - s.t_us) / 1e6, 0.0)
     before, s.t_us = s.mode, t_us
     predict(s, dt, line.length)
+    lost = s.mode if s.mode in ("GPS_LOST", "NO_GPS") and s.mode != before else ""
     reach = WINDOW_M + WINDOW_K * max(s.v, 1.0) * max(dt, 1.0)
     z, d = line.snap(lat, lon, s.x - reach, s.x + reach)
     if d > OFF_M:
@@ -162,12 +164,12 @@ def step(s: State, lines: dict[int, Line], t_us: int, lat: float, lon: float, km
             if s.mode == "RECOVERING" or len(s.turns) >= OFF_EXIT:
                 s.mode, s.turns = "TRACKING", []
                 return "BACK_ON_ROUTE", d
-            return "", d
+            return lost, d
         event = stop_layer(s, line, t_us, kmh)
         if s.x >= line.length - TERMINAL_M and s.direction in lines:
             s.mode, s.turns = "AT_TERMINAL", []
             return "AT_TERMINAL", d
-        return event, d
+        return event or lost, d
     s.misses += 1
     if d <= OFF_M:
         s.candidates = [*s.candidates[-PERSIST:], z] if not s.candidates or abs(z - s.candidates[-1]) <= REANCHOR_M + V_MAX * max(dt, 1.0) else [z]
@@ -180,7 +182,7 @@ def step(s: State, lines: dict[int, Line], t_us: int, lat: float, lon: float, km
         return "OFF_ROUTE", d
     elif s.misses >= PERSIST:
         s.mode = "RECOVERING"
-    return "", d
+    return lost, d
 
 
 def turn(s: State, lines: dict[int, Line], lat: float, lon: float, d: float) -> tuple[str, float]:

@@ -17,7 +17,7 @@ def timetable(placed_stops: DataFrame, routes: DataFrame, segments: DataFrame) -
     """
     line = segments.groupBy("route_id", "direction").agg(F.sum("length_m").alias("line_m"))
     sized = placed_stops.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("route_id", "direction"))).withColumn("k", F.row_number().over(W.partitionBy("route_id", "direction").orderBy("seq")))
-    met = sized.where("n >= 2").join(F.broadcast(routes.select("route_id", "duration_min")), "route_id").join(line, ["route_id", "direction"], "left")
+    met = sized.where("n >= 2").join(routes.select("route_id", "duration_min"), "route_id").join(line, ["route_id", "direction"], "left")
     met = met.withColumn("total_s", F.coalesce(F.col("duration_min") * 60, F.round(F.col("line_m") / WALK_MS)).cast("bigint")).where("total_s > 0")
     return met.select("route_id", "direction", F.col("k").cast("int").alias("position"), "stop_id", "total_s", F.round((F.col("k") - 1) * F.col("total_s") / (F.col("n") - 1)).cast("bigint").alias("offset_s"))
 
@@ -67,3 +67,34 @@ def one_transfer_journeys(asked: DataFrame, pairs: DataFrame, least_ride_s: int
     second = pairs.select(F.col("from_stop").alias("change"), "to_stop", F.col("route_id").alias("route_2"), F.col("ride_s").alias("ride_2"))
     met = first.join(second, ["change", "to_stop"]).where(F.col("route_1") != F.col("route_2"))
     return met.where((F.col("ride_1") >= least_ride_s) & (F.col("ride_2") >= least_ride_s) & (F.col("ride_1") + F.col("ride_2") <= most_s)).select("request", "change", "route_1", "route_2", (F.col("ride_1") + F.col("ride_2")).alias("ride_s"))
+
+
+def two_transfer_journeys(asked: DataFrame, pairs: DataFrame, wait_s: int = 300, least_ride_s: int = 60, most_s: int = 9000, best: int = 5) -> DataFrame:
+    """The best journeys of each request with two changes onto other routes, waiting wait_s at each.
+
+    Both ends are fixed: first rides from the origin and last rides to the target are made on their own, and meet in
+    the middle ride, so no more than its pairs come between them. Of the rides between two stops only the quickest
+    can be in a best journey: as many as are wanted, and those of the two other routes, in both directions.
+    """
+    quick = W.partitionBy("from_stop", "to_stop").orderBy("ride_s", "route_id", "direction")
+    pairs = pairs.where(F.col("ride_s") >= least_ride_s).withColumn("rn", F.row_number().over(quick)).where(F.col("rn") <= best + 4)
+    ride = lambda k, a, b: pairs.select(F.col("from_stop").alias(a), F.col("to_stop").alias(b), F.col("route_id").alias(f"route_{k}"), F.col("direction").alias(f"d{k}"), F.col("ride_s").alias(f"ride_{k}"))
+    first = asked.join(ride(1, "from_stop", "change_1"), "from_stop")
+    last = asked.select("request", "to_stop").join(ride(3, "change_2", "to_stop"), "to_stop").drop("to_stop")
+    met = first.join(ride(2, "change_1", "change_2"), "change_1").where("route_1 <> route_2").join(last, ["request", "change_2"]).where("route_2 <> route_3 and route_1 <> route_3")
+    timed = met.withColumn("total_s", F.expr("ride_1 + ride_2 + ride_3") + 2 * wait_s).where(F.col("total_s") <= most_s)
+    w = W.partitionBy("request").orderBy("total_s", "route_1", "route_2", "route_3", "change_1", "change_2", "d1", "d2", "d3")
+    return timed.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= best).select("request", "change_1", "change_2", "route_1", "route_2", "route_3", "total_s")
+
+
+def scores(options: DataFrame) -> DataFrame:
+    """options (minutes, transfers, walk_min) with comfort, quality, reliability and cost.
+
+    Fixed values: baselines, penalties for transfers, minutes and walking beyond what is free, and weights.
+    """
+    above = lambda c, free: F.greatest(F.lit(0), F.col(c) - free)
+    left = lambda spent: F.greatest(F.lit(0), 100 - spent)
+    comfort = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - F.col("transfers") * 15.0 - above("walk_min", 5) * 2.0 - above("minutes", 30) * 0.5))
+    quality = left(F.col("minutes")) * 0.4 + left(F.col("transfers") * 25) * 0.3 + left(F.col("walk_min") * 3) * 0.2 + F.col("comfort") * 0.1
+    reliability = F.greatest(F.lit(0.5), 0.95 - F.col("transfers") * 0.05 - above("walk_min", 10) * 0.01)
+    return options.withColumn("comfort", comfort).withColumn("quality", quality).withColumn("reliability", reliability).withColumn("cost", (F.col("transfers") + 1).cast("double"))

@@ -110,6 +110,21 @@ def kalman_speed(fixes: DataFrame, q: float = 5.0, r: float = 4.0, p0: float = 2
     return per.select("vehicle_id", done.alias("s")).select("vehicle_id", F.col("s.x").alias("speed"), F.col("s.p").alias("variance"))
 
 
+def innovations(fixes: DataFrame, q: float = 5.0, r: float = 4.0, p0: float = 25.0) -> DataFrame:
+    """By vehicle: the mean of the squared innovation over its variance of kalman_speed, and how many there are."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct("t_us", "fix_id", F.col("speed").alias("x")))), lambda a: a["x"])
+    per = fixes.groupBy("vehicle_id").agg(values.alias("v"))
+    start = F.struct(F.element_at("v", 1).alias("x"), F.lit(p0).alias("p"), F.lit(0.0).alias("nis"))
+
+    def step(acc: Column, z: Column) -> Column:
+        prior = acc["p"] + q
+        gain, off = prior / (prior + r), z - acc["x"]
+        return F.struct((acc["x"] + gain * off).alias("x"), ((1 - gain) * prior).alias("p"), (acc["nis"] + off * off / (prior + r)).alias("nis"))
+
+    done = per.select("vehicle_id", (F.size("v") - 1).alias("n"), F.aggregate(F.slice("v", 2, F.size("v")), start, step).alias("s"))
+    return done.select("vehicle_id", "n", F.when(F.col("n") > 0, F.col("s.nis") / F.col("n")).alias("mean_nis"))
+
+
 VALIDATED = "fix_id bigint, vehicle_id bigint, verdict string"
 
 

@@ -113,12 +113,6 @@ def latest_subscription(t: Transit) -> DataFrame:
     return best.select("client", "b.plan_id", "b.status")
 
 
-@query("SELECT route_id, from_stop, to_stop, hour, weekend, trips, round(mean_s, 6) AS mean_s, trips >= 3 AS trusted FROM (SELECT route_id, vehicle_id % 7 AS from_stop, fix_id % 5 AS to_stop, (t_us // 3600000000 % 24)::INT AS hour, (t_us // 86400000000 % 7) >= 5 AS weekend, count(*) AS trips, avg(speed) AS mean_s FROM fixes GROUP BY ALL)")
-def segment_travel_stats(t: Transit) -> DataFrame:
-    """Means and counts by segment, hour and weekend, and whether there are enough to trust."""
-    return r.rolling_mean(t.fixes.selectExpr("route_id", "vehicle_id % 7 as from_stop", "fix_id % 5 as to_stop", "cast(t_us div 3600000000 % 24 as int) as hour", "(t_us div 86400000000 % 7) >= 5 as weekend", "speed"), ["route_id", "from_stop", "to_stop", "hour", "weekend"], "speed").select("route_id", "from_stop", "to_stop", "hour", "weekend", F.col("n").alias("trips"), F.round("mean", 6).alias("mean_s"), (F.col("n") >= 3).alias("trusted"))
-
-
 @query("SELECT coalesce(a.route_id, b.route_id) AS route_id, coalesce(a.n, 0) + coalesce(b.n, 0) AS n, round((coalesce(a.s, 0) + coalesce(b.s, 0)) / (coalesce(a.n, 0) + coalesce(b.n, 0)), 6) AS mean FROM (SELECT route_id, count(*) AS n, sum(speed) AS s FROM fixes WHERE fix_id % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT route_id, count(*) AS n, sum(speed) AS s FROM fixes WHERE fix_id % 2 = 1 GROUP BY 1) b USING (route_id)")
 def merged_rolling_mean(t: Transit) -> DataFrame:
     """Means of an old batch and a new one, merged by their counts."""
@@ -126,14 +120,6 @@ def merged_rolling_mean(t: Transit) -> DataFrame:
     return r.merge_means(old, new, ["route_id"]).select("route_id", "n", F.round("mean", 6).alias("mean"))
 
 
-@query("SELECT route_id, to_stop, round(greatest(0.5, least(3.0, live / base)), 6) AS factor FROM (SELECT route_id, fix_id % 5 AS to_stop, avg(speed) FILTER (WHERE fix_id % 4 = 0) AS live, count(*) FILTER (WHERE fix_id % 4 = 0) AS n_live, avg(speed) FILTER (WHERE fix_id % 4 <> 0) AS base, count(*) FILTER (WHERE fix_id % 4 <> 0) AS n_base FROM fixes GROUP BY 1, 2) WHERE n_live >= 2 AND n_base >= 3 AND base > 0")
-def live_factors(t: Transit) -> DataFrame:
-    """How much longer a segment takes now than usually, where both are known well enough."""
-    live = F.expr("fix_id % 4 = 0")
-    g = t.fixes.groupBy("route_id", F.expr("fix_id % 5").alias("to_stop")).agg(F.avg(F.when(live, F.col("speed"))).alias("live"), F.count_if(live).alias("n_live"), F.avg(F.when(~live, F.col("speed"))).alias("base"), F.count_if(~live).alias("n_base"))
-    return g.where("n_live >= 2 and n_base >= 3 and base > 0").select("route_id", "to_stop", F.round(n.clamp(F.col("live") / F.col("base"), 0.5, 3.0), 6).alias("factor"))
-
-
 @query("SELECT category, count(DISTINCT alias) AS aliases, array_to_string(list_sort(list(DISTINCT alias)), '|') AS listed, coalesce(list_sum(list(place_id) FILTER (WHERE is_active)), 0)::BIGINT AS active_sum FROM places GROUP BY 1")
 def place_aliases(t: Transit) -> DataFrame:
     return t.places.groupBy("category").agg(F.count_distinct("alias").alias("aliases"), F.array_join(F.array_sort(F.collect_set("alias")), "|").alias("listed"), F.coalesce(F.sum(F.when(F.col("is_active"), F.col("place_id"))), F.lit(0)).alias("active_sum"))
@@ -179,10 +165,11 @@ def dead_letters(t: Transit) -> DataFrame:
     return r.retry_state(failed, NOW_US)
 
 
-@query("SELECT fix_id, (t_us // 3600000000)::BIGINT AS hour FROM fixes WHERE route_id = 3")
+@query("SELECT fix_id, 'fixes-' || strftime(make_timestamp(t_us), '%Y%m%d-%H') || '.jsonl' AS file, row_number() OVER (PARTITION BY t_us // 3600000000 ORDER BY t_us, fix_id) AS line FROM fixes")
 def recorded_fixes(t: Transit) -> DataFrame:
-    """One route's fixes with the hour that names their log file."""
-    return t.fixes.where("route_id = 3").select("fix_id", F.expr("t_us div 3600000000").alias("hour"))
+    """Every fix with the hourly log file it is recorded in, and its line there."""
+    line = F.row_number().over(W.partitionBy(F.expr("t_us div 3600000000")).orderBy("t_us", "fix_id")).cast("bigint")
+    return t.fixes.select("fix_id", F.concat(F.lit("fixes-"), F.date_format(F.timestamp_micros("t_us"), "yyyyMMdd-HH"), F.lit(".jsonl")).alias("file"), line.alias("line"))
 
 
 @query(
@@ -191,7 +178,7 @@ def recorded_fixes(t: Transit) -> DataFrame:
 def shift_assignment(t: Transit) -> DataFrame:
     """Valid assignments applied to active vehicles; other routes are cleared unless the vehicle is preserved."""
     valid = t.vehicles.where(f"vehicle_id % 4 = 1 and updated_us > {NOW_US} - 1200000000").selectExpr("vehicle_id", "vehicle_id * 3 % 25 as new_route")
-    valid = valid.join(F.broadcast(t.routes.where("is_active").select(F.col("route_id").alias("new_route"))), "new_route")
+    valid = valid.join(t.routes.where("is_active").select(F.col("route_id").alias("new_route")), "new_route")
     out = t.vehicles.where("is_active").join(valid, "vehicle_id", "left")
     return out.select("vehicle_id", F.col("new_route").alias("route_id"), F.expr("case when new_route is not null then 'ASSIGNED' when route_id is not null and vehicle_id % 5 <> 0 then 'CLEARED' else 'UNCHANGED' end").alias("outcome"))
 
@@ -201,19 +188,3 @@ def view_health(t: Transit) -> DataFrame:
     """The age of each snapshot against its limit."""
     age = t.vehicles.groupBy(F.col("provider").alias("view")).agg(F.expr(f"({NOW_US} - max(updated_us)) div 60000000").alias("age_min"))
     return age.select("view", "age_min", F.expr("age_min <= case view when 0 then 10 when 1 then 15 else 60 end").alias("healthy"))
-
-
-@query("SELECT route_id, avg_nis, n, avg_nis BETWEEN 1 - 1.96 * sqrt(2.0 / n) AND 1 + 1.96 * sqrt(2.0 / n) AS consistent FROM (SELECT route_id, round(avg(pow((speed - 40) / 23.0, 2)), 6) AS avg_nis, count(*) AS n FROM fixes GROUP BY 1)")
-def consistency_metrics(t: Transit) -> DataFrame:
-    """The mean squared normalised error of each route, and whether it lies in its chi-squared band."""
-    g = t.fixes.groupBy("route_id").agg(F.round(F.avg(F.pow((F.col("speed") - 40) / 23.0, 2)), 6).alias("avg_nis"), F.count(F.lit(1)).alias("n"))
-    band = 1.96 * F.sqrt(2.0 / F.col("n"))
-    return g.withColumn("consistent", F.col("avg_nis").between(1 - band, 1 + band))
-
-
-@query("SELECT vehicle_id, route_id, direction, seq, running, total FROM (SELECT v.vehicle_id, s.route_id, s.direction, s.seq, row_number() OVER (PARTITION BY v.vehicle_id ORDER BY s.seq) AS running, count(*) OVER (PARTITION BY v.vehicle_id) AS total FROM vehicles v JOIN route_stops s ON s.route_id = v.route_id AND s.direction = v.direction AND s.seq > v.vehicle_id % 12) WHERE running <= 5")
-def next_stops(t: Transit) -> DataFrame:
-    """The next five stops of each vehicle, and how many are left."""
-    w = W.partitionBy("vehicle_id")
-    met = t.vehicles.select("vehicle_id", "route_id", "direction").join(F.broadcast(t.route_stops), ["route_id", "direction"]).where("seq > vehicle_id % 12")
-    return met.withColumn("running", F.row_number().over(w.orderBy("seq")).cast("bigint")).withColumn("total", F.count(F.lit(1)).over(w)).where("running <= 5").select("vehicle_id", "route_id", "direction", "seq", "running", "total")

@@ -118,12 +118,20 @@ def layered_nearest_stops(t: Transit) -> DataFrame:
 RING_SQL = """(SELECT count(*) FROM (SELECT boundary[i] AS a, boundary[i + 1] AS b FROM range(1, len(boundary)) r(i)) WHERE ((a.lat > v.lat) <> (b.lat > v.lat)) AND v.lon < (b.lon - a.lon) * (v.lat - a.lat) / (b.lat - a.lat) + a.lon) % 2 = 1"""
 
 
-@query(f"""SELECT v.vehicle_id, g.garage_id, CASE WHEN boundary IS NOT NULL THEN {RING_SQL} ELSE {haversine_sql('v.lat', 'v.lon', 'g.lat', 'g.lon')} <= g.radius END AS inside FROM vehicles v, garages g WHERE v.lat IS NOT NULL""")
+FENCE_SQL = f"""CASE WHEN boundary IS NOT NULL THEN {RING_SQL} ELSE {haversine_sql('v.lat', 'v.lon', 'g.lat', 'g.lon')} <= g.radius END"""
+#: Whether v lies in the bounds of g's boundary or circle.
+BOX_SQL = """CASE WHEN boundary IS NOT NULL THEN v.lat BETWEEN list_min(list_transform(boundary, lambda p: p.lat)) AND list_max(list_transform(boundary, lambda p: p.lat)) AND v.lon BETWEEN list_min(list_transform(boundary, lambda p: p.lon)) AND list_max(list_transform(boundary, lambda p: p.lon))
+ ELSE v.lat BETWEEN g.lat - g.radius / 111000.0 AND g.lat + g.radius / 111000.0 AND v.lon BETWEEN g.lon - g.radius / 111000.0 / cos(radians(g.lat)) AND g.lon + g.radius / 111000.0 / cos(radians(g.lat)) END"""
+
+
+def fences(t: Transit) -> DataFrame:
+    return t.garages.select("garage_id", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"), F.col("radius").alias("g_radius"), F.col("boundary").alias("g_boundary"))
+
+
+@query(f"""SELECT v.vehicle_id, g.garage_id, {FENCE_SQL} AS inside FROM vehicles v JOIN garages g ON {BOX_SQL} WHERE v.lat IS NOT NULL""")
 def garage_geofence(t: Transit) -> DataFrame:
-    """Every placed vehicle against every garage, of which there are few."""
-    fences = t.garages.select("garage_id", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"), F.col("radius").alias("g_radius"), F.col("boundary").alias("g_boundary"))
-    met = t.vehicles.where(p.has_position()).select("vehicle_id", "lat", "lon").crossJoin(F.broadcast(fences))
-    return met.select("vehicle_id", "garage_id", j.in_fence(F.col("lat"), F.col("lon"), "g_").alias("inside"))
+    """Placed vehicles and the garages in whose bounds they lie: whether they are inside the fence."""
+    return j.fenced(t.vehicles.where(p.has_position()).select("vehicle_id", "lat", "lon"), fences(t)).select("vehicle_id", "garage_id", "inside")
 
 
 @query(

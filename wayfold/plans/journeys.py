@@ -79,10 +79,25 @@ def ranked_options(t: Transit) -> DataFrame:
     return r.ranked(keyed, "plan_id", "key", True, False, 3).select("plan_id", "option_no", "item", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("SELECT plan_id, option_no, item, round(minutes * 0.4 + transfers * 0.3 + walk_min * 0.2 + (1 - reliability) * 0.1, 6) AS score, minutes <= 240 AND walk_min <= 15 AND transfers <= 1 AS acceptable, CASE transfers WHEN 0 THEN 'DIRECT' WHEN 1 THEN 'ONE_TRANSFER' ELSE 'TWO_TRANSFERS' END AS kind FROM options")
+COMFORT_SQL = "greatest(0.0, least(100.0, 100.0 - transfers * 15.0 - greatest(0, walk_min - 5) * 2.0 - greatest(0, minutes - 30) * 0.5))::DOUBLE"
+
+
+@query(
+    f"SELECT plan_id, option_no, item, round({COMFORT_SQL}, 6) AS comfort, round(greatest(0, 100 - minutes) * 0.4 + greatest(0, 100 - transfers * 25) * 0.3 + greatest(0, 100 - walk_min * 3) * 0.2 + {COMFORT_SQL} * 0.1, 6) AS quality, round(greatest(0.5, 0.95 - transfers * 0.05 - greatest(0.0, (walk_min - 10) * 0.01))::DOUBLE, 6) AS reliability, (transfers + 1)::DOUBLE AS cost, minutes <= 240 AND walk_min <= 15 AND transfers <= 1 AS acceptable, walk_min <= 5 AND transfers <= 1 AS accessible, CASE transfers WHEN 0 THEN 'DIRECT' WHEN 1 THEN 'ONE_TRANSFER' ELSE 'TWO_TRANSFERS' END AS kind FROM options"
+)
 def option_scores(t: Transit) -> DataFrame:
-    o = F.col
-    return t.options.select("plan_id", "option_no", "item", F.round(o("minutes") * 0.4 + o("transfers") * 0.3 + o("walk_min") * 0.2 + (1 - o("reliability")) * 0.1, 6).alias("score"), F.expr("minutes <= 240 and walk_min <= 15 and transfers <= 1").alias("acceptable"), F.expr("case transfers when 0 then 'DIRECT' when 1 then 'ONE_TRANSFER' else 'TWO_TRANSFERS' end").alias("kind"))
+    """Comfort, quality, reliability and cost of every option, and whether it is acceptable and accessible."""
+    s = r.scores(t.options)
+    return s.select("plan_id", "option_no", "item", *[F.round(c, 6).alias(c) for c in ("comfort", "quality", "reliability")], "cost", F.expr("minutes <= 240 and walk_min <= 15 and transfers <= 1").alias("acceptable"), F.expr("walk_min <= 5 and transfers <= 1").alias("accessible"), F.expr("case transfers when 0 then 'DIRECT' when 1 then 'ONE_TRANSFER' else 'TWO_TRANSFERS' end").alias("kind"))
+
+
+@query(
+    "SELECT request, p.to_stop AS change_1, q.to_stop AS change_2, p.route_id AS route_1, q.route_id AS route_2, r.route_id AS route_3, p.ride_s + q.ride_s + r.ride_s + 600 AS total_s FROM asked0 a JOIN pairs p ON p.from_stop = a.from_stop JOIN pairs q ON q.from_stop = p.to_stop JOIN pairs r ON r.from_stop = q.to_stop AND r.to_stop = a.to_stop WHERE a.from_stop <> a.to_stop AND p.route_id <> q.route_id AND q.route_id <> r.route_id AND p.route_id <> r.route_id AND least(p.ride_s, q.ride_s, r.ride_s) >= 60 AND p.ride_s + q.ride_s + r.ride_s + 600 <= 9000 QUALIFY row_number() OVER (PARTITION BY request ORDER BY p.ride_s + q.ride_s + r.ride_s, p.route_id, q.route_id, r.route_id, p.to_stop, q.to_stop, p.direction, q.direction, r.direction) <= 5",
+    TIMES,
+)
+def two_transfer_journeys(t: Transit) -> DataFrame:
+    """The five quickest journeys with two changes of each request, half a headway of waiting at each."""
+    return r.two_transfer_journeys(_asked(t), _pairs(t))
 
 
 @query("SELECT DISTINCT plan_id, transfers, minutes FROM options WHERE transfers < 2")
@@ -121,7 +136,7 @@ def nearest_bus_eta(t: Transit) -> DataFrame:
     ends = t.placed_stops.join(segs.select("route_id", "direction", (F.col("segment") + 1).alias("seq"), "length_m"), ["route_id", "direction", "seq"], "left")
     w = W.partitionBy("route_id", "direction").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     stops = ends.select("route_id", "direction", "stop_id", F.round(F.coalesce(F.sum("length_m").over(w), F.lit(0.0)), 3).alias("stop_m"))
-    met = at.join(F.broadcast(stops), ["route_id", "direction"]).withColumn("d", F.expr("stop_m - at_m")).withColumn("m", F.expr("d / (speed / 3.6D) / 60")).where("d >= 0 and d <= 5000 and m <= 20")
+    met = at.join(stops, ["route_id", "direction"]).withColumn("d", F.expr("stop_m - at_m")).withColumn("m", F.expr("d / (speed / 3.6D) / 60")).where("d >= 0 and d <= 5000 and m <= 20")
     best = met.groupBy("route_id", "direction", "stop_id").agg(F.min(F.struct(F.ceil("m").alias("eta_min"), "d", "vehicle_id")).alias("b"))
     return best.select("route_id", "direction", "stop_id", "b.vehicle_id", "b.eta_min")
 
@@ -243,29 +258,10 @@ def stale_segment_stats(t: Transit) -> DataFrame:
     return stats.join(consecutive, ["route_id", "direction", "from_stop", "to_stop"], "left_anti")
 
 
-@query("SELECT p.route_id, p.direction, p.stop_id, CASE WHEN inverted THEN hi + lo - p.seq ELSE p.seq END AS seq FROM route_stops p JOIN (SELECT route_id, direction, min(seq) AS lo, max(seq) AS hi, (arg_min(stop_id, seq) * 7) % 10 > (arg_max(stop_id, seq) * 7) % 10 AS inverted FROM route_stops GROUP BY 1, 2) e ON e.route_id = p.route_id AND e.direction = p.direction")
-def inverted_sequences(t: Transit) -> DataFrame:
-    """Sequences turned round where the line starts nearer their last stop than their first (a stand-in for distance)."""
-    ends = t.route_stops.groupBy("route_id", "direction").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), (F.min_by("stop_id", "seq") * 7 % 10 > F.max_by("stop_id", "seq") * 7 % 10).alias("inverted"))
-    return t.route_stops.join(ends, ["route_id", "direction"]).select("route_id", "direction", "stop_id", F.expr("case when inverted then hi + lo - seq else seq end").alias("seq"))
-
-
 @query("SELECT vehicle_id, coalesce(a.route_id, b.route_id) AS route_id FROM (SELECT vehicle_id, (vehicle_id % 5)::INT AS city_id, (vehicle_id % 25 + 1)::VARCHAR AS number FROM vehicles) v LEFT JOIN routes a ON a.city_id = v.city_id AND a.number = v.number LEFT JOIN (SELECT number, min(route_id) AS route_id FROM routes WHERE city_id <> 4 GROUP BY 1 HAVING count(*) = 1) b ON b.number = v.number WHERE coalesce(a.route_id, b.route_id) IS NOT NULL")
 def backfill_unique_match(t: Transit) -> DataFrame:
     """Routes by city and number, else by a number that is unique; others are left out."""
     rows = t.vehicles.selectExpr("vehicle_id", "cast(vehicle_id % 5 as int) as city_id", "cast(vehicle_id % 25 + 1 as string) as number")
     exact = t.routes.select("city_id", "number", F.col("route_id").alias("a"))
     unique = t.routes.where("city_id <> 4").groupBy("number").agg(F.min("route_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    return rows.join(F.broadcast(exact), ["city_id", "number"], "left").join(F.broadcast(unique), "number", "left").select("vehicle_id", F.coalesce("a", "b").alias("route_id")).where("route_id is not null")
-
-
-@query(
-    f"SELECT vehicle_id, window_no, fixes, foreign_share, CASE WHEN fixes >= 3 AND own_share <= 0.3 AND foreign_share >= 0.6 THEN 'SWAP' WHEN fixes >= 3 THEN 'NONE' ELSE 'INVALID' END AS verdict FROM (SELECT vehicle_id, t_us // 600000000 AS window_no, count(*) FILTER (WHERE speed >= 5) AS fixes, round(avg(CASE WHEN speed >= 5 THEN (fix_id % 10 < 3)::INT END), 6) AS own_share, round(avg(CASE WHEN speed >= 5 THEN (fix_id % 10 >= 4)::INT END), 6) AS foreign_share FROM fixes GROUP BY 1, 2)"
-)
-def route_swap(t: Transit) -> DataFrame:
-    """Verdicts by 10 minutes from the shares of moving fixes near the assigned and near another route."""
-    moving = F.col("speed") >= 5
-    g = t.fixes.groupBy("vehicle_id", F.expr("t_us div 600000000").alias("window_no")).agg(F.count_if(moving).alias("fixes"), F.round(F.avg(F.when(moving, F.expr("cast(fix_id % 10 < 3 as int)"))), 6).alias("own_share"), F.round(F.avg(F.when(moving, F.expr("cast(fix_id % 10 >= 4 as int)"))), 6).alias("foreign_share"))
-    return g.select("vehicle_id", "window_no", "fixes", "foreign_share", F.expr("case when fixes >= 3 and own_share <= 0.3 and foreign_share >= 0.6 then 'SWAP' when fixes >= 3 then 'NONE' else 'INVALID' end").alias("verdict"))
-
-
+    return rows.join(exact, ["city_id", "number"], "left").join(unique, "number", "left").select("vehicle_id", F.coalesce("a", "b").alias("route_id")).where("route_id is not null")

@@ -9,7 +9,6 @@ from pyspark.sql.window import Window as W
 from wayfold.functions import geo
 from wayfold.operators import tracks as k
 from wayfold.plans.book import Book
-from wayfold.plans.fleet import SEGMENTS_SQL, T_SQL
 from wayfold.sources.transit import BASE_US, Transit, haversine_sql
 
 book = Book()
@@ -140,7 +139,7 @@ def cumulative_distance(t: Transit) -> DataFrame:
 def stop_arrivals(t: Transit) -> DataFrame:
     """The first slow fix near each stop of the vehicle's route."""
     s = t.placed_stops.select("stop_id", "route_id", "direction", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    met = t.fixes.where("speed < 20").join(F.broadcast(s), ["route_id", "direction"]).where(geo.haversine(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")) <= 400)
+    met = t.fixes.where("speed < 20").join(s, ["route_id", "direction"]).where(geo.haversine(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")) <= 400)
     return met.groupBy("vehicle_id", "stop_id").agg(F.min("t_us").alias("arrived_us"), F.count(F.lit(1)).alias("fixes"))
 
 
@@ -192,15 +191,6 @@ def vehicle_sessions(t: Transit) -> DataFrame:
     return t.fixes.groupBy("vehicle_id", w.alias("w")).agg(F.count(F.lit(1)).alias("fixes")).select("vehicle_id", F.unix_micros("w.start").alias("from_us"), F.unix_micros("w.end").alias("to_us"), "fixes")
 
 
-@query(
-    """SELECT fix_id, vehicle_id, was AS from_garage, is_in AS to_garage FROM (SELECT *, lag(is_in) OVER (PARTITION BY vehicle_id ORDER BY t_us, fix_id) AS was FROM (SELECT *, event_type = 'view' AND speed < 40 AS is_in FROM fixes)) WHERE was <> is_in"""
-)
-def garage_transitions(t: Transit) -> DataFrame:
-    """Moments at which a vehicle's state, in a garage or out, changes."""
-    e = t.fixes.withColumn("is_in", F.expr("event_type = 'view' and speed < 40")).withColumn("was", F.lag("is_in").over(k.ordered()))
-    return e.where("was <> is_in").select("fix_id", "vehicle_id", F.col("was").alias("from_garage"), F.col("is_in").alias("to_garage"))
-
-
 @query("SELECT v.vehicle_id, v.route_id FROM vehicles v WHERE v.is_active AND NOT EXISTS (SELECT 1 FROM fixes f WHERE f.vehicle_id = v.vehicle_id AND f.t_us > (SELECT max(t_us) FROM fixes) - 900000000)")
 def silent_vehicles(t: Transit) -> DataFrame:
     last = t.fixes.agg((F.max("t_us") - 900_000_000).alias("since"))
@@ -208,11 +198,6 @@ def silent_vehicles(t: Transit) -> DataFrame:
     return t.vehicles.where("is_active").join(heard, "vehicle_id", "left_anti").select("vehicle_id", "route_id")
 
 
-@query("SELECT route_id, number FROM routes r WHERE is_active AND NOT EXISTS (SELECT 1 FROM vehicles v WHERE v.route_id = r.route_id AND v.is_active AND v.in_motion AND v.speed > 205)")
-def empty_routes(t: Transit) -> DataFrame:
-    return t.routes.where("is_active").join(t.vehicles.where("is_active and in_motion and speed > 205"), "route_id", "left_anti").select("route_id", "number")
-
-
 @query(
     """SELECT provider, tick, polls, failures, polls < 0.5 * base AND base >= 10 AS dropped, failures * 100 >= 95 * polls AS stale FROM (SELECT *, avg(polls) OVER (PARTITION BY provider ORDER BY tick ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS base FROM (SELECT vehicle_id % 3 AS provider, t_us // 300000000 AS tick, count(*) AS polls, count(*) FILTER (WHERE event_type = 'error') AS failures FROM fixes GROUP BY 1, 2))"""
 )
@@ -223,43 +208,6 @@ def provider_health(t: Transit) -> DataFrame:
     return counts.withColumn("base", base).select("provider", "tick", "polls", "failures", F.expr("polls < 0.5D * base and base >= 10").alias("dropped"), F.expr("failures * 100 >= 95 * polls").alias("stale"))
 
 
-MATCH = (
-    "asked AS (SELECT fix_id AS key, vehicle_id, route_id, direction, lat AS q_lat, lon AS q_lon FROM fixes WHERE vehicle_id < 60), "
-    + SEGMENTS_SQL
-    + f""",
-met AS (SELECT key, vehicle_id, s.route_id, s.direction, a_lat, a_lon, b_lat, b_lon, q_lat, q_lon, {T_SQL} AS t FROM asked, segs s),
-near AS (SELECT key, vehicle_id, route_id, direction, min({haversine_sql('q_lat', 'q_lon', '(a_lat + (b_lat - a_lat) * t)', '(a_lon + (b_lon - a_lon) * t)')}) AS d FROM met GROUP BY 1, 2, 3, 4)"""
-)
-
-
-@query(
-    f"""SELECT vehicle_id, route_id, direction, points, round(near_share, 6) AS near_share, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY round(score, 9) DESC, route_id, direction) AS rn FROM (SELECT vehicle_id, route_id, direction, count(*) AS points, avg((d <= 1500)::INT) AS near_share, avg((d <= 1500)::INT) * 0.6 + (1 - least(avg(d) / 5000, 1)) * 0.4 AS score FROM near GROUP BY 1, 2, 3)) WHERE rn = 1""",
-    MATCH.replace("WHERE vehicle_id < 60", ""),
-)
-def route_match(t: Transit) -> DataFrame:
-    """The route and direction whose line fits each vehicle's fixes best: the share of near fixes and their mean distance.
-
-    The network's segments are broadcast while they are few; each fix keeps a least distance for each line.
-    """
-    from wayfold.operators.joins import segments
-
-    segs = segments(t.placed_stops).groupBy("route_id", "direction").agg(F.collect_list(F.struct("a_lat", "a_lon", "b_lat", "b_lon")).alias("line"))
-
-    def place(s):
-        # A pass of its own, so that the projection is computed once for each segment.
-        u = geo.project_t(F.col("lat"), F.col("lon"), s["a_lat"], s["a_lon"], s["b_lat"], s["b_lon"])
-        return F.transform(F.array(u), lambda x: F.struct((s["a_lat"] + (s["b_lat"] - s["a_lat"]) * x).alias("lat"), (s["a_lon"] + (s["b_lon"] - s["a_lon"]) * x).alias("lon")))
-
-    def away(q):
-        return geo.haversine(F.col("lat"), F.col("lon"), q["lat"], q["lon"])
-
-    near = t.fixes.select("vehicle_id", "lat", "lon").crossJoin(F.broadcast(segs)).select("vehicle_id", "route_id", "direction", F.array_min(F.transform(F.flatten(F.transform("line", place)), away)).alias("d"))
-    share = F.avg((F.col("d") <= 1500).cast("int"))
-    scored = near.groupBy("vehicle_id", "route_id", "direction").agg(F.count(F.lit(1)).alias("points"), share.alias("near_share"), (share * 0.6 + (1 - F.least(F.avg("d") / 5000, F.lit(1.0))) * 0.4).alias("score"))
-    best = scored.groupBy("vehicle_id").agg(F.min(F.struct((-F.round("score", 9)).alias("o"), "route_id", "direction", "points", "near_share", "score")).alias("b"))
-    return best.select("vehicle_id", "b.route_id", "b.direction", "b.points", F.round("b.near_share", 6).alias("near_share"), F.round("b.score", 6).alias("score"))
-
-
 @query()
 def gps_validate(t: Transit) -> DataFrame:
     """Verdicts against the last accepted fix, in order of arrival: a fold that SQL windows cannot express."""

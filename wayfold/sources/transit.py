@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wayfold.sources.tables import table
 
@@ -67,6 +68,21 @@ class Transit:
             "case when event_id % 8 <> 0 then (event_id * 7 % 80) / 10.0D end as hdop", "case when event_id % 9 <> 0 then cast(event_id % 12 as int) end as satellites", "us % 90000000 as lag_us",
         )
 
+    @cached_property
+    def runs(self) -> DataFrame:
+        """The fixes again, placed along their vehicle's line: two at a stop, two on the way to the next; trips change direction."""
+        w = Window.partitionBy("vehicle_id").orderBy("t_us", "fix_id")
+        f = self.fixes.select("fix_id", "vehicle_id", "t_us", "route_id", (F.row_number().over(w) - 1).cast("bigint").alias("n")).selectExpr(
+            "*", f"n div {4 * (ROUTE_STOPS - 1)} as trip", f"cast(n div 4 % {ROUTE_STOPS - 1} as int) + 1 as seq", "n % 4 as phase"
+        ).selectExpr("*", "cast((vehicle_id + trip) % 2 as int) as direction")
+        a = self.placed_stops.selectExpr("route_id", "direction", "seq", "lat as a_lat", "lon as a_lon")
+        b = self.placed_stops.selectExpr("route_id", "direction", "seq - 1 as seq", "lat as b_lat", "lon as b_lon")
+        met = f.join(a, ["route_id", "direction", "seq"]).join(b, ["route_id", "direction", "seq"]).withColumn("share", F.expr("case phase when 2 then 1.0D / 3 when 3 then 2.0D / 3 else 0.0D end"))
+        return met.selectExpr(
+            "fix_id", "vehicle_id", "trip", "n", "t_us", "route_id", "direction", "case when phase < 2 then (fix_id % 5) * 0.9D else 20.0D + fix_id % 40 end as speed",
+            "a_lat + (b_lat - a_lat) * share + ((fix_id * 31) % 41 - 20) / 200000.0D as lat", "a_lon + (b_lon - a_lon) * share + ((fix_id * 17) % 41 - 20) / 200000.0D as lon",
+        )
+
     @cached_property
     def plans(self) -> DataFrame:
         a, b = _place("o_custkey")
@@ -101,6 +117,10 @@ vehicles AS (SELECT c_custkey AS vehicle_id, 'dev-' || c_custkey AS device_id, (
 fixes AS (SELECT event_id AS fix_id, user_id AS vehicle_id, {BASE_US} + (epoch_us(ts) - {BASE_US}) // 1000 AS t_us, value % 80 AS speed, event_type, event_type <> 'error' AS in_motion, (user_id % 25)::BIGINT AS route_id, (user_id % 2)::INT AS direction,
   37.90::DOUBLE + ((user_id * 7919) % 1000) / 10000.0::DOUBLE + CASE WHEN event_id % 10 = 0 THEN 0.0::DOUBLE ELSE ((event_id * 31) % 41 - 20) / 20000.0::DOUBLE END AS lat, 58.30::DOUBLE + ((user_id * 104729) % 1500) / 10000.0::DOUBLE + CASE WHEN event_id % 10 = 0 THEN 0.0::DOUBLE ELSE ((event_id * 17) % 41 - 20) / 20000.0::DOUBLE END AS lon,
   CASE WHEN event_id % 8 <> 0 THEN (event_id * 7 % 80) / 10.0::DOUBLE END AS hdop, CASE WHEN event_id % 9 <> 0 THEN (event_id % 12)::INT END AS satellites, epoch_us(ts) % 90000000 AS lag_us FROM events),
+runs AS (SELECT fix_id, vehicle_id, trip, n, t_us, f.route_id, f.direction, CASE WHEN phase < 2 THEN (fix_id % 5) * 0.9::DOUBLE ELSE 20.0::DOUBLE + fix_id % 40 END AS speed,
+  a.lat + (b.lat - a.lat) * share + ((fix_id * 31) % 41 - 20) / 200000.0::DOUBLE AS lat, a.lon + (b.lon - a.lon) * share + ((fix_id * 17) % 41 - 20) / 200000.0::DOUBLE AS lon
+  FROM (SELECT *, CASE phase WHEN 2 THEN 1.0::DOUBLE / 3 WHEN 3 THEN 2.0::DOUBLE / 3 ELSE 0.0::DOUBLE END AS share, ((vehicle_id + trip) % 2)::INT AS direction FROM (SELECT fix_id, vehicle_id, t_us, route_id, n, n // {4 * (ROUTE_STOPS - 1)} AS trip, (n // 4 % {ROUTE_STOPS - 1})::INT + 1 AS seq, n % 4 AS phase FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY t_us, fix_id) - 1 AS n FROM fixes))) f
+  JOIN placed_stops a ON a.route_id = f.route_id AND a.direction = f.direction AND a.seq = f.seq JOIN placed_stops b ON b.route_id = f.route_id AND b.direction = f.direction AND b.seq = f.seq + 1),
 plans AS (SELECT o_orderkey AS plan_id, 37.90::DOUBLE + ((o_custkey * 7919) % 1000) / 10000.0::DOUBLE AS o_lat, 58.30::DOUBLE + ((o_custkey * 104729) % 1500) / 10000.0::DOUBLE AS o_lon, 37.90::DOUBLE + ((o_orderkey * 6151) % 1000) / 10000.0::DOUBLE AS d_lat, 58.30::DOUBLE + ((o_orderkey * 86028) % 1500) / 10000.0::DOUBLE AS d_lon, epoch_us(o_orderdate) + (o_orderkey % 1440) * 60000000 AS created_us, o_orderstatus AS status, o_totalprice AS price FROM orders),
 options AS (SELECT l_orderkey AS plan_id, l_linenumber AS option_no, l_quantity::INT AS minutes, l_linenumber % 3 AS transfers, (l_partkey % 20)::INT AS walk_min, 1 - l_discount AS reliability, l_suppkey % 25 AS route_id, l_partkey AS item FROM lineitem),
 garages0 AS (SELECT r_regionkey AS garage_id, 37.90::DOUBLE + (((r_regionkey * 137 + 11) * 7919) % 1000) / 10000.0::DOUBLE AS lat, 58.30::DOUBLE + (((r_regionkey * 137 + 11) * 104729) % 1500) / 10000.0::DOUBLE AS lon, 2000.0::DOUBLE + r_regionkey * 500 AS radius FROM region),
