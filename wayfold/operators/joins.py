@@ -70,11 +70,16 @@ def near_lines(points: DataFrame, segs: DataFrame, metres: float, key: str) -> D
     laid = segs.withColumn("_at", F.explode(F.transform(F.sequence(F.lit(0), steps), lambda i: i / steps)))
     row, column = geo.cell(F.expr("a_lat + (b_lat - a_lat) * _at"), F.expr("a_lon + (b_lon - a_lon) * _at"), size)
     cells = laid.withColumn("_cell", F.explode(geo.neighbour_cells(row, column))).select("_cell", "route_id", "direction", "a_lat", "a_lon", "b_lat", "b_lon").distinct()
+    # What depends on the segment alone is computed before the join; pairs are first held apart on the plane.
+    flat = cells.withColumn("_k", F.cos(F.radians((F.col("a_lat") + F.col("b_lat")) / 2))).withColumn("_dx", F.expr("(b_lon - a_lon) * _k")).withColumn("_dy", F.expr("b_lat - a_lat")).withColumn("_n", F.expr("_dx * _dx + _dy * _dy"))
     p_row, p_column = geo.cell(F.col("lat"), F.col("lon"), size)
-    met = points.select(key, "lat", "lon", F.struct(p_row.alias("row"), p_column.alias("column")).alias("_cell")).join(cells, "_cell")
-    met = met.withColumn("_t", geo.project_t(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
-    away = geo.haversine(F.col("lat"), F.col("lon"), F.expr("a_lat + (b_lat - a_lat) * _t"), F.expr("a_lon + (b_lon - a_lon) * _t"))
-    return met.select(key, "route_id", "direction", away.alias("d")).where(F.col("d") <= metres).groupBy(key, "route_id", "direction").agg(F.min("d").alias("distance_m"))
+    met = points.select(key, "lat", "lon", F.struct(p_row.alias("row"), p_column.alias("column")).alias("_cell")).join(flat, "_cell")
+    met = met.withColumn("_t", F.expr("case when _n = 0 then 0.0D else greatest(0.0D, least(1.0D, ((lon - a_lon) * _k * _dx + (lat - a_lat) * _dy) / _n)) end"))
+    met = met.withColumn("_lat", F.expr("a_lat + _dy * _t")).withColumn("_lon", F.expr("a_lon + (b_lon - a_lon) * _t"))
+    close = met.where(F.expr("(lat - _lat) * (lat - _lat) + (lon - _lon) * (lon - _lon) * _k * _k") <= (1.02 * metres / geo.DEGREE_M) ** 2)
+    away = geo.haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
+    # The limit is a condition on the minimum: as one on pairs it would become part of the join, with all of this in it.
+    return close.select(key, "route_id", "direction", away.alias("d")).groupBy(key, "route_id", "direction").agg(F.min("d").alias("distance_m")).where(F.col("distance_m") <= metres)
 
 
 def nearest(left: DataFrame, right: DataFrame, on: list[str], left_key: str, right_key: str) -> DataFrame:

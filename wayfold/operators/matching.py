@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo
 from wayfold.operators.joins import near_lines
+from wayfold.operators.storage import scratch, stored
 
 #: Metres of a near fix and of no likeness, weights of both parts, the least score of a match.
 NEAR_M, FAR_M, NEAR_WEIGHT, FAR_WEIGHT, LEAST = 100.0, 500.0, 0.6, 0.4, 0.7
@@ -21,10 +22,12 @@ def match_routes(fixes: DataFrame, segs: DataFrame) -> DataFrame:
     """vehicle_id, route_id, direction, points, score, confidence of the best route with at least the least score.
 
     fixes: fix_id, vehicle_id, lat, lon. A line scores that much only if at least half of the fixes are near it, so
-    mean distances are computed for such pairs of vehicle and line alone.
+    only such pairs of vehicle and line are candidates.
     """
+    line_keys, fixes = ["vehicle_id", "route_id", "direction"], fixes.select("fix_id", "vehicle_id", "lat", "lon")
     points = fixes.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("points"))
-    near = near_lines(fixes, segs, NEAR_M, "fix_id").join(fixes.select("fix_id", "vehicle_id"), "fix_id").groupBy("vehicle_id", "route_id", "direction").agg(F.count(F.lit(1)).alias("near"))
+    close = stored(near_lines(fixes, segs, NEAR_M, "fix_id"), scratch(fixes.sparkSession, "near-lines"))
+    near = close.join(fixes.select("fix_id", "vehicle_id"), "fix_id").groupBy(*line_keys).agg(F.count(F.lit(1)).alias("near"), F.sum("distance_m").alias("near_m"))
     share = (LEAST - FAR_WEIGHT) / NEAR_WEIGHT
     candidates = near.join(points, "vehicle_id").where(F.col("near") >= F.col("points") * share - 1e-6)
     lines = segs.groupBy("route_id", "direction").agg(F.collect_list(F.struct("a_lat", "a_lon", "b_lat", "b_lon")).alias("line"))
@@ -35,8 +38,10 @@ def match_routes(fixes: DataFrame, segs: DataFrame) -> DataFrame:
         return F.transform(F.array(u), lambda x: F.struct((s["a_lat"] + (s["b_lat"] - s["a_lat"]) * x).alias("lat"), (s["a_lon"] + (s["b_lon"] - s["a_lon"]) * x).alias("lon")))
 
     away = F.array_min(F.transform(F.flatten(F.transform("line", place)), lambda q: geo.haversine(F.col("lat"), F.col("lon"), q["lat"], q["lon"])))
-    met = fixes.select("vehicle_id", "lat", "lon").join(candidates.join(lines, ["route_id", "direction"]), "vehicle_id").withColumn("d", away)
-    scored = met.groupBy("vehicle_id", "route_id", "direction", "points", "near").agg(F.avg("d").alias("mean_m"))
+    # Distances of near fixes are known; only the others of a candidate are measured against its whole line.
+    others = fixes.join(candidates.where("near < points").select(*line_keys), "vehicle_id").join(close.select("fix_id", "route_id", "direction"), ["fix_id", "route_id", "direction"], "left_anti")
+    far = others.join(lines, ["route_id", "direction"]).withColumn("d", away).groupBy(*line_keys).agg(F.sum("d").alias("far_m"))
+    scored = candidates.join(far, line_keys, "left").withColumn("mean_m", (F.col("near_m") + F.coalesce("far_m", F.lit(0.0))) / F.col("points"))
     score = F.round(F.col("near") / F.col("points") * NEAR_WEIGHT + (1 - F.least(F.col("mean_m") / FAR_M, F.lit(1.0))) * FAR_WEIGHT, 9)
     side = lambda k: F.coalesce(F.max(F.when(F.col("direction") == k, F.col("score"))), F.lit(0.0))
     both = scored.withColumn("score", score).groupBy("vehicle_id", "route_id").agg(F.max("points").alias("points"), side(0).alias("forward"), side(1).alias("backward")).withColumn("score", F.greatest("forward", "backward"))
