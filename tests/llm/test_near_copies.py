@@ -79,6 +79,19 @@ def test_rounds_of_stars_lose_nothing(spark, monkeypatch):
     assert sorted((r["doc_id"], r["text"] or "") for r in got.collect()) == least_ids(rows)
 
 
+def test_large_keys_are_compared_in_blocks(spark, monkeypatch):
+    """Copies of one text, each with an edit of its own, that mostly do not link with each other."""
+    monkeypatch.setattr(nc, "PAIR_ROWS", 8)
+    monkeypatch.setattr(nc, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(nc, "MOST_ROUNDS", 0)
+    rng = random.Random(13)
+    base = prose(rng, 50)
+    rows = planted(rng)[:120] + [(5000 + k, edited(rng, base, rng.randrange(1, 4))) for k in range(200)]
+    got = nc.drop_near_copies(docs_table(spark, rows))
+    want = least_ids(rows)
+    assert sorted((r["doc_id"], r["text"] or "") for r in got.collect()) == want and len(want) > 100
+
+
 def test_bands_find_pairs_at_the_limit():
     rng = np.random.default_rng(1)
     missed = 0

@@ -85,7 +85,7 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1, bitorder="little").view("<u8")
 
 
-def _lanes(words: np.ndarray) -> np.ndarray:
+def lanes_of(words: np.ndarray) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
 
 
@@ -135,7 +135,7 @@ def pairs_within(pairs: DataFrame, radius: int) -> DataFrame:
             every = np.zeros(left.shape[1] * 64, np.uint8)
             every[: batch.num_rows] = 1
             hit = within(lambda p, w: left[p][w] ^ right[p][w], np.packbits(every, bitorder="little").view("<u8"), radius)  # noqa: B023
-            yield batch.select([0, 1]).filter(pa.array(_lanes(hit)[: batch.num_rows]))
+            yield batch.select([0, 1]).filter(pa.array(lanes_of(hit)[: batch.num_rows]))
 
     ship_package(pairs.sparkSession)
     return pairs.mapInArrow(search, "a bigint, b bigint")
@@ -156,7 +156,7 @@ def shifted_pairs(fps: np.ndarray, group: np.ndarray, sizes: np.ndarray, radius:
         same[: n - d] = ids[d:] == ids[:-d]
         planes, below = planes_of(own), planes_of(np.concatenate([own[d:], np.zeros(d, own.dtype)]))
         hit = within(lambda p, w: planes[p][w] ^ below[p][w], np.packbits(same, bitorder="little").view("<u8"), radius)  # noqa: B023
-        i = np.flatnonzero(_lanes(hit)[:n])
+        i = np.flatnonzero(lanes_of(hit)[:n])
         if len(i):
             yield rows[i], rows[i + d]
 
@@ -179,7 +179,7 @@ def walk(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
             bits = [ones if int(fps[q]) >> p & 1 else np.uint64(0) for p in range(64)]
             hit = within(lambda p, w: planes[p][w] ^ bits[p], alive, radius)  # noqa: B023
             alive &= ~hit
-            for j in np.flatnonzero(_lanes(hit)).tolist():
+            for j in np.flatnonzero(lanes_of(hit)).tolist():
                 yield q, j
                 todo.append(j)
 
