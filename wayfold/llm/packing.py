@@ -102,7 +102,7 @@ def cut_pieces(docs: DataFrame, keys: list[str], tokenizer: str, text: str = "te
         for batch in batches:
             rows, out = [], []
             for i, ids in enumerate(encoder.encode(batch.column(len(keys)).to_pylist())):
-                data = memoryview(ids + end)
+                data = memoryview(b"".join((ids, end)))
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     own = data[at : at + 4 * capacity]
                     n = len(own) // 4

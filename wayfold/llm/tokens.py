@@ -2,8 +2,8 @@
 
 Ids are those of the `tokenizers` library. Texts of common Latin characters take a short way: pre-tokens by the
 tokenizer's own pattern, ranks by `tiktoken` over the same merges (the end-of-word mark is a zero byte), and a
-bounded cache by white-space chunk. Texts with any other character or a special token's string go to
-`tokenizers` whole.
+bounded cache by white-space chunk, looked up once for each different chunk of a batch. Texts with any other
+character or a special token's string go to `tokenizers` whole.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks kept by a Python worker, about 200 bytes each.
 CACHE_CHUNKS = 400_000
@@ -65,30 +67,43 @@ class WordBpe:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if UNSAFE.search(t) or any(s in t for s in self.special) else self._chunks(t) for t in texts]
-        wanted = set().union(*(c for c in chunks if c))
-        new = wanted.difference(self.cache)
+    def encode(self, texts: list[str]) -> list[memoryview | bytes]:
+        odd = {i for i, t in enumerate(texts) if UNSAFE.search(t) or any(s in t for s in self.special)}
+        plain = pa.array(["" if i in odd else self._spaced(t) for i, t in enumerate(texts)], pa.large_string())
+        chunks = pc.split_pattern(plain, " ")
+        coded = chunks.values.dictionary_encode()
+        wanted = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.cache.get, wanted))
+        new = [k for k, ids in enumerate(known) if ids is None]
         if len(self.cache) + len(new) > CACHE_CHUNKS:
-            self.cache.clear()
-            new = wanted
+            self.cache = {w: ids for w, ids in zip(wanted, known, strict=True) if ids is not None}
         if new:
-            self._learn(list(new))
-        get = self.cache.__getitem__
-        return [np.array(self.slow.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks, strict=True)]
+            for k, ids in zip(new, self._learn([wanted[k] for k in new]), strict=True):
+                known[k] = ids
+        # the chunks' ids one after another, and where each text's begin
+        laid = pa.array(known, pa.large_binary()).take(coded.indices)
+        _, at, data = laid.buffers()
+        at = np.frombuffer(at, "<i8")[: len(laid) + 1] if len(laid) else np.zeros(1, "<i8")
+        bounds, body = at[chunks.offsets.to_numpy()].tolist(), memoryview(data).cast("B") if data else b""
+        return [self._slowly(t) if i in odd else body[bounds[i] : bounds[i + 1]] for i, t in enumerate(texts)]
+
+    def _slowly(self, text: str) -> bytes:
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     @staticmethod
-    def _chunks(text: str) -> list[str]:
+    def _spaced(text: str) -> str:
         for c in "\t\n\v\f\r":
             if c in text:
                 text = text.replace(c, " ")
-        return text.split(" ")
+        return text
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[str]) -> list[bytes]:
         words = self.pattern.findall(f" {MARK} ".join(chunks).lower())
         ranks = np.array(self.fast.encode_ordinary("\0".join(words) + "\0"), "u4") if words else np.array([], "u4")
         ends = np.append(np.flatnonzero(ranks == self.mark), len(ranks))
-        data, start = self.ids[ranks].tobytes(), 0
-        for chunk, end in zip(chunks, ends.tolist(), strict=True):
-            self.cache[chunk] = data[4 * start : 4 * end]
-            start = end + 1
+        data, found, start = self.ids[ranks].tobytes(), [], 0
+        for end in (4 * ends).tolist():
+            found.append(data[start:end])
+            start = end + 4
+        self.cache.update(zip(chunks, found, strict=True))
+        return found
