@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat_format, exact_dedup, license_scan, mixing, neighbours, packing, secret_scan, simhash, toxicity, url_filter
+from wayfold.llm import chat_format, exact_dedup, license_scan, mixing, neighbours, packing, secret_scan, simhash, token_links, toxicity, url_filter
 from wayfold.llm.shared import shared_dir
 
 #: The site rules of op1, and the conversation that op2 adds.
@@ -157,5 +157,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark, read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_exact_dedup, op4_source_mix, op5_secret_scan, op6_toxicity, op7_fingerprint, op8_packing, op9_license_scan, op10_simhash)}
+def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.token_links(read(spark, sf_dir, "documents"), ["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_exact_dedup, op4_source_mix, op5_secret_scan, op6_toxicity, op7_fingerprint, op8_packing, op9_license_scan, op10_simhash, op13_token_links)}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op5_secret_scan": OP5_SQL}
