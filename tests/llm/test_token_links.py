@@ -109,3 +109,9 @@ def test_products(x, y):
     assert (dense == a @ b).all()
     back = csr(a).transposed()
     assert sorted(zip(back.columns.tolist(), back.rows.tolist(), back.values.tolist())) == sorted(zip(*(v.tolist() for v in np.nonzero(a)), a[np.nonzero(a)].tolist()))
+
+
+def test_ranks_are_the_vocabulary(coders):
+    pair, alphabet = t.Pair.load("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"), byte_of()
+    for k, b in enumerate(pair.a_bytes.to_pylist()):
+        assert bytes(alphabet[c] for c in coders[0].id_to_token(k)) == b

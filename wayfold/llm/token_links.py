@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -37,14 +38,14 @@ from wayfold.llm.shared import arrow_rows, lookup, own_keys, shared_dir, ship_pa
 from wayfold.llm.tokens import _byte_chars
 
 #: Bytes of text, about, that make a block; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Characters that are encoded in one call.
 CALL_CHARS = 1 << 16
 #: A space that both tokenizers begin a token with, whatever stands before: after a character, before a word.
 CUT = re.compile(r"(?<=\S) (?= *\S)")
 ODD_SPACES = re.compile(r"\s\s|^\s|\s$")
-#: Characters on which the two libraries for A agree: those of tokens.UNSAFE and ideographs without marks.
-ODD_CHARS = re.compile("[^\n\t -~\xa0-ɏ‐-‧‰-⁞€一-龥]|\\s$|^\\s")
+#: Words with other characters than those on which the two libraries for A agree, or with white space at an end, are encoded alone.
+ODD_WORDS = r"[^\n\t -~\x{a1}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20ac}\x{4e00}-\x{9fa5}]|[\n\t ]$|^[\n\t ]"
 SPACE_MARK = "▁"
 _loaded: dict[tuple[str, str, str], "Pair"] = {}
 
@@ -122,27 +123,18 @@ class Pair:
 
     def __init__(self, a: str, a_ranks: str, b: str) -> None:
         import base64
-        import json
 
         import public_tokenizers as P
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(P.path(a))
-        self.slow.encode_special_tokens = True
+        self.a = P.path(a)
         with open(P.path(a_ranks), "rb") as f:
             ranks = {base64.b64decode(t): int(k) for t, k in (line.split() for line in f)}
         self.fast = tiktoken.Encoding("links", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        byte_of = {c: k for k, c in enumerate(_byte_chars())}
-        with open(P.path(a), encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        a_bytes = [b""] * (max(vocab.values()) + 1)
-        for token, k in vocab.items():
-            if all(c in byte_of for c in token):
-                a_bytes[k] = bytes(byte_of[c] for c in token)
-        if any(a_bytes[k] != t for t, k in ranks.items()):
-            raise ValueError(f"{a_ranks} is not the vocabulary of {a}")
+        a_bytes = sorted(ranks, key=ranks.get)
+        if list(map(ranks.get, a_bytes)) != list(range(len(ranks))):
+            raise ValueError(f"{a_ranks}: ids have gaps")
         self.piece = sentencepiece.SentencePieceProcessor(model_file=P.path(b))
         pieces = [self.piece.id_to_piece(k) for k in range(self.piece.get_piece_size())]
         self.b_apart = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
@@ -159,21 +151,35 @@ class Pair:
             _loaded[a, a_ranks, b] = cls(a, a_ranks, b)
         return _loaded[a, a_ranks, b]
 
-    def _same(self, table: pa.Array, ids: list[int], text: bytes) -> bool:
-        return b"".join(table.take(pa.array(ids, pa.int32())).to_pylist()) == text
+    @cached_property
+    def slow(self):
+        """A as it is written, for the few words that need it."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.a)
+        made.encode_special_tokens = True
+        return made
+
+    @staticmethod
+    def _same(table: pa.Array, ids: list[int], text: bytes) -> bool:
+        laid = table.take(pa.array(ids, pa.int32()))
+        ends = np.frombuffer(laid.buffers()[1], "<i8") if len(laid) else (0,)
+        return ends[len(laid)] == len(text) and (not text or memoryview(laid.buffers()[2]).cast("B")[: len(text)] == text)
 
     def _alone(self, chunk: str) -> tuple[list[int], list[int], bool]:
         a, b = self.slow.encode(f" {chunk}", add_special_tokens=False).ids, self.piece.encode(chunk)
         text = f" {chunk}".encode()
         return (a, b, True) if self._same(self.a_bytes, a, text) and self._same(self.b_bytes, b, text) else ([], [], False)
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(A ids, A tokens by chunk, B ids, B tokens by chunk, whether both give the chunk's bytes back)."""
+        chunks, sizes = words.to_pylist(), pc.binary_length(words).to_numpy().astype(np.int64)
+        alone = pc.match_substring_regex(words, ODD_WORDS).to_pylist()
         found: dict[int, tuple[list[int], list[int], bool]] = {}
         calls: list[list[int]] = [[]]
         size = 0
         for k, c in enumerate(chunks):
-            if ODD_CHARS.search(c) or SPACE_MARK in c:
+            if alone[k]:
                 found[k] = self._alone(c)
                 continue
             if size > CALL_CHARS:
@@ -186,7 +192,7 @@ class Pair:
             text = " ".join([chunks[k] for k in call])
             data = f" {text}".encode()
             a, b = self.fast.encode_ordinary(f" {text}"), self.piece.encode(text)
-            ends = np.cumsum([len(chunks[k].encode()) + 1 for k in call]) if not text.isascii() else np.cumsum([len(chunks[k]) + 1 for k in call])
+            ends = np.cumsum(sizes[call] + 1)
             cuts = []
             for table, lengths, own in ((self.a_bytes, self.a_lengths, a), (self.b_bytes, self.b_lengths, b)):
                 at = np.cumsum(lengths[np.array(own, np.int64)])
@@ -245,7 +251,7 @@ def aligned(pair: Pair, texts: list[str]) -> dict[str, np.ndarray | list]:
     else:
         words, counts, order = pa.array(texts, pa.large_string()), np.ones(len(texts), np.int64), np.arange(len(texts))
     coded = words.dictionary_encode()
-    code, different = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    code, different = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     a_ids, a_n, b_ids, b_n, good = pair.encode(different)
     a_group, b_group = groups_of(pair.a_lengths[a_ids], pair.b_lengths[b_ids])
     groups = int(a_group[-1]) + 1 if len(a_group) else 0
