@@ -38,7 +38,9 @@ from wayfold.llm.shared import arrow_rows, lookup, own_keys, shared_dir, ship_pa
 from wayfold.llm.tokens import _byte_chars
 
 #: Bytes of text, about, that make a block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
+#: Different words whose matrices are multiplied at once, and texts whose pairs are counted at once.
+WORDS_AT_ONCE, TEXTS_AT_ONCE = 1 << 15, 256
 #: Characters that are encoded in one call.
 CALL_CHARS = 1 << 16
 #: A space that both tokenizers begin a token with, whatever stands before: after a character, before a word.
@@ -253,12 +255,23 @@ def aligned(pair: Pair, texts: list[str]) -> dict[str, np.ndarray | list]:
     coded = words.dictionary_encode()
     code, different = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     a_ids, a_n, b_ids, b_n, good = pair.encode(different)
-    a_group, b_group = groups_of(pair.a_lengths[a_ids], pair.b_lengths[b_ids])
-    groups = int(a_group[-1]) + 1 if len(a_group) else 0
-    a_word, b_word = np.repeat(np.arange(len(a_n)), a_n), np.repeat(np.arange(len(b_n)), b_n)
+    a_group, b_group, groups, parts = np.empty(len(a_ids), np.int64), np.empty(len(b_ids), np.int64), 0, []
+    a_at, b_at = starts_of(a_n), starts_of(b_n)
+    for k in range(0, len(a_n), WORDS_AT_ONCE):
+        end = min(k + WORDS_AT_ONCE, len(a_n))
+        a_cut, b_cut = slice(a_at[k], a_at[end]), slice(b_at[k], b_at[end])
+        if a_cut.start == a_cut.stop:
+            parts.append((np.zeros(end - k + 1, np.int64), *[np.zeros(0, np.int64)] * 3))
+            continue
+        ga, gb = groups_of(pair.a_lengths[a_ids[a_cut]], pair.b_lengths[b_ids[b_cut]])
+        parts.append(linked_ids(a_ids[a_cut], np.repeat(np.arange(end - k), a_n[k:end]), ga, b_ids[b_cut], gb, end - k, int(ga[-1]) + 1, pair.n_b))
+        a_group[a_cut], b_group[b_cut] = ga + groups, gb + groups
+        groups += int(ga[-1]) + 1
+    link_starts = starts_of(np.concatenate([np.diff(x[0]) for x in parts])) if parts else np.zeros(1, np.int64)
+    la, lb, times = (np.concatenate([x[c] for x in parts]) if parts else np.zeros(0, np.int64) for c in (1, 2, 3))
+    del parts
     group_word = np.zeros(groups, np.int64)
-    group_word[a_group] = a_word
-    link_starts, la, lb, times = linked_ids(a_ids, a_word, a_group, b_ids, b_group, len(different), groups, pair.n_b)
+    group_word[a_group] = np.repeat(np.arange(len(a_n)), a_n)
 
     # the ids as text: A tokens before B tokens within a group
     a_in, b_in = (np.bincount(g, minlength=groups) for g in (a_group, b_group))
@@ -292,9 +305,12 @@ def aligned(pair: Pair, texts: list[str]) -> dict[str, np.ndarray | list]:
     out["words"], out["often"] = word_of.astype("<i4"), often.astype("<i4")
     pairs, number = np.unique(la * pair.n_b + lb, return_inverse=True)
     out["link_starts"], out["link_pairs"], out["link_times"] = link_starts.astype("<i8"), number.astype("<i4"), times.astype("<i8")
-    per_word = np.diff(link_starts)[word_of]
-    linked = np.unique(np.repeat(text_of, per_word) * max(len(pairs), 1) + spread(number, link_starts, word_of))
-    out["a"], out["b"], out["texts"] = pairs // pair.n_b, pairs % pair.n_b, np.bincount(linked % max(len(pairs), 1), minlength=len(pairs))
+    out["a"], out["b"], out["texts"] = pairs // pair.n_b, pairs % pair.n_b, np.zeros(len(pairs), np.int64)
+    per_word = np.diff(link_starts)
+    for k in range(0, n, TEXTS_AT_ONCE):
+        cut = slice(out["text_words"][k], out["text_words"][min(k + TEXTS_AT_ONCE, n)])
+        linked = np.unique(np.repeat(text_of[cut], per_word[word_of[cut]]) * max(len(pairs), 1) + spread(number, link_starts, word_of[cut]))
+        out["texts"] += np.bincount(linked % max(len(pairs), 1), minlength=len(pairs))
     return out
 
 
@@ -351,6 +367,7 @@ def blocks(docs: DataFrame, keys: list[str], text: str, files: tuple[str, str, s
                 if size >= block_bytes:
                     yield from made()
                     held, size, number = [], 0, number + 1
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from made()
 
