@@ -5,6 +5,7 @@ import numpy as np
 from fixtures import awkward, docs_table, prose
 
 from wayfold.llm import near_copies as nc
+from wayfold.llm import near_sets
 from wayfold.llm import simhash
 
 
@@ -70,8 +71,8 @@ def test_stage_drops_what_brute_force_jaccard_links(spark):
 
 
 def test_rounds_of_stars_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(nc, "LEFT", 0)
-    monkeypatch.setattr(nc, "MOST_ROUNDS", 2)
+    monkeypatch.setattr(near_sets, "LEFT", 0)
+    monkeypatch.setattr(near_sets, "MOST_ROUNDS", 2)
     rng = random.Random(12)
     base = prose(rng, 80)
     rows = planted(rng)[:150] + [(5000 + k, edited(rng, base, rng.randrange(1, 4))) for k in range(150)]
@@ -81,9 +82,9 @@ def test_rounds_of_stars_lose_nothing(spark, monkeypatch):
 
 def test_large_keys_are_compared_in_blocks(spark, monkeypatch):
     """Copies of one text, each with an edit of its own, that mostly do not link with each other."""
-    monkeypatch.setattr(nc, "PAIR_ROWS", 8)
-    monkeypatch.setattr(nc, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(nc, "MOST_ROUNDS", 0)
+    monkeypatch.setattr(near_sets, "PAIR_ROWS", 8)
+    monkeypatch.setattr(near_sets, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(near_sets, "MOST_ROUNDS", 0)
     rng = random.Random(13)
     base = prose(rng, 50)
     rows = planted(rng)[:120] + [(5000 + k, edited(rng, base, rng.randrange(1, 4))) for k in range(200)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat_format, exact_dedup, license_scan, mixing, neighbours, packing, periodic_runs, secret_scan, simhash, token_links, toxicity, url_filter
+from wayfold.llm import chat_format, exact_dedup, license_scan, minhash, mixing, neighbours, packing, periodic_runs, secret_scan, simhash, token_links, toxicity, url_filter
 from wayfold.llm.shared import shared_dir
 
 #: The site rules of op1, and the conversation that op2 adds.
@@ -157,6 +157,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark, read(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))
+    found = minhash.near_classes(read(spark, sf_dir, "documents"), ["doc_id"], order)
+    return found.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("first.doc_id")).alias("kept"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     made = periodic_runs.periodic_runs(read(spark, sf_dir, "documents"), ["doc_id"], loop=(h % 10 == 0, F.floor(h / 10), F.floor(h / 10) % 8))
@@ -167,5 +173,5 @@ def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_links.token_links(read(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_exact_dedup, op4_source_mix, op5_secret_scan, op6_toxicity, op7_fingerprint, op8_packing, op9_license_scan, op10_simhash, op12_periodic_runs, op13_token_links)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_exact_dedup, op4_source_mix, op5_secret_scan, op6_toxicity, op7_fingerprint, op8_packing, op9_license_scan, op10_simhash, op11_minhash, op12_periodic_runs, op13_token_links)}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op5_secret_scan": OP5_SQL}
