@@ -7,7 +7,7 @@ of similarity s differ in each symbol with a probability of 1 - s at most.
 Join: signatures that differ in no more than PARTS * (ERRORS + 1) - 1 symbols have, by pigeonhole, a part in which
 no more than ERRORS differ. The allowed errors of a part are enumerated as the places where they can be: a key is a
 part's symbols without those of ERRORS places, so all pairs within the distance share a key. At a similarity of
-0.85 a pair of 35 symbols differs in more than 14 with a probability of 7e-5. Pairs that share a key are held
+0.85 a pair of 40 symbols differs in more than 15 with a probability of 1.1e-4, above it in fewer. Pairs that share a key are held
 against that distance, then against their whole sets. Hot keys and components: see `near_sets`.
 
 A text without words has an empty set and is linked with nothing. Null ids never become a component's id unless all
@@ -29,7 +29,7 @@ from wayfold.llm import near_sets
 from wayfold.llm.near_sets import Share, as_binary, mixed
 from wayfold.llm.shared import lookup, own_keys, shared_dir, ship_package, whole, written
 
-WORDS, PARTS, SYMBOLS, ERRORS, BITS, SHARE = 3, 5, 7, 2, 16, Share(17, 20)
+WORDS, PARTS, SYMBOLS, ERRORS, BITS, SHARE = 3, 8, 5, 1, 16, Share(17, 20)
 #: The signature distance up to which no pair is lost.
 DISTANCE = PARTS * (ERRORS + 1) - 1
 #: Shingles that meet all hash functions at once.
@@ -102,10 +102,10 @@ def near_classes(docs: DataFrame, keys: list[str], id_order: Column, text: str =
     full = near_sets.told_apart(rows.where("n > 0"), F.hash("n", "sketch"))
     least = F.min(F.struct(F.col("_order").alias("least"), "_sha", "n", "sketch")).alias("one")
     groups = written(full.groupBy("fp").agg(least).select("fp", "one.*"), f"{where}/groups")
-    shared = written(near_sets.shared_keys(keyed(groups), F.col("keys"), "n", "sketch"), f"{where}/shared")
+    shared = written(near_sets.shared_keys(keyed(groups), F.col("keys"), where), f"{where}/shared")
     # of the texts of a wanted set one is read again
-    wanted = groups.join(shared.select("fp").distinct(), "fp").select(F.col("fp").alias("_fp"), F.col("_sha").alias("_sha1"))
-    texts = named.select("_sha", "_body").join(wanted, F.col("_sha") == F.col("_sha1")).select("_fp", "_body")
+    wanted = groups.join(shared.select("fp").distinct(), "fp").select(F.col("fp").alias("_fp"), F.col("_sha").alias("_sha1"), F.col("least").alias("_order1"))
+    texts = named.select("_order", "_sha", "_body").join(wanted, (F.col("_sha") == F.col("_sha1")) & F.col("_order").eqNullSafe(F.col("_order1"))).select("_fp", "_body")
     sets = near_sets.sketches(texts, ["_fp"], "_body", WORDS, False, "shingles binary", as_binary)
     sets = written(sets.select(F.col("_fp").alias("fp"), "shingles").dropDuplicates(["fp"]), f"{where}/sets")
     roots = near_sets.joined(shared, sets, groups.count(), where, SHARE, close)

@@ -96,14 +96,18 @@ def told_apart(rows: DataFrame, check: Column) -> DataFrame:
     return rows.join(alike, "fp", "left").withColumn("fp", F.when(F.col("_several"), F.xxhash64("fp", check)).otherwise(F.col("fp"))).select(rows.columns)
 
 
-def shared_keys(rows: DataFrame, keys: Column, *columns: str) -> DataFrame:
-    """(key, fp, columns) of the keys that several sets have; of keys with the same sets one. rows: one for each set."""
-    banded = rows.select("fp", *columns, F.explode(F.array_distinct(keys)).alias("key"))
-    # two sums of hashes tell the sets of a key
-    of = lambda seed: F.sum(F.xxhash64("fp", F.lit(seed)).cast("decimal(38,0)")).alias(f"h{seed}")
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), of(1), of(2)).where("c > 1")
-    one = sizes.groupBy("c", "h1", "h2").agg(F.min("key").alias("key")).select("key")
-    return banded.join(one, "key")
+def held_alike(keyed: DataFrame) -> DataFrame:
+    """(key, all): the keys that several sets have and how many; of keys with the same sets one. keyed: (key, fp), no row twice."""
+    of = lambda seed: F.bit_xor(F.xxhash64("fp", F.lit(seed))).alias(f"h{seed}")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("all"), of(1), of(2)).where("all > 1")
+    return sizes.groupBy("all", "h1", "h2").agg(F.min("key").alias("key")).select("key", "all")
+
+
+def shared_keys(rows: DataFrame, keys: Column, where: str) -> DataFrame:
+    """(key, fp, n, sketch) of the keys that several sets have; of keys with the same sets one. rows: fp, n, sketch, one for each set."""
+    keyed = written(rows.select("fp", F.explode(F.array_distinct(keys)).alias("key")), f"{where}/keyed")
+    one = written(held_alike(keyed).select("key"), f"{where}/alike")
+    return keyed.join(one, "key").join(rows.select("fp", "n", "sketch"), "fp")
 
 
 class Share(NamedTuple):
@@ -242,10 +246,8 @@ def joined(shared: DataFrame, sets: DataFrame, total: int, where: str, share: Sh
             large = written(open_rows.where(F.col("all") > PAIR_ROWS).select("fp", "n", "sketch", "root").dropDuplicates(["fp"]), f"{where}/large")
             small = open_rows.where(F.col("all") <= PAIR_ROWS).select("key", "fp", "n", "sketch", "root")
             if not large.isEmpty():
-                cut = first_shingles(large, sets, share, where)
-                of = lambda seed: F.sum(F.xxhash64("fp", F.lit(seed)).cast("decimal(38,0)")).alias(f"h{seed}")
-                held = cut.groupBy("key").agg(F.count(F.lit(1)).alias("all"), of(1), of(2))
-                held = held.groupBy("all", "h1", "h2").agg(F.min("key").alias("key")).select("key", "all")
+                cut = written(first_shingles(large, sets, share, where), f"{where}/first")
+                held = held_alike(cut)
                 cut = written(cut.join(held, "key"), f"{where}/cut")
                 apart = written(within_keys(cut.where(F.col("all") > PAIR_ROWS).select("key", "fp", "root", "all"), sets, share), f"{where}/apart")
                 links = apart if links is None else links.unionByName(apart)
