@@ -2,16 +2,18 @@
 
 State per vehicle: arc position x, speed v, covariance P, mode, direction and trip. Each fix is snapped to the
 line near x, gated by its innovation, and corrects the state within bounds; rejected fixes in a row re-anchor it.
-Stops and terminals are zones of the line; at a terminal the other direction becomes the line. The first fix after
-a gap has the event GPS_LOST or NO_GPS, unless it has another one; its mode is the one the filter went on with.
-`step` is the whole per-row helper; partitioning and order are Spark's: mapInArrow over sorted vehicles. There is no stream version.
+Stops and terminals are zones of the line; at a terminal the other direction becomes the line. Between fixes the
+position goes on by its speed, in steps of a second from the last fix; silence makes it GPS_LOST, then NO_GPS, where
+it stands. `Follower` gives a row for each fix and, if asked, for each such second: batch folds (mapInArrow over
+sorted vehicles) and the stream (`streaming.positions`) both call it, and hand its typed state on. Without seconds,
+the first fix after a gap has the loss as its event, unless it has another one; the estimates are the same.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,9 @@ from wayfold.operators.storage import ship_package
 #: Metres, seconds, m/s.
 WINDOW_M, WINDOW_K, SIGMA_M, ACC_REF, SNAP_M, OFF_M, GATE = 150.0, 1.5, 15.0, 5.0, 80.0, 120.0, 3.0
 Q_POS, Q_VEL, P0 = 0.5, 0.8, (1600.0, 25.0)
-WEAK_V, A_MAX, V_MAX, REANCHOR_M, PERSIST, OFF_AFTER, OFF_EXIT = 0.1, 1.5, 22.0, 150.0, 4, 5, 2
-LOST_S, GONE_S, STOP_ZONE_M, TERMINAL_M, STOP_KMH, MOVE_KMH, DWELL_MIN_S = 15.0, 90.0, 60.0, 30.0, 1.0, 5.0, 10.0
+WEAK_V, A_MAX, A_DEPART, V_DEPART, V_MAX, REANCHOR_M, PERSIST, OFF_AFTER, OFF_EXIT = 0.1, 1.5, 1.0, 12.5, 22.0, 150.0, 4, 5, 2
+LOST_S, GONE_S, ARRIVE_M, STOP_M, TERMINAL_M, STOP_KMH, MOVE_KMH = 15.0, 90.0, 60.0, 15.0, 30.0, 1.0, 5.0
+STOP_FIXES, DEPART_FIXES, DWELL_MIN_S, DWELL_MAX_S = 2, 3, 10.0, 600.0
 TURN_STEP_M, TURN_ZONE_M, TURN_CONFIRMS, FREEZE_M = 40.0, 600.0, 3, 200.0
 
 ESTIMATE = "fix_id bigint, vehicle_id bigint, mode string, event string, direction int, trip int, x double, v double, variance double, deviation_m double"
@@ -68,21 +71,38 @@ class State:
     trip: int = 0
     misses: int = 0
     candidates: list[float] = field(default_factory=list)
-    slow_since_us: int = 0
     turns: list[float] = field(default_factory=list)
     next_stop: int = 0
-
-
-def predict(s: State, dt: float, length: float) -> None:
-    """Move on by dt in steps of a second; no motion while standing, and none beyond the line."""
-    since = 0.0
-    while dt > 0:
-        step = min(dt, 1.0)
-        dt, since = dt - step, since + step
-        if since > GONE_S:
+    advanced_us: int = 0
+    resume: str = ""
+    low_kmh: float = math.inf
+    streak: int = 0
+    dwell_s: float = 0.0
+
+    def row(self) -> tuple:
+        """The state as a row of STATE."""
+        return tuple(asdict(self).values())
+
+
+STATE = (
+    "t_us bigint, x double, v double, p array<double>, mode string, direction int, trip int, misses int, candidates array<double>, turns array<double>, "
+    "next_stop int, advanced_us bigint, resume string, low_kmh double, streak int, dwell_s double"
+)
+
+
+def predict(s: State, until_us: int, length: float) -> None:
+    """Move on to a time in steps of a second since the last fix; no motion while standing, and none beyond the line."""
+    while s.advanced_us < until_us:
+        step = min((until_us - s.advanced_us) / 1e6, 1.0)
+        s.advanced_us = min(s.advanced_us + 1_000_000, until_us)
+        since = (s.advanced_us - s.t_us) / 1e6
+        if since > LOST_S and s.mode not in ("GPS_LOST", "NO_GPS", "OFF_ROUTE", "AT_TERMINAL"):
+            s.resume, s.mode = s.mode, "GPS_LOST"
+        if since > GONE_S and s.mode != "NO_GPS":
+            s.resume = s.resume if s.mode == "GPS_LOST" else s.mode
             s.mode, s.v = "NO_GPS", 0.0
-        elif since > LOST_S and s.mode not in ("OFF_ROUTE", "AT_TERMINAL"):
-            s.mode = "GPS_LOST"
+        if s.mode == "DEPARTING":
+            s.v = max(s.v, min(s.v + A_DEPART * step, V_DEPART))
         if s.mode not in ("DWELL", "NO_GPS", "OFF_ROUTE", "AT_TERMINAL"):
             s.x = min(max(s.x + s.v * step, 0.0), length)
         a, b, c = s.p
@@ -104,26 +124,51 @@ def correct(s: State, z: float, d: float, sigma: float, dt: float) -> bool:
     return True
 
 
-def stop_layer(s: State, line: Line, t_us: int, kmh: float) -> str:
-    """Stop events: entering, standing in, leaving or passing the zone of the next stop."""
-    event = ""
-    while s.next_stop < len(line.stops) and line.stops[s.next_stop] < s.x - STOP_ZONE_M:
-        event = "DWELL_EXIT" if s.mode in ("DWELL", "DECELERATING") and s.slow_since_us else "SKIP"
-        s.next_stop, s.slow_since_us = s.next_stop + 1, 0
-        s.mode = "TRACKING"
-    if s.next_stop < len(line.stops) and abs(line.stops[s.next_stop] - s.x) <= STOP_ZONE_M:
-        if s.mode == "TRACKING":
-            s.mode, event = "DECELERATING", "DECEL_ENTER"
-        if kmh < MOVE_KMH and not s.slow_since_us:
-            s.slow_since_us = t_us
-        if s.mode == "DECELERATING" and s.slow_since_us and t_us - s.slow_since_us >= DWELL_MIN_S * 1e6:
-            s.mode, event = "DWELL", "DWELL_ENTER"
-        elif s.mode == "DWELL" and kmh >= MOVE_KMH:
-            s.mode, event = "DEPARTING", "DWELL_EXIT"
-            s.next_stop, s.slow_since_us = s.next_stop + 1, 0
-    elif s.mode in ("DECELERATING", "DEPARTING"):
+def stop_layer(s: State, line: Line, kmh: float, dt: float, z: float) -> list[str]:
+    """Events at the next stop that is not a terminal's: nearing it, standing, leaving, standing too long, or passing it by."""
+    events: list[str] = []
+    while s.next_stop < len(line.stops) and not TERMINAL_M < line.stops[s.next_stop] < line.length - TERMINAL_M:
+        s.next_stop += 1
+    if s.next_stop >= len(line.stops):
+        return events
+    at = float(line.stops[s.next_stop])
+    ahead, seen = at - s.x, at - z
+    if -STOP_M <= ahead <= ARRIVE_M or -STOP_M <= seen <= ARRIVE_M:
+        s.low_kmh = min(s.low_kmh, kmh)
+
+    def leave() -> None:
+        s.next_stop, s.low_kmh, s.streak = s.next_stop + 1, math.inf, 0
+
+    if s.mode == "DWELL":
+        before, s.x = s.dwell_s, at
+        s.dwell_s += max(dt, 1.0)
+        if before <= DWELL_MAX_S < s.dwell_s:
+            events.append("DWELL_OUTLIER")
+        if kmh >= MOVE_KMH and s.dwell_s >= DWELL_MIN_S:
+            s.mode = "DEPARTING"
+            events.append("DWELL_EXIT")
+            leave()
+        return events
+    if s.mode == "DEPARTING":
+        s.streak = s.streak + 1 if kmh >= MOVE_KMH else 0
+        if s.streak >= DEPART_FIXES:
+            s.mode, s.streak = "TRACKING", 0
+        return events
+    if s.mode == "TRACKING" and (0 <= ahead <= ARRIVE_M or -STOP_M <= seen <= ARRIVE_M):
+        s.mode, s.streak = "DECELERATING", 0
+        events.append("DECEL_ENTER")
+    elif s.mode == "DECELERATING":
+        s.streak = s.streak + 1 if abs(ahead) <= STOP_M and kmh < STOP_KMH else 0
+        if s.streak >= STOP_FIXES:
+            s.mode, s.x, s.v, s.dwell_s = "DWELL", at, 0.0, 0.0
+            return [*events, "DWELL_ENTER"]
+    if at - max(s.x, z) < -STOP_M:
+        if s.low_kmh >= MOVE_KMH:
+            events.append("SKIP")
+            s.v = max(s.v, 0.8 * kmh / 3.6)
         s.mode = "TRACKING"
-    return event
+        leave()
+    return events
 
 
 def step(s: State, lines: dict[int, Line], t_us: int, lat: float, lon: float, kmh: float, hdop: float | None, accuracy: float | None = None) -> tuple[str, float]:
@@ -134,13 +179,14 @@ def step(s: State, lines: dict[int, Line], t_us: int, lat: float, lon: float, km
         found = {k: g.snap(lat, lon) for k, g in lines.items()}
         s.direction = min(found, key=lambda k: (found[k][1], k))
         s.x, d = found[s.direction]
-        s.t_us, s.v = t_us, min(kmh / 3.6, V_MAX)
+        s.t_us, s.advanced_us, s.v = t_us, t_us, min(kmh / 3.6, V_MAX)
         s.mode = "OFF_ROUTE" if d > OFF_M else "TRACKING"
         s.next_stop = int(np.searchsorted(lines[s.direction].stops, s.x))
         return "ACQUIRED", d
     dt = max((t_us - s.t_us) / 1e6, 0.0)
-    before, s.t_us = s.mode, t_us
-    predict(s, dt, line.length)
+    before = s.mode
+    predict(s, t_us, line.length)
+    s.t_us = s.advanced_us = t_us
     lost = s.mode if s.mode in ("GPS_LOST", "NO_GPS") and s.mode != before else ""
     reach = WINDOW_M + WINDOW_K * max(s.v, 1.0) * max(dt, 1.0)
     z, d = line.snap(lat, lon, s.x - reach, s.x + reach)
@@ -152,7 +198,7 @@ def step(s: State, lines: dict[int, Line], t_us: int, lat: float, lon: float, km
         s.next_stop = int(np.searchsorted(line.stops, s.x))
         return "REINITIALISED", d
     if s.mode in ("GPS_LOST", "NO_GPS"):
-        s.mode = before if before not in ("GPS_LOST", "NO_GPS") else "TRACKING"
+        s.mode, s.resume = s.resume or "TRACKING", ""
     if s.mode == "AT_TERMINAL":
         return turn(s, lines, lat, lon, d)
     good = d <= OFF_M and correct(s, z, d, sigma, dt)
@@ -165,7 +211,7 @@ def step(s: State, lines: dict[int, Line], t_us: int, lat: float, lon: float, km
                 s.mode, s.turns = "TRACKING", []
                 return "BACK_ON_ROUTE", d
             return lost, d
-        event = stop_layer(s, line, t_us, kmh)
+        event = ",".join(stop_layer(s, line, kmh, dt, z))
         if s.x >= line.length - TERMINAL_M and s.direction in lines:
             s.mode, s.turns = "AT_TERMINAL", []
             return "AT_TERMINAL", d
@@ -195,7 +241,7 @@ def turn(s: State, lines: dict[int, Line], lat: float, lon: float, d: float) ->
         s.turns.append(z)
     if len(s.turns) >= TURN_CONFIRMS or (s.turns and z > TURN_ZONE_M and away <= OFF_M):
         s.direction, s.trip, s.x, s.mode, s.turns = 1 - s.direction, s.trip + 1, z, "TRACKING", []
-        s.p, s.next_stop, s.slow_since_us = list((P0[0], 0.0, P0[1])), int(np.searchsorted(other.stops, z)), 0
+        s.p, s.next_stop, s.low_kmh, s.streak = list((P0[0], 0.0, P0[1])), int(np.searchsorted(other.stops, z)), math.inf, 0
         return "NEW_TRIP", away
     return "", d
 
@@ -210,33 +256,104 @@ def to_lines(raw: dict | list) -> dict[int, Line]:
     return {int(k): Line([p["lat"] for p in v], [p["lon"] for p in v]) for k, v in (raw.items() if isinstance(raw, dict) else raw) if len(v) > 1}
 
 
-def filter_tracks(fixes: DataFrame, placed_stops: DataFrame) -> DataFrame:
-    """An estimate for each fix of a vehicle with a route, in time order; fixes not later than the last are passed over.
+POSITION = "vehicle_id bigint, t_us bigint, fix_id bigint, mode string, event string, direction int, trip int, x double, v double, variance double, deviation_m double"
+
+
+class Follower:
+    """One vehicle: its lines and state. Gives (t_us, fix_id, event, deviation) and the state's numbers for fixes and seconds."""
+
+    def __init__(self, lines: dict[int, Line], state: State | None = None) -> None:
+        self.lines, self.state = lines, state or State(direction=min(lines, default=0))
+
+    def _row(self, t_us: int, fix: int | None, event: str, away: float | None) -> tuple:
+        s = self.state
+        return t_us, fix, s.mode, event, s.direction, s.trip, s.x, s.v, s.p[0], away
+
+    def seconds(self, until_us: int) -> Iterator[tuple]:
+        """A row for each whole second since the last fix up to a time; the last one says NO_GPS."""
+        s = self.state
+        if s.mode == "NEW" or s.direction not in self.lines:
+            return
+        length = self.lines[s.direction].length
+        while s.mode != "NO_GPS" and (at := s.advanced_us + 1_000_000) <= until_us:
+            before = s.mode
+            predict(s, at, length)
+            yield self._row(at, None, s.mode if s.mode != before else "", None)
+
+    def fix(self, fix: int, t_us: int, lat: float, lon: float, kmh: float, hdop: float | None) -> tuple | None:
+        """The row of a fix; none without a line or if it is not later than the last one."""
+        if not self.lines or t_us <= self.state.t_us:
+            return None
+        event, away = step(self.state, self.lines, t_us, lat, lon, kmh, hdop)
+        return self._row(t_us, fix, event, away)
+
+
+def vehicle_lines(fixes: DataFrame, placed_stops: DataFrame) -> DataFrame:
+    """(vehicle_id, route_id, lines): the lines of the routes that each vehicle has fixes on."""
+    return fixes.select("vehicle_id", "route_id").distinct().join(line_table(placed_stops), "route_id")
 
-    Geometry goes along with the first row of a vehicle only: a map of routes is joined by route and dropped but there.
+
+def follow(fixes: DataFrame, placed_stops: DataFrame, seconds: bool = False, until_us: int | None = None, states: DataFrame | None = None) -> DataFrame:
+    """Rows of POSITION and, at a vehicle's end, one with its route_id and state: what the next batch of fixes takes as states.
+
+    fixes: vehicle_id, t_us, fix_id, route_id, lat, lon, speed, hdop, in any order; those not later than the last are
+    passed over. seconds: also a row for each second between fixes, and up to until_us behind the last. states:
+    (vehicle_id, route_id, state) as an earlier call gave them. Geometry and state go along with the first row of a
+    vehicle and route only.
     """
     ship_package(fixes.sparkSession)
     columns = ["vehicle_id", "t_us", "fix_id", "route_id", "lat", "lon", "speed", "hdop"]
-    first = fixes.groupBy("vehicle_id", "route_id").agg(F.min("t_us").alias("t_us")).join(F.broadcast(line_table(placed_stops)), "route_id").select("vehicle_id", (F.col("t_us") - 1).alias("t_us"), F.lit(-1).cast("bigint").alias("fix_id"), "route_id", "lines")
-    rows = fixes.select(*columns).unionByName(first, allowMissingColumns=True).select(*columns, "lines")
-    dealt = rows.repartition("vehicle_id").sortWithinPartitions("vehicle_id", "route_id", "t_us", "fix_id")
+    # null order: a vehicle's first row has no time
+    known = fixes.select("vehicle_id", "route_id")
+    known = (known.unionByName(states.select("vehicle_id", "route_id")) if states is not None else known).distinct()
+    first = known.join(line_table(placed_stops), "route_id")
+    first = first.join(states.select("vehicle_id", "route_id", "state"), ["vehicle_id", "route_id"], "left") if states is not None else first.withColumn("state", F.lit(None).cast(f"struct<{STATE_FIELDS}>"))
+    rows = fixes.select(*columns).unionByName(first, allowMissingColumns=True).select(*columns, "lines", "state")
+    dealt = rows.repartition("vehicle_id").sortWithinPartitions("vehicle_id", "route_id", F.col("t_us").asc_nulls_first(), "fix_id")
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, lines = None, State(), {}
+        key, who = None, None
+        out: list[tuple] = []
+
+        def end() -> None:
+            if who is not None and who.lines:
+                if seconds and until_us is not None:
+                    out.extend((key[0], *r, None, None) for r in who.seconds(until_us))
+                out.append((key[0], who.state.t_us, *[None] * 9, key[1], dict(zip(STATE_NAMES, who.state.row(), strict=True))))
+
         for b in batches:
-            out = []
-            for vehicle, t, fix, route, lat, lon, kmh, hdop, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for vehicle, t, fix, route, lat, lon, kmh, hdop, raw, state in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (vehicle, route) != key:
-                    key, state, lines = (vehicle, route), State(), {}
+                    end()
+                    key, who = (vehicle, route), Follower({})
                 if raw is not None:
-                    lines = to_lines(raw)
-                    state.direction = min(lines, default=0)
+                    who = Follower(to_lines(raw), State(**state) if state else None)
                     continue
-                if not lines or t <= state.t_us:
+                if t is None:
                     continue
-                event, d = step(state, lines, t, lat, lon, kmh, hdop)
-                out.append((fix, vehicle, state.mode, event, state.direction, state.trip, state.x, state.v, state.p[0], d))
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 10, types, strict=True)], names=[c.split()[0] for c in ESTIMATE.split(", ")])
+                if seconds and t > who.state.t_us:
+                    out.extend((vehicle, *r, None, None) for r in who.seconds(t - 1))
+                if row := who.fix(fix, t, lat, lon, kmh, hdop):
+                    out.append((vehicle, *row, None, None))
+            yield _rows(out)
+            out.clear()
+        end()
+        yield _rows(out)
+
+    return dealt.mapInArrow(fold, f"{POSITION}, route_id bigint, state struct<{STATE_FIELDS}>")
+
 
-    return dealt.mapInArrow(fold, ESTIMATE)
+STATE_NAMES = [c.split()[0] for c in STATE.split(", ")]
+STATE_FIELDS = ", ".join(f"{n}: {t}" for n, t in (c.split(" ", 1) for c in STATE.split(", ")))
+_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+_OUT = [*(_TYPES[c.split()[1]] for c in POSITION.split(", ")), pa.int64(), pa.struct([(n, _TYPES[t]) for n, t in (c.split(" ", 1) for c in STATE.split(", "))])]
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    names = [*(c.split()[0] for c in POSITION.split(", ")), "route_id", "state"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * len(_OUT), _OUT, strict=True)], names=names)
+
+
+def filter_tracks(fixes: DataFrame, placed_stops: DataFrame) -> DataFrame:
+    """An estimate for each fix of a vehicle with a route, in time order."""
+    return follow(fixes, placed_stops).where("state is null").select(*(c.split()[0] for c in ESTIMATE.split(", ")))

@@ -10,6 +10,7 @@ from wayfold.plans.book import Book
 from wayfold.plans.trackbook import LAG, OUT_SQL
 from wayfold.sources.transit import BASE_US, Transit
 from wayfold.streaming import fixes as st
+from wayfold.streaming import positions
 
 book = Book()
 query = book.query
@@ -19,6 +20,16 @@ def _events(t: Transit) -> DataFrame:
     return st.event_stream(t.spark, f"{t.sf_dir.rstrip('/')}/events.parquet")
 
 
+def _fixes(t: Transit) -> DataFrame:
+    """The events as fixes, like Transit.fixes."""
+    return _events(t).select(
+        F.col("event_id").alias("fix_id"), F.col("user_id").alias("vehicle_id"), F.expr(f"{BASE_US} + (unix_micros(at) - {BASE_US}) div 1000").alias("t_us"),
+        F.expr("37.90D + ((user_id * 7919) % 1000) / 10000.0D + case when event_id % 10 = 0 then 0.0D else ((event_id * 31) % 41 - 20) / 20000.0D end").alias("lat"),
+        F.expr("58.30D + ((user_id * 104729) % 1500) / 10000.0D + case when event_id % 10 = 0 then 0.0D else ((event_id * 17) % 41 - 20) / 20000.0D end").alias("lon"), F.expr("value % 80").alias("speed"), "at",
+        F.expr("case when event_id % 8 <> 0 then (event_id * 7 % 80) / 10.0D end").alias("hdop"),
+    )
+
+
 @query("SELECT event_type, from_us, n, round(total, 4) AS total FROM (SELECT event_type, epoch_us(ts) // 3600000000 * 3600000000 AS from_us, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)")
 def stream_hourly_windows(t: Transit) -> DataFrame:
     """Hourly counts by type; complete mode, as the last windows have to be there."""
@@ -38,12 +49,7 @@ def stream_deduplicated(t: Transit) -> DataFrame:
 @query(f"SELECT fix_id, vehicle_id, {OUT_SQL} AS verdict FROM kin", LAG)
 def stream_outliers(t: Transit) -> DataFrame:
     """Outlier verdicts with the last fix of each vehicle as state."""
-    s = _events(t).select(
-        F.col("event_id").alias("fix_id"), F.col("user_id").alias("vehicle_id"), F.expr(f"{BASE_US} + (unix_micros(at) - {BASE_US}) div 1000").alias("t_us"),
-        F.expr("37.90D + ((user_id * 7919) % 1000) / 10000.0D + case when event_id % 10 = 0 then 0.0D else ((event_id * 31) % 41 - 20) / 20000.0D end").alias("lat"),
-        F.expr("58.30D + ((user_id * 104729) % 1500) / 10000.0D + case when event_id % 10 = 0 then 0.0D else ((event_id * 17) % 41 - 20) / 20000.0D end").alias("lon"), F.expr("value % 80").alias("speed"),
-    )
-    return st.run_available(st.stateful_outliers(s), "append", "outliers", idle_batches=False)
+    return st.run_available(st.stateful_outliers(_fixes(t)), "append", "outliers", idle_batches=False)
 
 
 @query("SELECT user_id, arg_max(event_id, (epoch_us(ts), event_id)) AS event_id, max(epoch_us(ts)) AS at_us FROM events GROUP BY 1")
@@ -57,3 +63,21 @@ def stream_latest(t: Transit) -> DataFrame:
 def motion_filter(t: Transit) -> DataFrame:
     """Filtered positions of all vehicles: a fold over each track."""
     return motion.filter_tracks(t.fixes, t.placed_stops)
+
+
+POSITION = [c.split()[0] for c in motion.POSITION.split(", ")]
+
+
+@query()
+def live_positions(t: Transit) -> DataFrame:
+    """Positions at each fix and each second without one, losses by timeout: the filter over all there is, to the last fix."""
+    last = t.fixes.agg(F.max("t_us").alias("t")).first()["t"]
+    return motion.follow(t.fixes, t.placed_stops, True, last).where("state is null").select(*POSITION)
+
+
+@query()
+def stream_positions(t: Transit) -> DataFrame:
+    """The same by a stream with typed state and timers, up to its watermark."""
+    lines = motion.vehicle_lines(t.fixes, t.placed_stops).select("vehicle_id", "lines")
+    stream = _fixes(t).withColumn("at", F.timestamp_micros("t_us"))
+    return st.run_available(positions.live_positions(stream, lines), "append", "positions")
