@@ -1,7 +1,10 @@
+import pytest
 import random
 
 from fixtures import awkward, docs_table, prose
 
+from pyspark.sql import functions as F
+
 from wayfold.llm import license_scan as lic
 
 
@@ -81,3 +84,23 @@ def test_anchors_cover_more_than_a_fifth():
 
 def test_empty(spark):
     assert lic.scan(spark, docs_table(spark, awkward()).limit(0)).count() == 0
+
+
+def test_each_row_is_a_document(spark):
+    mit = lic.TEMPLATES["mit"]
+    docs = docs_table(spark, [(None, mit), (None, mit), (None, "x " * 50 + mit), (1, mit), (1, "y " * 9 + mit)]).withColumn("row", F.lit(1)).withColumn("least", F.lit(0.1))
+    got = [r for r in lic.scan(spark, docs).collect() if r["template"] == "mit"]
+    assert sorted((r["doc_id"] or 0, r["first_word"]) for r in got) == [(0, 0), (0, 0), (0, 50), (1, 0), (1, 9)]
+
+
+def test_bands_come_from_the_least_share(spark):
+    assert lic.bands_for(0.8) == 48 and lic.bands_for(0.3) > 150
+    for share in (0.0, -1.0, 1.1):
+        with pytest.raises(ValueError, match="least"):
+            lic.bands_for(share)
+    rng = random.Random(8)
+    wanted = "a1 b2 c3 d4 e5 f6 g7 h8 i9 j10 k11 l12 m13 n14 o15 p16 q17 r18 s19 t20"
+    words = wanted.split()
+    docs = docs_table(spark, [(k, " ".join([f"x{rng.randrange(99)}" for _ in range(30)] + words[:9] + ["z"] * 20)) for k in range(100)])
+    got = lic.scan(spark, docs, templates={"t": wanted}, least=0.3).collect()
+    assert len({r["doc_id"] for r in got}) == 100 and {r["shared"] for r in got} == {5}

@@ -73,3 +73,19 @@ def test_keys_with_names_of_the_operator(spark):
     assert got.columns == ["block", "open", "source", "size", "source_size", "target", "copies"] and got.count() == len(awkward())
     with pytest.raises(ValueError, match="size"):
         m.mix(docs.withColumnRenamed("block", "size"), ["size"])
+
+
+def test_rows_of_several_sources_keep_their_own_copies(spark):
+    """Rows that share id and text but not the source, and rows that share all three, on any partitioning."""
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "a b c", "t"), (None, "a b", None), (None, "a b", None)] + [(k, "x y z w " * (k % 5 + 1), "stu"[k % 3]) for k in range(2, 60)]
+    docs = docs_table(spark, rows).withColumn("n", F.monotonically_increasing_id() % 3).withColumn("_nth", F.lit("x"))
+    want = None
+    for parts in (1, 3, 7):
+        got = m.repeat_rows(docs.repartition(parts))
+        assert got.columns == docs.columns
+        said = sorted(repr(tuple(r)) for r in got.collect())
+        want = want or said
+        assert said == want
+    copies = m.mix(docs, ["doc_id"]).groupBy("source").agg(F.sum("copies").alias("c")).collect()
+    taken = {r["source"]: r["c"] for r in got.groupBy("source").agg(F.count("*").alias("c")).collect()}
+    assert taken == {r["source"]: r["c"] for r in copies if r["c"]}

@@ -64,3 +64,16 @@ def test_awkward_rows(spark):
 def test_query(spark):
     got = op6_toxicity(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == 200
+
+
+def test_without_bounds_all_rows_are_seen(spark, monkeypatch):
+    """Many small shards, each with its own unlabelled rows and a group of the positives."""
+    monkeypatch.setattr(t, "SHARD_ROWS", 40)
+    monkeypatch.setattr(t, "SHARD_POSITIVES", 10)
+    rng = random.Random(9)
+    rows = [(k, prose(rng, 30) + (" vile foul rotten" if k % 6 == 0 else "")) for k in range(600)]
+    docs = docs_table(spark, rows)
+    labels = spark.createDataFrame([(k, int(k % 6 == 0)) for k in range(600)], "doc_id bigint, toxic int")
+    model = t.train(docs, labels, most_positive=None, most_unlabelled=None, most_features=None)
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in t.score(docs, model).collect()}
+    assert sum(got[k] == (k % 6 == 0) for k in range(600)) > 580

@@ -2,21 +2,22 @@
 
 Templates fall into classes by their number of shingles (five words), up to L = 1, 2, 4, ... A text's windows for
 a class have 2 L shingles and start every L / 2, so that some window has every run of L whole. A window that has
-80 % of a template's shingles has a Jaccard similarity of at least 0.4 / 2.1 with it. With one row a band and
-BANDS bands they meet in a band with probability 1 - (1 - 0.19)^48 > 0.9999. Candidates are then verified by
-exact containment of the template's shingles, as words, in the window.
+80 % of a template's shingles has a Jaccard similarity of at least 0.4 / 2.1 with it; other shares by the same rule.
+There are as many bands of one row as make a pair at that similarity miss all of them with a probability of MISSED at
+most: 48 at 80 %. Candidates are then verified by exact containment of the template's shingles, as words, in the window.
 
 Only windows with an anchor word are hashed. A template's anchors are words such that more than a fifth of its
 shingles have one: a text with 80 % of the shingles has at least one of them, so nothing is lost.
 
 Words are runs of letters and digits of the lower-cased text. Shorter texts are one shingle. Null and empty texts
 match nothing. Windows that match a template and overlap in the words they match are one occurrence; each has its
-own row, so a notice that comes three times is found three times. Rows with one id count as one document, null ids
-too. An empty table gives no rows. Only the id and the text are read.
+own row, so a notice that comes three times is found three times. Each row of the table is a document of its own,
+whatever its id: null ids and repeated ids give rows like any others. An empty table gives no rows. Only the id and the text are read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +26,7 @@ from pyspark.sql.window import Window as W
 
 from wayfold.llm.shared import whole
 
-SHINGLE, BANDS, LEAST = 5, 48, 0.8
+SHINGLE, LEAST, MISSED = 5, 0.8, 4e-5
 #: Templates whose shingles (about 10 KB for a whole licence) are broadcast; of more they are joined by a shuffle.
 BROADCAST_TEMPLATES = 2_000
 FOUND = "doc_id, template, containment, shared, shingles, first_word, last_word"
@@ -87,13 +88,21 @@ def _shingles(words: Column, size: int = SHINGLE) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
 
 
-def _minima(shingles: Column) -> Column:
+def bands_for(least: float) -> int:
+    """Bands of one row that a window with `least` of a template's shingles, in 2 L, misses with a probability of MISSED at most."""
+    if not 0 < least <= 1:
+        raise ValueError("least is a share of a template's shingles, above 0 and at most 1")
+    similarity = least / (5 - least)  # a template has more than L / 2
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-similarity)))
+
+
+def _minima(shingles: Column, bands: int) -> Column:
     hashes = F.transform(shingles, lambda s: F.xxhash64(s))
 
     def lowest(band: int) -> Column:
         return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(band))))
 
-    return F.array(*[lowest(k) for k in range(BANDS)])
+    return F.array(*[lowest(k) for k in range(bands)])
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -118,12 +127,15 @@ def scan(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str
             classes.setdefault(class_of(shingles_of(w)), set()).update(anchors_of(w, least))
     if not classes:
         return docs.select(F.col(doc_id).alias("doc_id"), F.lit("").alias("template"), F.lit(0.0).alias("containment"), F.lit(0).alias("shared"), F.lit(0).alias("shingles"), F.lit(0).cast("bigint").alias("first_word"), F.lit(0).cast("bigint").alias("last_word")).limit(0)
-    bands = template_table(spark, templates).withColumn("minima", _minima(F.col("wanted"))).select("template", "class", "wanted", F.posexplode("minima").alias("band", "low"))
-    bands = F.broadcast(bands) if len(templates) <= BROADCAST_TEMPLATES else bands.hint("merge")
+    # a template's shingles go to the tasks once, beside its bands
+    n = bands_for(least)
+    table = template_table(spark, templates)
+    bands = table.select("template", "class", F.posexplode(_minima(F.col("wanted"), n)).alias("band", "low"))
+    laid = lambda d: F.broadcast(d) if len(templates) <= BROADCAST_TEMPLATES else d.hint("merge")
 
     every = sorted(set().union(*classes.values()))
     body = whole(F.col(text))
-    gated = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text")).where(F.lower("text").rlike("|".join(map(re.escape, every)))).select("doc_id", _words(F.col("text")).alias("words"))
+    gated = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), body.alias("text")).where(F.lower("text").rlike("|".join(map(re.escape, every)))).select("row", "doc_id", _words(F.col("text")).alias("words"))
 
     def windows(size: int, anchors: set[str]) -> Column:
         step = max(1, size // 2)
@@ -132,18 +144,18 @@ def scan(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str
         made = F.transform(starts, lambda s: F.struct(F.lit(size).alias("class"), s.alias("start"), F.slice("words", s + 1, 2 * size + SHINGLE - 1).alias("words")))
         return F.filter(made, lambda w: F.arrays_overlap(w["words"], known))
 
-    cut = gated.select("doc_id", F.explode(F.flatten(F.array(*[windows(n, a) for n, a in sorted(classes.items())]))).alias("w")).select("doc_id", "w.class", "w.start", "w.words")
+    cut = gated.select("row", "doc_id", F.explode(F.flatten(F.array(*[windows(n, a) for n, a in sorted(classes.items())]))).alias("w")).select("row", "doc_id", "w.class", "w.start", "w.words")
     shingled = cut.withColumn("shingles", _shingles(F.col("words"))).drop("words")
-    hashed = shingled.withColumn("minima", _minima(F.col("shingles"))).select("doc_id", "class", "start", "shingles", F.posexplode("minima").alias("band", "low"))
-    met = hashed.join(bands, ["class", "band", "low"])
+    hashed = shingled.withColumn("minima", _minima(F.col("shingles"), n)).select("row", "doc_id", "class", "start", "shingles", F.posexplode("minima").alias("band", "low"))
+    met = hashed.join(laid(bands), ["class", "band", "low"]).select("row", "doc_id", "start", "template", "shingles").join(laid(table.select("template", "wanted")), "template")
     shared = F.size(F.array_intersect("shingles", "wanted"))
     fits = met.withColumn("shared", shared).where(F.col("shared") >= least * F.size("wanted"))
     # A window meets a template in several bands; only one is placed.
-    once = fits.groupBy("doc_id", "template", "start").agg(F.first("shared").alias("shared"), F.first("shingles").alias("own"), F.first("wanted").alias("wanted"))
+    once = fits.groupBy("row", "template", "start").agg(F.first("doc_id").alias("doc_id"), F.first("shared").alias("shared"), F.first("shingles").alias("own"), F.first("wanted").alias("wanted"))
     places = F.filter(F.transform("own", lambda x, i: F.when(F.array_contains("wanted", x), i)), lambda i: i.isNotNull())
-    placed = once.select("doc_id", "template", "shared", F.size("wanted").alias("shingles"), (F.col("start") + F.array_min(places)).alias("first"), (F.col("start") + F.array_max(places) + SHINGLE - 1).alias("last"))
-    order = W.partitionBy("doc_id", "template").orderBy("first", "last")
+    placed = once.select("row", "doc_id", "template", "shared", F.size("wanted").alias("shingles"), (F.col("start") + F.array_min(places)).alias("first"), (F.col("start") + F.array_max(places) + SHINGLE - 1).alias("last"))
+    order = W.partitionBy("row", "template").orderBy("first", "last")
     new = F.coalesce(F.col("first") > F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
     runs = placed.withColumn("run", F.sum(new.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    out = runs.groupBy("doc_id", "template", "run").agg(F.max("shared").alias("shared"), F.max("shingles").alias("shingles"), F.min("first").cast("bigint").alias("first_word"), F.max("last").cast("bigint").alias("last_word"))
+    out = runs.groupBy("row", "template", "run").agg(F.first("doc_id").alias("doc_id"), F.max("shared").alias("shared"), F.max("shingles").alias("shingles"), F.min("first").cast("bigint").alias("first_word"), F.max("last").cast("bigint").alias("last_word"))
     return out.withColumn("containment", F.col("shared") / F.col("shingles")).select(*FOUND.split(", "))

@@ -46,7 +46,8 @@ def share(sizes: list[int], weights: list[float], total: float, cap: float) -> l
             break
         for i in over:
             shares[i] = float(cap * sizes[i])
-        active = [i for i in active if i not in set(over)]
+        full = set(over)
+        active = [i for i in active if i not in full]
         rest -= sum(shares[i] for i in over)
     return shares
 
@@ -178,13 +179,26 @@ def mix(docs: DataFrame, keys: list[str], text: str = "text", source: str = "sou
 
 
 def repeat_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """docs with every row as often as the mix takes it; rows that repeat id and text share their copies."""
-    key, id2, key2, copies, rows, copy = free_names(docs, "_key", "_id2", "_key2", "_copies", "_rows", "_copy")
+    """docs with every row as often as the mix takes it.
+
+    A row's copies are found by its id, text and source. Rows that share all three take theirs in the order of their
+    other columns, so reruns agree; they meet in one task, as they do in the mix.
+    """
+    key, id2, key2, source2, nth, nth2, rows, copies = free_names(docs, "_key", "_id2", "_key2", "_source2", "_nth", "_nth2", "_rows", "_copies")
     of_text = F.xxhash64(whole(F.col(text)))
     plain = docs.select(F.col(doc_id).alias("_id"), of_text.alias("_key"), F.col(text).alias("_text"), F.col(source).alias("_source"))
-    mixed = mix(plain, ["_id", "_key"], "_text", "_source", **options).groupBy("_id", "_key").agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
-    mixed = written(mixed.select(F.col("_id").alias(id2), F.col("_key").alias(key2), copies, rows), shared_dir(docs.sparkSession, "copies"))
-    met = docs.withColumn(key, of_text).join(mixed, F.col(doc_id).eqNullSafe(F.col(id2)) & (F.col(key) == F.col(key2)))
-    if not mixed.where(F.col(rows) > 1).isEmpty():
-        met = met.where(F.col(rows) == 1).unionByName(met.where(F.col(rows) > 1).dropDuplicates([doc_id, key]))
-    return met.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
+    mixed = written(mix(plain, ["_id", "_key"], "_text", "_source", **options).select(F.col("_id").alias(id2), F.col("_key").alias(key2), F.col("source").alias(source2), F.col("copies").alias(copies)), shared_dir(docs.sparkSession, "copies"))
+    alike = [id2, key2, source2]
+    several = mixed.groupBy(*alike).agg(F.count(F.lit(1)).alias(rows)).where(F.col(rows) > 1)
+    same = lambda other: F.col(doc_id).eqNullSafe(other[id2]) & (F.col(key) == other[key2]) & F.col(source).cast("string").eqNullSafe(other[source2])
+    again = lambda left, right: left[id2].eqNullSafe(right[id2]) & (left[key2] == right[key2]) & left[source2].eqNullSafe(right[source2])
+    marked = docs.withColumn(key, of_text)
+    if several.isEmpty():
+        met = marked.join(mixed, same(mixed))
+    else:
+        several = written(several, shared_dir(docs.sparkSession, "alike"))
+        ranked = mixed.join(several, again(mixed, several), "left_semi").withColumn(nth2, F.row_number().over(W.partitionBy(*alike).orderBy(F.col(copies).desc())))
+        doubled = marked.join(several, same(several), "left_semi").withColumn(nth, F.row_number().over(W.partitionBy(doc_id, key, F.col(source).cast("string")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))))
+        once = mixed.join(several, again(mixed, several), "left_anti")
+        met = marked.join(once, same(once)).unionByName(doubled.join(ranked, same(ranked) & (F.col(nth) == F.col(nth2))).drop(nth, nth2))
+    return met.where(F.col(copies) > 0).withColumn(rows, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

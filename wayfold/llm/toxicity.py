@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.shared import arrow_rows, free_names, shared_dir, ship_package, whole, written
 
-#: Rows that training sees at most, however large the corpus.
-MOST_POSITIVE, MOST_UNLABELLED = 6000, 18000
-#: Features in the vocabulary at most, and training shards.
-MOST_FEATURES, SHARDS = 20_000, 8
+#: Bounds of what training sees unless other ones, or None for all, are given: labelled rows, unlabelled rows, features.
+MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 6000, 18000, 20_000
+#: Training shards of bounded samples; rows of a shard when all rows are taken, and positives that a shard needs.
+SHARDS, SHARD_ROWS, SHARD_POSITIVES = 8, 3000, 200
 #: Deviations by which a feature's count among the positives must differ from its usual one.
 LEAST_GAIN = 4.0
 FOLDS, HELD_OUT = 5, 0
@@ -89,8 +89,12 @@ def train_shard(rows: list[np.ndarray], positive: np.ndarray, size: int, prior:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", seed: int = 5) -> Model:
-    """A model from docs and labels (doc_id, label 0/1) outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", seed: int = 5, most_positive: int | None = MOST_POSITIVE, most_unlabelled: int | None = MOST_UNLABELLED, most_features: int | None = MOST_FEATURES) -> Model:
+    """A model from docs and labels (doc_id, label 0/1) outside the held-out fold.
+
+    The bounds are of the sample; None takes all positives, all unlabelled rows, all telling features. Unlabelled rows
+    without a bound are dealt over as many shards as they need, and each shard gets one of the groups of positives.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     arrow_rows(spark)
@@ -101,21 +105,23 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return Model({}, -30.0 if not seen["toxic"] else 30.0)
     prior = seen["toxic"] / seen["n"]
 
-    confirmed = named.where("_label = 1").select(doc_id).distinct().orderBy(order).limit(MOST_POSITIVE).withColumn("_positive", F.lit(True))
+    confirmed = named.where("_label = 1").select(doc_id).distinct().withColumn("_positive", F.lit(True))
+    if most_positive is not None:
+        confirmed = F.broadcast(confirmed.orderBy(order).limit(most_positive))
     open_docs = docs.where(~held_out(F.col(doc_id))).select(doc_id, whole(F.col(text)).alias("_text"))
-    share = min(1.0, MOST_UNLABELLED / max(1, open_docs.count()))
+    share = 1.0 if most_unlabelled is None else min(1.0, most_unlabelled / max(1, open_docs.count()))
     drawn = F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))
-    # The positives' ids are bounded. A positive may be drawn as unlabelled text as well: that is what unlabelled means.
-    met = open_docs.join(F.broadcast(confirmed), doc_id, "left").where(F.col("_positive") | drawn)
+    # Bounded positives are broadcast. A positive may be drawn as unlabelled text as well: that is what unlabelled means.
+    met = open_docs.join(confirmed, doc_id, "left").where(F.col("_positive") | drawn)
     roles = F.array_compact(F.array(F.when(F.col("_positive"), F.lit(1)), F.when(drawn, F.lit(0))))
-    source = met.select(F.explode(roles).alias("positive"), F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed + 1)), F.lit(SHARDS)).cast("int").alias("shard"), "_text")
+    source = met.select(F.explode(roles).alias("positive"), F.xxhash64(F.col(doc_id), F.lit(seed + 1)).alias("shard"), "_text")
 
     def featurize(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(features(t)) for t in b.column(2).to_pylist()], pa.list_(pa.string()))], names=["positive", "shard", "features"])
 
     where = shared_dir(spark, "toxicity")
-    sample = written(source.mapInArrow(featurize, "positive int, shard int, features array<string>"), f"{where}/sample")
+    sample = written(source.mapInArrow(featurize, "positive int, shard bigint, features array<string>"), f"{where}/sample")
     sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Model({}, math.log(prior / (1 - prior)))
@@ -125,7 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     usual = F.col("u") * (sizes[1] / sizes[0])
     gain = F.abs(F.col("p") - usual) / F.sqrt(usual + 1)
     telling = counts.where((F.abs(ratio) > math.log(2)) & (gain > LEAST_GAIN)).withColumn("gain", gain)
-    vocabulary = [r["feature"] for r in telling.orderBy(F.desc("gain"), "feature").limit(MOST_FEATURES).collect()]
+    telling = telling.orderBy(F.desc("gain"), "feature")
+    vocabulary = [r["feature"] for r in (telling if most_features is None else telling.limit(most_features)).collect()]
     if not vocabulary:
         return Model({}, math.log(prior / (1 - prior)))
     index = spark.sparkContext.broadcast({f: i for i, f in enumerate(vocabulary)})
@@ -139,12 +146,19 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return pd.DataFrame({"weights": [train_shard(rows, positive, len(known), prior)]})
 
     # Few positives are kept together: a shard needs enough of them.
-    shards = max(1, min(SHARDS, sizes[1] // 200))
-    fitted = sample.groupBy(F.col("shard") % shards).applyInPandas(fit, "weights array<double>").collect()
+    groups = max(1, sizes[1] // SHARD_POSITIVES)
+    if most_unlabelled is not None:
+        shards = min(SHARDS, groups)
+        dealt = sample.withColumn("shard", F.pmod(F.pmod("shard", F.lit(SHARDS)), F.lit(shards)))
+    else:
+        shards = max(groups, -(-sizes[0] // SHARD_ROWS))
+        own = F.pmod(F.col("shard"), F.lit(groups))
+        dealt = sample.withColumn("shard", F.explode(F.when(F.col("positive") == 1, F.sequence(own, F.lit(shards - 1).cast("bigint"), F.lit(groups).cast("bigint"))).otherwise(F.array(F.pmod(F.col("shard"), F.lit(shards))))))
+    made = dealt.groupBy("shard").applyInPandas(fit, "weights array<double>")
+    fitted = [r["w"] for r in made.select(F.posexplode("weights").alias("i", "w")).groupBy("i").agg(F.avg("w").alias("w")).orderBy("i").collect()]
     if not fitted:
         return Model({}, math.log(prior / (1 - prior)))
-    mean = np.mean([r["weights"] for r in fitted], axis=0)
-    return Model({f: float(x) for f, x in zip(vocabulary, mean, strict=False)}, float(mean[-1]))
+    return Model(dict(zip(vocabulary, fitted, strict=False)), fitted[-1])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", result: str = "score") -> DataFrame:
