@@ -122,6 +122,14 @@ def test_query_and_empty_table(spark):
     assert found(spark, []) == []
 
 
+def test_first_shingles_of_near_sets_meet():
+    for share in (m.SHARE, near_sets.Share(4, 5)):
+        for n in range(1, 200):
+            # of two near sets of n shingles with c in common, the first ones reach into the common part
+            least = -(-2 * n * share.up // (share.up + share.down))
+            assert share.first_of(n) > n - least >= 0 and share.first_of(n) == n - -(-n * share.up // share.down) + 1
+
+
 def test_hashes_that_collide_are_told_apart(spark):
     rows = spark.createDataFrame([(1, 3, b"a"), (1, 3, b"a"), (1, 4, b"b"), (2, 3, b"c")], "fp bigint, n int, sketch binary")
     got = near_sets.told_apart(rows, F.hash("n", "sketch")).collect()

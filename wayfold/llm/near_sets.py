@@ -9,7 +9,7 @@ all of it is compared.
 Sets of small keys are compared as pairs. The sets of large keys are cut by their own shingles: of two sets whose
 similarity is at least s, with all shingles in one order, the first n - ceil(s n) + 1 of each have one in common.
 The order is by frequency among these sets, the rarest first, so what many share (a site's footer) is not among the
-first, and shingles that one set alone has bring nothing together. A set gives at most as many rows as it has first
+first; shingles that one set alone has bring nothing together. A set gives at most as many rows as it has first
 shingles, whatever the size of its key. Should many sets share a first shingle still, they are compared in blocks.
 Keys that hold the same sets count once.
 """
@@ -31,6 +31,8 @@ from wayfold.llm.simhash import Forest, components
 MOST_ROUNDS, LEFT = 6, 2
 #: Rows of a key whose sets are compared as pairs, and rows of a block of a larger one.
 PAIR_ROWS, BLOCK_ROWS = 64, 512
+#: Bits of the hash by which shingles are counted: a table of 2 to that many counts goes to the driver and the tasks.
+COUNT_BITS = 18
 #: Words kept by a Python worker.
 CACHE_WORDS = 400_000
 _WEIGHTS = np.random.default_rng(20).integers(0, 1 << 64, 16, np.uint64, endpoint=False) | np.uint64(1)
@@ -124,9 +126,9 @@ class Share(NamedTuple):
         """Whether sets of these sizes can be near."""
         return F.least(x, y) * self.down >= F.greatest(x, y) * self.up
 
-    def first(self, n: Column) -> Column:
-        """How many first shingles of a set have one in common with every near set's."""
-        return (n - F.ceil(n * self.up / F.lit(self.down)) + 1).cast("int")
+    def first_of(self, n: int) -> int:
+        """How many first shingles of a set of n have one in common with every near set's."""
+        return n + self.up * n // -self.down + 1
 
 
 def near(pairs: DataFrame, total: int, sets: DataFrame, share: Share) -> DataFrame:
@@ -204,26 +206,49 @@ def within_keys(rows: DataFrame, sets: DataFrame, share: Share) -> DataFrame:
     return ordered.mapInArrow(search, "a bigint, b bigint")
 
 
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (mixed(s) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def usual_counts(held: DataFrame) -> np.ndarray:
+    """How many sets have a shingle, by a hash of it: a table of fixed size, whatever the number of sets. held: shingles."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                np.add.at(n, _bucket(np.frombuffer(raw.as_py(), np.uint64)), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["b", "n"])
+
+    counts = held.select("shingles").mapInArrow(count, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNT_BITS, np.int64)
+    out[counts.column("b").to_numpy()] = counts.column("n").to_numpy()
+    return out
+
+
 def first_shingles(members: DataFrame, sets: DataFrame, share: Share, where: str) -> DataFrame:
-    """(key, fp, n, root) by those first shingles that sets of several components have. members: fp, n, root, one row for each set."""
-    held = members.join(sets.select("fp", "shingles"), "fp").select("fp", "n", "shingles")
+    """(key, fp, n, root) by those first shingles that sets of several components have. members: fp, n, root, one row for each set.
+
+    The order may be any, as long as it is the same for all sets: so counts by a hash of a shingle do.
+    """
+    spark = members.sparkSession
+    ship_package(spark)
+    held = written(members.join(sets.select("fp", "shingles"), "fp").select("fp", "n", "root", "shingles"), f"{where}/held")
+    counts = spark.sparkContext.broadcast(usual_counts(held))
 
     def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usual = counts.value
         for batch in batches:
-            for k in range(batch.num_rows):
-                own = np.frombuffer(batch.column(2)[k].as_py(), np.int64)
-                for at in range(0, len(own), 1 << 16):
-                    m = len(own[at : at + (1 << 16)])
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(m, batch.column(c)[k].as_py())).cast(batch.column(c).type) for c in range(2)), pa.array(own[at : at + m])], names=["fp", "n", "s"])
-
-    spelt = written(held.mapInArrow(spell, "fp bigint, n int, s bigint"), f"{where}/spelt")
-    # shingles of one set alone come first in the order, and bring nothing together: they are only counted
-    often = spelt.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    total = spelt.count()
-    several = lookup(spelt, often, ["s"], total, F.col("fp"), "inner").groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("order"))
-    alone = F.col("n") - F.size("order")
-    first = several.select("fp", "n", F.explode(F.slice("order", F.lit(1), F.greatest(share.first(F.col("n")) - alone, F.lit(0)))).alias("o")).select("fp", "n", F.col("o.s").alias("key"))
-    keyed = first.join(members.select("fp", "root"), "fp")
+            firsts = []
+            for raw in batch.column(3):
+                own = np.frombuffer(raw.as_py(), np.uint64)
+                firsts.append(own[np.lexsort((own, usual[_bucket(own)]))[: share.first_of(len(own))]])
+            at = pa.array(np.repeat(np.arange(len(firsts)), [len(f) for f in firsts]))
+            keys = np.concatenate([*firsts, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(c).take(at) for c in range(3))], names=["key", "fp", "n", "root"])
+
+    keyed = written(held.mapInArrow(spell, "key bigint, fp bigint, n int, root bigint"), f"{where}/spelt")
     apart = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     return keyed.join(apart, "key").select("key", "fp", "n", "root")
 
