@@ -74,10 +74,14 @@ def two_transfer_journeys(asked: DataFrame, pairs: DataFrame, wait_s: int = 300,
 
     Both ends are fixed: first rides from the origin and last rides to the target are made on their own, and meet in
     the middle ride, so no more than its pairs come between them. Of the rides between two stops only the quickest
-    can be in a best journey: as many as are wanted, and those of the two other routes, in both directions.
+    can be in a best journey: as many as are wanted, and those of the two other routes, in both directions. Rides are
+    ranked by route and direction, each by its quickest, so a loop line does not push others out.
     """
     quick = W.partitionBy("from_stop", "to_stop").orderBy("ride_s", "route_id", "direction")
-    pairs = pairs.where(F.col("ride_s") >= least_ride_s).withColumn("rn", F.row_number().over(quick)).where(F.col("rn") <= best + 4)
+    pairs = pairs.where(F.col("ride_s") >= least_ride_s)
+    # a line that joins two stops several times counts as one ride of them in the choice, by its quickest
+    kinds = pairs.groupBy("from_stop", "to_stop", "route_id", "direction").agg(F.min("ride_s").alias("ride_s")).withColumn("rn", F.row_number().over(quick)).where(F.col("rn") <= best + 4)
+    pairs = pairs.join(kinds.select("from_stop", "to_stop", "route_id", "direction"), ["from_stop", "to_stop", "route_id", "direction"])
     ride = lambda k, a, b: pairs.select(F.col("from_stop").alias(a), F.col("to_stop").alias(b), F.col("route_id").alias(f"route_{k}"), F.col("direction").alias(f"d{k}"), F.col("ride_s").alias(f"ride_{k}"))
     first = asked.join(ride(1, "from_stop", "change_1"), "from_stop")
     last = asked.select("request", "to_stop").join(ride(3, "change_2", "to_stop"), "to_stop").drop("to_stop")
