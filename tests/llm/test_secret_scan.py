@@ -100,3 +100,13 @@ def test_path_columns_that_clash(spark):
     assert s.scan(docs, shared_dir(spark, "test-ledger"), ["doc_id", "rank", "_p"]).columns == ["doc_id", "rank", "_p", "blob", "spans"]
     with pytest.raises(ValueError, match="blob"):
         s.scan(docs.withColumnRenamed("rank", "blob"), shared_dir(spark, "test-ledger"), ["blob"])
+
+
+def test_history_of_an_empty_ledger_and_names_of_its_own(spark):
+    ledger = shared_dir(spark, "ledger")
+    assert s.history(spark, ledger, ["doc_id"]).count() == 0
+    for name in ("call", "blob", "Spans"):
+        with pytest.raises(ValueError, match=name.lower()):
+            s.history(spark, ledger, [name])
+        with pytest.raises(ValueError, match=name.lower()):
+            s.scan(docs_table(spark, [(1, "x")]).withColumnRenamed("doc_id", name), ledger, [name])

@@ -125,14 +125,19 @@ def _joined(versions: DataFrame, spans: DataFrame, paths: list[str]) -> DataFram
     return met.select(*[F.col(f"_p.{p}").alias(p) for p in paths], F.col("blob").alias("blob"), F.coalesce("spans", F.array().cast(FOUND)).alias("spans"))
 
 
+def _refuse(paths: list[str]) -> None:
+    """Names of the ledger's own columns, and of its folders, are not for paths."""
+    if taken := {"blob", "spans", "call"} & {p.lower() for p in paths}:
+        raise ValueError(f"path columns may not be named {sorted(taken)}")
+
+
 def scan(docs: DataFrame, ledger: str, paths: list[str], text: str = "text", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """A row for each row of docs: paths, blob and spans, sorted by start, then by the rules' order.
 
     ledger: a folder of this operator on shared storage, empty at first. What it has of other rule versions stays
-    and is not returned. paths must not be named blob or spans.
+    and is not returned. paths must not be named blob, spans or call.
     """
-    if taken := {"blob", "spans"} & {p.lower() for p in paths}:
-        raise ValueError(f"path columns may not be named {sorted(taken)}")
+    _refuse(paths)
     spark = docs.sparkSession
     call = f"call={uuid.uuid4().hex}"
     body = whole(F.col(text))
@@ -166,8 +171,15 @@ def catch_up(spark: SparkSession, ledger: str, rules: tuple[SecretRule, ...] = R
 
 
 def history(spark: SparkSession, ledger: str, paths: list[str], rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """A row for each path and each version that it ever had: paths, blob and spans."""
-    versions = spark.read.parquet(f"{ledger}/paths").select(*paths, "blob").distinct()
+    """A row for each path and each version that it ever had: paths, blob and spans; of a ledger without a scan none, with paths as strings."""
+    _refuse(paths)
+    try:
+        written_paths = spark.read.parquet(f"{ledger}/paths")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ", ".join([*(f"`{p}` string" for p in paths), f"blob string, spans {FOUND}"]))
+    versions = written_paths.select(*paths, "blob").distinct()
     return _joined(versions, _by_blob(_ledger(spark, ledger, "scans"), rules), paths)
 
 
