@@ -12,7 +12,7 @@ the first fix after a gap has the loss as its event, unless it has another one;
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -78,6 +78,9 @@ class State:
     low_kmh: float = math.inf
     streak: int = 0
     dwell_s: float = 0.0
+    bank: list[list[float]] = field(default_factory=list)
+    rival: list[float] = field(default_factory=list)
+    switched_us: int = 0
 
     def row(self) -> tuple:
         """The state as a row of STATE."""
@@ -86,7 +89,7 @@ class State:
 
 STATE = (
     "t_us bigint, x double, v double, p array<double>, mode string, direction int, trip int, misses int, candidates array<double>, turns array<double>, "
-    "next_stop int, advanced_us bigint, resume string, low_kmh double, streak int, dwell_s double"
+    "next_stop int, advanced_us bigint, resume string, low_kmh double, streak int, dwell_s double, bank array<array<double>>, rival array<double>, switched_us bigint"
 )
 
 
@@ -259,11 +262,15 @@ def to_lines(raw: dict | list) -> dict[int, Line]:
 POSITION = "vehicle_id bigint, t_us bigint, fix_id bigint, mode string, event string, direction int, trip int, x double, v double, variance double, deviation_m double"
 
 
+#: Looks at a fix that was taken (state, lines, seconds since the one before, lat, lon, kmh), may change the state, and gives an event.
+Guide = Callable[[State, dict[int, Line], float, float, float, float], str]
+
+
 class Follower:
     """One vehicle: its lines and state. Gives (t_us, fix_id, event, deviation) and the state's numbers for fixes and seconds."""
 
-    def __init__(self, lines: dict[int, Line], state: State | None = None) -> None:
-        self.lines, self.state = lines, state or State(direction=min(lines, default=0))
+    def __init__(self, lines: dict[int, Line], state: State | None = None, guide: Guide | None = None) -> None:
+        self.lines, self.state, self.guide = lines, state or State(direction=min(lines, default=0)), guide
 
     def _row(self, t_us: int, fix: int | None, event: str, away: float | None) -> tuple:
         s = self.state
@@ -284,7 +291,10 @@ class Follower:
         """The row of a fix; none without a line or if it is not later than the last one."""
         if not self.lines or t_us <= self.state.t_us:
             return None
+        before = self.state.t_us or t_us
         event, away = step(self.state, self.lines, t_us, lat, lon, kmh, hdop)
+        if self.guide and (said := self.guide(self.state, self.lines, (t_us - before) / 1e6, lat, lon, kmh)):
+            event = f"{event},{said}" if event else said
         return self._row(t_us, fix, event, away)
 
 
@@ -293,12 +303,13 @@ def vehicle_lines(fixes: DataFrame, placed_stops: DataFrame) -> DataFrame:
     return fixes.select("vehicle_id", "route_id").distinct().join(line_table(placed_stops), "route_id")
 
 
-def follow(fixes: DataFrame, placed_stops: DataFrame, seconds: bool = False, until_us: int | None = None, states: DataFrame | None = None) -> DataFrame:
+def follow(fixes: DataFrame, placed_stops: DataFrame, seconds: bool = False, until_us: int | None = None, states: DataFrame | None = None, guide: Guide | None = None) -> DataFrame:
     """Rows of POSITION and, at a vehicle's end, one with its route_id and state: what the next batch of fixes takes as states.
 
     fixes: vehicle_id, t_us, fix_id, route_id, lat, lon, speed, hdop, in any order; those not later than the last are
     passed over. seconds: also a row for each second between fixes, and up to until_us behind the last. states:
-    (vehicle_id, route_id, state) as an earlier call gave them. Geometry and state go along with the first row of a
+    (vehicle_id, route_id, state) as an earlier call gave them. guide: looks at each fix
+    after the filter, as `hypotheses.guide` does. Geometry and state go along with the first row of a
     vehicle and route only.
     """
     ship_package(fixes.sparkSession)
@@ -325,9 +336,9 @@ def follow(fixes: DataFrame, placed_stops: DataFrame, seconds: bool = False, unt
             for vehicle, t, fix, route, lat, lon, kmh, hdop, raw, state in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (vehicle, route) != key:
                     end()
-                    key, who = (vehicle, route), Follower({})
+                    key, who = (vehicle, route), Follower({}, guide=guide)
                 if raw is not None:
-                    who = Follower(to_lines(raw), State(**state) if state else None)
+                    who = Follower(to_lines(raw), State(**state) if state else None, guide)
                     continue
                 if t is None:
                     continue
@@ -345,7 +356,7 @@ def follow(fixes: DataFrame, placed_stops: DataFrame, seconds: bool = False, unt
 
 STATE_NAMES = [c.split()[0] for c in STATE.split(", ")]
 STATE_FIELDS = ", ".join(f"{n}: {t}" for n, t in (c.split(" ", 1) for c in STATE.split(", ")))
-_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64()), "array<array<double>>": pa.list_(pa.list_(pa.float64()))}
 _OUT = [*(_TYPES[c.split()[1]] for c in POSITION.split(", ")), pa.int64(), pa.struct([(n, _TYPES[t]) for n, t in (c.split(" ", 1) for c in STATE.split(", "))])]
 
 

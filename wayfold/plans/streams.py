@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from wayfold.operators import motion
+from wayfold.operators import hypotheses, motion
+from wayfold.operators import joins as j
 from wayfold.plans.book import Book
 from wayfold.plans.trackbook import LAG, OUT_SQL
 from wayfold.sources.transit import BASE_US, Transit
@@ -65,6 +67,26 @@ def motion_filter(t: Transit) -> DataFrame:
     return motion.filter_tracks(t.fixes, t.placed_stops)
 
 
+def turning(t: Transit) -> DataFrame:
+    """The fixes once more, 12 s and 150 m apart along the vehicle's line, which turns round before its end; `driven` is the direction."""
+    n = (F.row_number().over(W.partitionBy("vehicle_id").orderBy("t_us", "fix_id")) - 1).cast("bigint")
+    f = t.fixes.select("fix_id", "vehicle_id", "route_id", n.alias("n"), F.expr("24 + vehicle_id % 8").alias("turn")).withColumn("phase", F.expr("n % (2 * turn)"))
+    f = f.selectExpr("*", f"{BASE_US} + n * 12000000 as t_us", "(turn - abs(phase - turn)) * 150.0D as along_m", "cast(phase >= turn as int) as driven")
+    ends = j.segments(t.placed_stops).where("direction = 0 and length_m > 0").withColumn("last", F.max("segment").over(W.partitionBy("route_id")))
+    met = f.join(ends, "route_id").where("along_m >= start_m and (along_m < start_m + length_m or segment = last)").withColumn("share", F.expr("least((along_m - start_m) / length_m, 1)"))
+    return met.selectExpr(
+        "fix_id", "vehicle_id", "route_id", "t_us", "driven", "a_lat + (b_lat - a_lat) * share + ((fix_id * 31) % 41 - 20) / 400000.0D as lat", "a_lon + (b_lon - a_lon) * share + ((fix_id * 17) % 41 - 20) / 400000.0D as lon", "45.0D as speed", "cast(null as double) as hdop"
+    )
+
+
+@query()
+def bank_positions(t: Transit) -> DataFrame:
+    """The filter with a bank of hypotheses over vehicles that turn between terminals, and whether its direction is the one driven."""
+    driven = turning(t)
+    placed = motion.follow(driven, t.placed_stops, guide=hypotheses.guide).where("state is null")
+    return placed.join(driven.select("fix_id", "driven"), "fix_id").select(*POSITION, (F.col("direction") == F.col("driven")).alias("right"))
+
+
 POSITION = [c.split()[0] for c in motion.POSITION.split(", ")]
 
 

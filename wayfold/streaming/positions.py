@@ -29,6 +29,9 @@ NAMES = [c.split()[0] for c in motion.POSITION.split(", ")]
 class Positions(StatefulProcessor):
     """State of a vehicle: its lines, its filter, and the fixes that wait for the watermark."""
 
+    def __init__(self, guide: motion.Guide | None = None) -> None:
+        self.guide = guide
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.filter = handle.getValueState("filter", motion.STATE)
@@ -55,8 +58,9 @@ class Positions(StatefulProcessor):
         state = motion.State(**dict(zip(motion.STATE_NAMES, self.filter.get(), strict=True))) if self.filter.exists() else None
         if state is not None:
             state.p, state.candidates, state.turns = list(state.p), list(state.candidates), list(state.turns)
+            state.bank, state.rival = [list(g) for g in state.bank], list(state.rival)
         lines = {int(k): v for k, v in json.loads(self.lines.get()[0]).items()}
-        who, out = motion.Follower(motion.to_lines(lines), state), []
+        who, out = motion.Follower(motion.to_lines(lines), state, self.guide), []
         for t, fix, lat, lon, kmh, hdop in (r for r in held if r[0] <= until):
             if t > who.state.t_us:
                 out.extend(who.seconds(t - 1))
@@ -87,7 +91,7 @@ class Positions(StatefulProcessor):
         pass
 
 
-def live_positions(stream: DataFrame, lines: DataFrame, lateness: str = LATENESS) -> DataFrame:
+def live_positions(stream: DataFrame, lines: DataFrame, lateness: str = LATENESS, guide: motion.Guide | None = None) -> DataFrame:
     """Rows of motion.POSITION. stream: vehicle_id, t_us, fix_id, lat, lon, speed, hdop and at, the event time; lines: (vehicle_id, lines), one a vehicle.
 
     The session's state store becomes RocksDB, which typed state needs.
@@ -96,4 +100,4 @@ def live_positions(stream: DataFrame, lines: DataFrame, lateness: str = LATENESS
     ship_package(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     known = lines.select("vehicle_id", F.to_json("lines").alias("lines")).groupBy("vehicle_id")
-    return stream.withWatermark("at", lateness).groupBy("vehicle_id").transformWithStateInPandas(Positions(), motion.POSITION, "append", "eventTime", known)
+    return stream.withWatermark("at", lateness).groupBy("vehicle_id").transformWithStateInPandas(Positions(guide), motion.POSITION, "append", "eventTime", known)
