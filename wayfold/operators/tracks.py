@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wayfold.functions import geo
+from wayfold.operators import scans
 from wayfold.operators.storage import ship_package
 
 
@@ -90,39 +91,26 @@ def latest_per_window(fixes: DataFrame, window_us: int) -> DataFrame:
 
 def exponential_mean(fixes: DataFrame, alpha: float, value: str = "speed") -> DataFrame:
     """By vehicle: the exponential mean over its values in time order, seeded by the first."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct("t_us", "fix_id", F.col(value).alias("x")))), lambda r: r["x"])
-    per = fixes.groupBy("vehicle_id").agg(values.alias("v"))
-    return per.select("vehicle_id", F.aggregate(F.slice("v", 2, F.size("v")), F.element_at("v", 1), lambda acc, x: acc + alpha * (x - acc)).alias("mean"), F.size("v").alias("fixes"))
+    done = scans.fold(fixes, lambda n: F.lit(alpha), value=value)
+    return done.select("vehicle_id", F.col("x").alias("mean"), F.col("n").alias("fixes"))
 
 
-def kalman_speed(fixes: DataFrame, q: float = 5.0, r: float = 4.0, p0: float = 25.0) -> DataFrame:
-    """By vehicle: a scalar Kalman estimate of its speed and its variance after the last fix."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct("t_us", "fix_id", F.col("speed").alias("x")))), lambda a: a["x"])
-    per = fixes.groupBy("vehicle_id").agg(values.alias("v"))
-    start = F.struct(F.element_at("v", 1).alias("x"), F.lit(p0).alias("p"))
+def _kalman(fixes: DataFrame, q: float, r: float, p0: float) -> DataFrame:
+    def prior(n: Column) -> Column:
+        return scans.kalman_variance(n - 1, q, r, p0) + q
 
-    def step(acc: Column, z: Column) -> Column:
-        prior = acc["p"] + q
-        gain = prior / (prior + r)
-        return F.struct((acc["x"] + gain * (z - acc["x"])).alias("x"), ((1 - gain) * prior).alias("p"))
+    return scans.fold(fixes, lambda n: prior(n) / (prior(n) + r), lambda n: prior(n) + r)
 
-    done = F.aggregate(F.slice("v", 2, F.size("v")), start, step)
-    return per.select("vehicle_id", done.alias("s")).select("vehicle_id", F.col("s.x").alias("speed"), F.col("s.p").alias("variance"))
+
+def kalman_speed(fixes: DataFrame, q: float = 5.0, r: float = 4.0, p0: float = 25.0) -> DataFrame:
+    """By vehicle: a scalar Kalman estimate of its speed and its variance after the last fix."""
+    return _kalman(fixes, q, r, p0).select("vehicle_id", F.col("x").alias("speed"), scans.kalman_variance(F.col("n") - 1, q, r, p0).alias("variance"))
 
 
 def innovations(fixes: DataFrame, q: float = 5.0, r: float = 4.0, p0: float = 25.0) -> DataFrame:
     """By vehicle: the mean of the squared innovation over its variance of kalman_speed, and how many there are."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct("t_us", "fix_id", F.col("speed").alias("x")))), lambda a: a["x"])
-    per = fixes.groupBy("vehicle_id").agg(values.alias("v"))
-    start = F.struct(F.element_at("v", 1).alias("x"), F.lit(p0).alias("p"), F.lit(0.0).alias("nis"))
-
-    def step(acc: Column, z: Column) -> Column:
-        prior = acc["p"] + q
-        gain, off = prior / (prior + r), z - acc["x"]
-        return F.struct((acc["x"] + gain * off).alias("x"), ((1 - gain) * prior).alias("p"), (acc["nis"] + off * off / (prior + r)).alias("nis"))
-
-    done = per.select("vehicle_id", (F.size("v") - 1).alias("n"), F.aggregate(F.slice("v", 2, F.size("v")), start, step).alias("s"))
-    return done.select("vehicle_id", "n", F.when(F.col("n") > 0, F.col("s.nis") / F.col("n")).alias("mean_nis"))
+    done = _kalman(fixes, q, r, p0).withColumn("n", F.col("n") - 1)
+    return done.select("vehicle_id", "n", F.when(F.col("n") > 0, F.col("cost") / F.col("n")).alias("mean_nis"))
 
 
 VALIDATED = "fix_id bigint, vehicle_id bigint, verdict string"
