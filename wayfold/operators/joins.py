@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wayfold.functions import geo
+from wayfold.operators.asof import asof
 
 
 def within_distance(left: DataFrame, right: DataFrame, metres: float, how: str = "inner") -> DataFrame:
@@ -110,10 +111,8 @@ def overlapping(df: DataFrame, on: list[str], key: str, start: str, end: str, sl
 
 
 def latest_before(facts: DataFrame, asked: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """Each asked row (key, time, ...) with the value of the last fact at or before its time: one sort by key and time."""
-    both = facts.select(key, F.col(time), F.col(value).alias("_value"), F.lit(0).alias("_asked")).unionByName(asked.withColumn("_value", F.lit(None)).withColumn("_asked", F.lit(1)), allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy(time, "_asked").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_value", ignorenulls=True).over(w)).where("_asked = 1").drop("_value", "_asked")
+    """Each asked row (key, time, ...) with the value of the last fact at or before its time."""
+    return asof(asked, facts, [key], time, [value])
 
 
 def segments(placed_stops: DataFrame) -> DataFrame:

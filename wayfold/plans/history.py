@@ -11,10 +11,11 @@ from wayfold.operators import arrivals as ar
 from wayfold.operators import joins as j
 from wayfold.operators import matching as mt
 from wayfold.operators import tracks as k
+from wayfold.operators import waiting as wt
 from wayfold.plans.book import Book
 from wayfold.plans.business import HOUR, WEEKEND
 from wayfold.plans.fleet import BOX_SQL, FENCE_SQL, SEGMENTS_SQL, SNAP_SQL, T_SQL, fences
-from wayfold.sources.transit import NOW_US, Transit, haversine_sql
+from wayfold.sources.transit import BASE_US, NOW_US, ROUTE_STOPS, Transit, haversine_sql
 
 book = Book()
 query = book.query
@@ -194,3 +195,28 @@ def half_turns(t: Transit) -> DataFrame:
     m = j.segments(t.placed_stops).groupBy("route_id").agg(F.sum(F.expr("case when direction = 0 then length_m end")).alias("a"), F.sum(F.expr("case when direction = 1 then length_m end")).alias("b"))
     out = t.routes.join(m, "route_id", "left").withColumn("closure", F.expr("abs(a + b - 2 * distance_m) / (2 * distance_m)"))
     return out.select("route_id", F.round("a", 3).alias("forward_m"), F.round("b", 3).alias("backward_m"), F.round("closure", 6).alias("closure"), F.expr("coalesce(closure > 0.02, true)").alias("flagged"))
+
+
+RIDERS = f"riders0 AS (SELECT plan_id AS request, plan_id % 25 AS route_id, (plan_id // 25 % 2)::INT AS direction, (1 + plan_id % {ROUTE_STOPS - 1})::INT AS seq, {BASE_US} + plan_id * 7919 % 4200 * 1000000 AS at_us FROM plans), riders AS (SELECT *, (seq + 1 + request // 7 % ({ROUTE_STOPS} - seq))::INT AS to_seq FROM riders0)"
+
+
+def riders(t: Transit) -> DataFrame:
+    """A rider for each plan: a line, two of its stops, and when they come to the first one."""
+    r = t.plans.selectExpr("plan_id as request", "plan_id % 25 as route_id", "cast(plan_id div 25 % 2 as int) as direction", f"cast(1 + plan_id % {ROUTE_STOPS - 1} as int) as seq", f"{BASE_US} + plan_id * 7919 % 4200 * 1000000 as at_us")
+    return r.selectExpr("*", f"cast(seq + 1 + request div 7 % ({ROUTE_STOPS} - seq) as int) as to_seq")
+
+
+@query(
+    """SELECT request, r.route_id, r.direction, r.seq, r.to_seq, r.at_us, CASE WHEN next_us IS NOT NULL THEN 'VEHICLE' WHEN gap_us IS NOT NULL THEN 'STATISTICS' WHEN r.route_id % 5 <> 0 THEN 'TIMETABLE' ELSE 'NONE' END AS source,
+ CASE WHEN next_us IS NOT NULL THEN (next_us - r.at_us) // 1000000 WHEN gap_us IS NOT NULL THEN least(gap_us // 2 // 1000000, 1800) WHEN r.route_id % 5 <> 0 THEN 300 END::BIGINT AS wait_s,
+ (SELECT max(v.vehicle_id) FROM visits v WHERE v.route_id = r.route_id AND v.direction = r.direction AND v.seq = r.seq AND v.arrived_us = next_us) AS vehicle_id,
+ ((r.at_us - last_us) // 1000000)::BIGINT AS since_s, (b.along_s - a.along_s)::BIGINT AS travel_s, (r.to_seq - r.seq - 1)::BIGINT AS stops_between
+FROM (SELECT r.*, min(v.arrived_us) FILTER (WHERE v.arrived_us >= r.at_us AND v.arrived_us <= r.at_us + 3600000000) AS next_us, max(v.departed_us) FILTER (WHERE v.departed_us <= r.at_us AND v.departed_us >= r.at_us - 600000000) AS last_us FROM riders r LEFT JOIN visits v ON v.route_id = r.route_id AND v.direction = r.direction AND v.seq = r.seq GROUP BY ALL) r
+LEFT JOIN gaps g ON g.route_id = r.route_id AND g.direction = r.direction LEFT JOIN line a ON a.route_id = r.route_id AND a.direction = r.direction AND a.seq = r.seq LEFT JOIN line b ON b.route_id = r.route_id AND b.direction = r.direction AND b.seq = r.to_seq""",
+    VISITS + ", " + RIDERS + """, gaps AS (SELECT route_id, direction, sum(gap)::BIGINT // count(*) AS gap_us FROM (SELECT route_id, direction, arrived_us - lag(arrived_us) OVER (PARTITION BY route_id, direction, seq ORDER BY arrived_us) AS gap FROM visits) WHERE gap IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3),
+legs AS (SELECT route_id, direction, seq, sum(round(travel_s * 1e6)::BIGINT)::BIGINT // count(*) // 1000000 AS leg FROM visits WHERE travel_s > 0 GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+line AS (SELECT p.route_id, p.direction, p.seq, sum(CASE WHEN p.seq > 1 THEN coalesce(leg, 120) ELSE 0 END) OVER (PARTITION BY p.route_id, p.direction ORDER BY p.seq) AS along_s FROM placed_stops p LEFT JOIN legs l ON l.route_id = p.route_id AND l.direction = p.direction AND l.seq = p.seq)""",
+)
+def waiting_times(t: Transit) -> DataFrame:
+    """How long riders wait for their line and ride on it: by the next vehicle, else by headways there were, else by the timetable."""
+    return wt.waits(riders(t), _visits(t), t.placed_stops, t.routes.where("route_id % 5 <> 0").selectExpr("route_id", "600L as headway_s"))
