@@ -61,15 +61,15 @@ def direct_journeys(asked: DataFrame, pairs: DataFrame) -> DataFrame:
     return asked.join(pairs, ["from_stop", "to_stop"]).select("request", "from_stop", "to_stop", "route_id", "direction", "ride_s")
 
 
-def one_transfer_journeys(asked: DataFrame, pairs: DataFrame, least_ride_s: int = 60, most_s: int = 6000) -> DataFrame:
-    """Journeys with one change at a stop, onto another route."""
+def one_transfer_journeys(asked: DataFrame, pairs: DataFrame, least_ride_s: int = 60, most_s: int = 6000, rides: bool = False) -> DataFrame:
+    """Journeys with one change at a stop, onto another route; rides: also the seconds of each."""
     first = asked.join(pairs.select(F.col("from_stop"), F.col("to_stop").alias("change"), F.col("route_id").alias("route_1"), F.col("ride_s").alias("ride_1")), "from_stop")
     second = pairs.select(F.col("from_stop").alias("change"), "to_stop", F.col("route_id").alias("route_2"), F.col("ride_s").alias("ride_2"))
     met = first.join(second, ["change", "to_stop"]).where(F.col("route_1") != F.col("route_2"))
-    return met.where((F.col("ride_1") >= least_ride_s) & (F.col("ride_2") >= least_ride_s) & (F.col("ride_1") + F.col("ride_2") <= most_s)).select("request", "change", "route_1", "route_2", (F.col("ride_1") + F.col("ride_2")).alias("ride_s"))
+    return met.where((F.col("ride_1") >= least_ride_s) & (F.col("ride_2") >= least_ride_s) & (F.col("ride_1") + F.col("ride_2") <= most_s)).select("request", "change", "route_1", "route_2", (F.col("ride_1") + F.col("ride_2")).alias("ride_s"), *(["ride_1", "ride_2"] if rides else []))
 
 
-def two_transfer_journeys(asked: DataFrame, pairs: DataFrame, wait_s: int = 300, least_ride_s: int = 60, most_s: int = 9000, best: int = 5) -> DataFrame:
+def two_transfer_journeys(asked: DataFrame, pairs: DataFrame, wait_s: int = 300, least_ride_s: int = 60, most_s: int = 9000, best: int = 5, rides: bool = False) -> DataFrame:
     """The best journeys of each request with two changes onto other routes, waiting wait_s at each.
 
     Both ends are fixed: first rides from the origin and last rides to the target are made on their own, and meet in
@@ -88,7 +88,7 @@ def two_transfer_journeys(asked: DataFrame, pairs: DataFrame, wait_s: int = 300,
     met = first.join(ride(2, "change_1", "change_2"), "change_1").where("route_1 <> route_2").join(last, ["request", "change_2"]).where("route_2 <> route_3 and route_1 <> route_3")
     timed = met.withColumn("total_s", F.expr("ride_1 + ride_2 + ride_3") + 2 * wait_s).where(F.col("total_s") <= most_s)
     w = W.partitionBy("request").orderBy("total_s", "route_1", "route_2", "route_3", "change_1", "change_2", "d1", "d2", "d3")
-    return timed.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= best).select("request", "change_1", "change_2", "route_1", "route_2", "route_3", "total_s")
+    return timed.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= best).select("request", "change_1", "change_2", "route_1", "route_2", "route_3", "total_s", *(["ride_1", "ride_2", "ride_3"] if rides else []))
 
 
 def scores(options: DataFrame) -> DataFrame:

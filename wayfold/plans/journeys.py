@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from wayfold.functions import geo
 from wayfold.functions import text as tx
 from wayfold.operators import joins as j
+from wayfold.operators import options as op
 from wayfold.operators import raptor as rp
 from wayfold.operators import routing as r
 from wayfold.operators import views as v
@@ -265,3 +266,36 @@ def backfill_unique_match(t: Transit) -> DataFrame:
     exact = t.routes.select("city_id", "number", F.col("route_id").alias("a"))
     unique = t.routes.where("city_id <> 4").groupBy("number").agg(F.min("route_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
     return rows.join(exact, ["city_id", "number"], "left").join(unique, "number", "left").select("vehicle_id", F.coalesce("a", "b").alias("route_id")).where("route_id is not null")
+
+
+OPTIONS = TIMES + f""",
+rides AS (SELECT request, 1 AS n, p.route_id AS r1, p.ride_s AS s1, NULL::BIGINT AS r2, NULL::BIGINT AS s2, NULL::BIGINT AS r3, NULL::BIGINT AS s3 FROM asked0 a JOIN pairs p ON p.from_stop = a.from_stop AND p.to_stop = a.to_stop WHERE a.from_stop <> a.to_stop
+ UNION ALL SELECT request, 2, p.route_id, p.ride_s, q.route_id, q.ride_s, NULL, NULL FROM asked0 a JOIN pairs p ON p.from_stop = a.from_stop JOIN pairs q ON q.from_stop = p.to_stop AND q.to_stop = a.to_stop WHERE a.from_stop <> a.to_stop AND p.route_id <> q.route_id AND p.ride_s >= 60 AND q.ride_s >= 60 AND p.ride_s + q.ride_s <= 6000
+ UNION ALL SELECT * FROM (SELECT request, 3, p.route_id, p.ride_s, q.route_id, q.ride_s, r.route_id, r.ride_s FROM asked0 a JOIN pairs p ON p.from_stop = a.from_stop JOIN pairs q ON q.from_stop = p.to_stop JOIN pairs r ON r.from_stop = q.to_stop AND r.to_stop = a.to_stop WHERE a.from_stop <> a.to_stop AND p.route_id <> q.route_id AND q.route_id <> r.route_id AND p.route_id <> r.route_id AND least(p.ride_s, q.ride_s, r.ride_s) >= 60 AND p.ride_s + q.ride_s + r.ride_s + 600 <= 9000 QUALIFY row_number() OVER (PARTITION BY request ORDER BY p.ride_s + q.ride_s + r.ride_s, p.route_id, q.route_id, r.route_id, p.to_stop, q.to_stop, p.direction, q.direction, r.direction) <= 5)),
+ends AS (SELECT request, ceil(round({haversine_sql('a.lat + 0.002::DOUBLE * (request % 7)', 'a.lon', 'a.lat', 'a.lon')}, 3) / 83.33)::BIGINT AS w1, ceil(round({haversine_sql('b.lat', 'b.lon', 'b.lat - 0.002::DOUBLE * (request % 8)', 'b.lon')}, 3) / 83.33)::BIGINT AS w2 FROM asked0 JOIN stops a ON a.stop_id = from_stop JOIN stops b ON b.stop_id = to_stop),
+timed AS (SELECT request, n, w1, w2, r1, r2, r3, greatest(1, s1 // 60) AS m1, greatest(1, s2 // 60) AS m2, greatest(1, s3 // 60) AS m3, greatest(1, s1 // 60) + CASE WHEN n > 1 THEN greatest(1, s2 // 60) ELSE 0 END + CASE WHEN n > 2 THEN greatest(1, s3 // 60) ELSE 0 END AS ride_min FROM rides JOIN ends USING (request))"""
+
+
+@query(
+    """SELECT request, (n - 1)::INT AS transfers, concat_ws(';', CASE WHEN w1 > 0 THEN 'WALK::' || w1 END, 'WAIT:' || r1 || ':5', 'RIDE:' || r1 || ':' || m1, CASE WHEN n > 1 THEN 'WAIT:' || r2 || ':5;RIDE:' || r2 || ':' || m2 END, CASE WHEN n > 2 THEN 'WAIT:' || r3 || ':5;RIDE:' || r3 || ':' || m3 END, CASE WHEN w2 > 0 THEN 'WALK::' || w2 END) AS path,
+ (w1 + w2)::BIGINT AS walk_min, (5 * n)::BIGINT AS wait_min, ride_min::BIGINT AS ride_min, (w1 + w2 + 5 * n + ride_min)::BIGINT AS minutes, CASE WHEN w1 > 15 OR w2 > 15 THEN 'WALK' WHEN n > 1 AND ride_min + 5 * n > CASE n WHEN 2 THEN 100 ELSE 150 END THEN 'TOTAL' ELSE 'OK' END AS verdict FROM timed""",
+    OPTIONS,
+)
+def option_assembly(t: Transit) -> DataFrame:
+    """Journeys without, with one and with two changes as legs with walks and waits between, and whether they can be offered.
+
+    A rider starts some way north of the first stop and goes some way south of the last one.
+    """
+    asked, pairs = _asked(t), _pairs(t)
+    direct = r.direct_journeys(asked, pairs).select("request", F.lit(None).cast("bigint").alias("change_1"), F.lit(None).cast("bigint").alias("change_2"), F.array("route_id").alias("routes"), F.array("ride_s").alias("seconds"))
+    one = r.one_transfer_journeys(asked, pairs, rides=True).select("request", F.col("change").alias("change_1"), F.lit(None).cast("bigint").alias("change_2"), F.array("route_1", "route_2").alias("routes"), F.array("ride_1", "ride_2").alias("seconds"))
+    two = r.two_transfer_journeys(asked, pairs, rides=True).select("request", "change_1", "change_2", F.array("route_1", "route_2", "route_3").alias("routes"), F.array("ride_1", "ride_2", "ride_3").alias("seconds"))
+    place = lambda name: t.stops.select(F.col("stop_id").alias(name), F.struct("stop_id", "lat", "lon").alias(f"{name}_at"))
+    found = direct.unionByName(one).unionByName(two).join(asked, "request")
+    for name in ("from_stop", "to_stop", "change_1", "change_2"):
+        found = found.join(place(name), name, "left")
+    moved = lambda c, by: F.struct(F.lit(None).cast("bigint").alias("stop_id"), (F.col(f"{c}.lat") + F.expr(by)).alias("lat"), F.col(f"{c}.lon").alias("lon"))
+    stops = F.filter(F.array("from_stop_at", "change_1_at", "change_2_at", "to_stop_at"), lambda p: p.isNotNull())
+    rides = F.transform("routes", lambda route, i: F.struct(route.alias("route_id"), F.get("at", i).alias("start"), F.get("at", i + 1).alias("stop"), F.get("seconds", i).alias("ride_s"), F.lit(300).alias("wait_s")))
+    ready = found.withColumn("at", stops).select("request", moved("from_stop_at", "0.002D * (request % 7)").alias("origin"), moved("to_stop_at", "-0.002D * (request % 8)").alias("target"), rides.alias("rides"))
+    return op.assemble(ready).select("request", "transfers", op.path(F.col("legs")).alias("path"), "walk_min", "wait_min", "ride_min", "minutes", "verdict")
