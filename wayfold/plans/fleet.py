@@ -274,3 +274,19 @@ def place_geocoder_merge(t: Transit) -> DataFrame:
     close = around.join(cells, ["row", "column"]).where(f"abs(p_lat - lat) < {step} and abs(p_lon - lon) < {step}").select("place_id").distinct()
     added = other.join(close, "place_id", "left_anti").crossJoin(F.broadcast(few)).where("few").select("place_id", "name", F.lit("geocoder").alias("origin"))
     return own.select("place_id", "name", F.lit("db").alias("origin")).unionByName(added)
+
+
+@query("""SELECT route_id, direction, '{"type":"LineString","coordinates":[' || string_agg(printf('[%.6f,%.6f]', lon, lat), ',' ORDER BY seq) || ']}' AS geojson FROM placed_stops GROUP BY 1, 2""")
+def route_geojson(t: Transit) -> DataFrame:
+    """The line of each route and direction as GeoJSON."""
+    points = F.transform(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))), lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon")))
+    return t.placed_stops.groupBy("route_id", "direction").agg(points.alias("line")).select("route_id", "direction", geo.to_geojson(F.col("line")).alias("geojson"))
+
+
+@query(
+    f"SELECT stop_id, garage_id, round(min({haversine_sql('q_lat', 'q_lon', '(a_lat + (b_lat - a_lat) * t)', '(a_lon + (b_lon - a_lon) * t)')}), 3) AS edge_m FROM (SELECT *, {T_SQL} AS t FROM (SELECT s.stop_id, g.garage_id, s.lat AS q_lat, s.lon AS q_lon, g.boundary[k + 1].lat AS a_lat, g.boundary[k + 1].lon AS a_lon, g.boundary[k + 2].lat AS b_lat, g.boundary[k + 2].lon AS b_lon FROM stops s JOIN garages g ON g.garage_id = s.city_id, range(4) r(k) WHERE g.boundary IS NOT NULL)) GROUP BY 1, 2"
+)
+def garage_edges(t: Transit) -> DataFrame:
+    """How far each stop is from the fence of its city's garage."""
+    met = t.stops.select("stop_id", "city_id", "lat", "lon").join(t.garages.where("boundary is not null").select("garage_id", "boundary"), F.col("city_id") == F.col("garage_id"))
+    return met.select("stop_id", "garage_id", F.round(geo.ring_distance(F.col("lat"), F.col("lon"), F.col("boundary")), 3).alias("edge_m"))
