@@ -10,17 +10,21 @@ from wayfold.functions import geo
 from wayfold.operators.asof import asof
 
 
-def within_distance(left: DataFrame, right: DataFrame, metres: float, how: str = "inner") -> DataFrame:
-    """Pairs at most `metres` apart, with their distance_m. left has lat, lon; right has r_lat, r_lon.
+def within_distance(left: DataFrame, right: DataFrame, metres: float, **made: Column) -> DataFrame:
+    """Pairs at most `metres` apart, with their distance_m. left has lat, lon; right has r_lat, r_lon. made: columns from distance_m.
 
-    An equi-join by grid cell: each left row meets the cells around its own, so that rows far apart never meet.
+    An equi-join by grid cell: each place meets the cells around its own, so that rows far apart never meet. Distances
+    and what is made from them are computed once for two places; the rows that lie there are put to them after that.
     """
     row, column = geo.cell(F.col("lat"), F.col("lon"), metres)
-    near = left.withColumn("_cell", F.explode(geo.neighbour_cells(row, column)))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = left.select("lat", "lon").distinct().withColumn("_cell", F.explode(geo.neighbour_cells(row, column)))
     r_row, r_column = geo.cell(F.col("r_lat"), F.col("r_lon"), metres)
-    keyed = right.withColumn("_cell", F.struct(r_row.alias("row"), r_column.alias("column")))
-    met = near.join(keyed, "_cell", how).withColumn("distance_m", geo.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
-    return met.where(F.col("distance_m") <= metres).drop("_cell")
+    keyed = right.select("r_lat", "r_lon").distinct().withColumn("_cell", F.struct(r_row.alias("row"), r_column.alias("column")))
+    met = near.join(keyed, "_cell").withColumn("distance_m", geo.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
+    # Dealt anew: the few places become many rows, in all tasks; and without a shuffle between, Spark computes the columns for each row of the join.
+    places = met.where(F.col("distance_m") <= metres).drop("_cell").withColumns(made).repartition(parts, "lat", "lon", "r_lat", "r_lon")
+    return left.join(places, ["lat", "lon"]).join(right, ["r_lat", "r_lon"])
 
 
 def within_radius(points: DataFrame, lat: float, lon: float, metres: float) -> DataFrame:

@@ -85,6 +85,14 @@ def fix_quality(t: Transit) -> DataFrame:
     return t.fixes.select("fix_id", (F.col("lag_us") > 30_000_000).alias("buffered"), F.expr("(hdop is null or hdop <= 5) and (satellites is null or satellites >= 4)").alias("good"), F.expr("coalesce(case when fix_id % 5 <> 0 then in_motion end, speed > 0)").alias("moving"))
 
 
+def walks(here: DataFrame, there: DataFrame, metres: float) -> DataFrame:
+    """Walks from stops to other stops (stop_id, lat, lon) at most so far apart."""
+    d = F.round("distance_m", 3)
+    seconds = F.greatest(F.lit(1), F.round(d / (5000.0 / 3600)).cast("bigint"))
+    met = j.within_distance(here.withColumnRenamed("stop_id", "from_stop"), there.toDF("to_stop", "r_lat", "r_lon"), metres, _m=d, walk_s=seconds)
+    return met.where("from_stop <> to_stop").select("from_stop", "to_stop", F.col("_m").alias("distance_m"), "walk_s")
+
+
 @query(
     f"""SELECT from_stop, to_stop, distance_m, greatest(1, round(distance_m / (5000.0 / 3600)))::BIGINT AS walk_s FROM (SELECT a, b, d FROM near UNION ALL SELECT b, a, d FROM near) x(from_stop, to_stop, distance_m)""",
     f"""near AS (SELECT a.stop_id AS a, b.stop_id AS b, round({haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 3) AS d FROM stops a JOIN stops b ON b.stop_id > a.stop_id WHERE a.is_active AND b.is_active AND {haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 1500)""",
@@ -92,9 +100,7 @@ def fix_quality(t: Transit) -> DataFrame:
 def stop_transfers(t: Transit) -> DataFrame:
     """Walks between active stops at most 1500 m apart, either way."""
     s = t.stops.where("is_active").select("stop_id", "lat", "lon")
-    met = j.within_distance(s.withColumnRenamed("stop_id", "from_stop"), s.toDF("to_stop", "r_lat", "r_lon"), 1500.0).where("from_stop <> to_stop")
-    d = F.round("distance_m", 3)
-    return met.select("from_stop", "to_stop", d.alias("distance_m"), F.greatest(F.lit(1), F.round(d / (5000.0 / 3600)).cast("bigint")).alias("walk_s"))
+    return walks(s, s, 1500.0)
 
 
 @query(f"""SELECT stop_id, name, round(d, 3) AS distance_m FROM (SELECT *, {haversine_sql('37.95', '58.375', 'lat', 'lon')} AS d FROM stops) WHERE d <= 2500""")
