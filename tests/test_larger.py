@@ -5,6 +5,9 @@ import math
 from pyspark.sql import functions as F
 
 from wayfold.operators import joins as j
+from wayfold.operators import tracks as k
+from wayfold.plans import fleet, history
+from wayfold.sources.transit import Transit
 
 
 def apart(a, b, c, d):
@@ -19,3 +22,24 @@ def test_distances_are_made_once_for_two_places(spark):
     got = j.within_distance(left, right, 700.0, half=F.round(F.col("distance_m") / 2, 3))
     assert sorted((r["a"], r["b"]) for r in got.collect()) == sorted((x[0], y[0]) for x in rows for y in rows if apart(*x[1:], *y[1:]) <= 700.0)
     assert all(abs(r["half"] - r["distance_m"] / 2) < 1e-3 for r in got.collect())
+
+
+def test_rows_of_a_period_are_numbered_by_slots(spark):
+    """All rows in one hour, many at one time: the numbers of a plain count."""
+    rows = [(i, i * 7919 % 50 * 40_000_000 + i % 3) for i in range(400)] + [(1000 + i, 3_600_000_000 + i) for i in range(5)]
+    got = {r["fix_id"]: r["line"] for r in k.numbered(spark.createDataFrame(rows, "fix_id bigint, t_us bigint"), "t_us", "fix_id", 3_600_000_000, "line").collect()}
+    want = {}
+    for hour in (0, 1):
+        want |= {i: n + 1 for n, (_, i) in enumerate(sorted((t, i) for i, t in rows if t // 3_600_000_000 == hour))}
+    assert got == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_row_meets_its_line_as_an_array(spark):
+    """Points and fixes are not put to each stop or segment of their line as rows of their own."""
+    t = Transit(spark, "/root/testdata/sf0.001")
+    assert "array_min" in plan(fleet.nearest_stop(t)) and "array_min" in plan(fleet.snap_to_route(t))
+    assert "filter(stops" in plan(history.stop_visits(t)) and "filter(stops" in plan(history.next_stops(t))

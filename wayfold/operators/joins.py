@@ -90,12 +90,13 @@ def near_lines(points: DataFrame, segs: DataFrame, metres: float, key: str) -> D
 def nearest(left: DataFrame, right: DataFrame, on: list[str], left_key: str, right_key: str) -> DataFrame:
     """For each left row the right row of the same `on` that is nearest; ties go to the smaller right_key.
 
-    left has lat, lon; right has r_lat, r_lon. One aggregation by left_key, no sort.
+    left has lat, lon; right has r_lat, r_lon. The right rows of an `on` are an array, so a left row stays one row.
     """
-    met = left.join(right, on).withColumn("distance_m", geo.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
-    kept = [c for c in right.columns if c not in (*on, "r_lat", "r_lon")]
-    best = met.groupBy(left_key).agg(F.min(F.struct("distance_m", right_key, *[F.col(c) for c in kept if c != right_key])).alias("_b"))
-    return best.select(left_key, *[F.col(f"_b.{c}").alias(c) for c in kept], F.col("_b.distance_m").alias("distance_m"))
+    kept = [right_key, *[c for c in right.columns if c not in (*on, right_key, "r_lat", "r_lon")]]
+    held = right.groupBy(*on).agg(F.collect_list(F.struct("r_lat", "r_lon", *kept)).alias("_held"))
+    away = F.transform("_held", lambda x: F.struct(geo.haversine(F.col("lat"), F.col("lon"), x["r_lat"], x["r_lon"]).alias("distance_m"), *[x[c].alias(c) for c in kept]))
+    best = left.join(F.broadcast(held), on).select(left_key, F.array_min(away).alias("_b")).groupBy(left_key).agg(F.min("_b").alias("_b"))
+    return best.select(left_key, *[F.col(f"_b.{c}").alias(c) for c in right.columns if c in kept], F.col("_b.distance_m").alias("distance_m"))
 
 
 def overlapping(df: DataFrame, on: list[str], key: str, start: str, end: str, slot: int) -> DataFrame:
@@ -131,13 +132,17 @@ def segments(placed_stops: DataFrame) -> DataFrame:
 def snap(points: DataFrame, segs: DataFrame, on: list[str], key: str) -> DataFrame:
     """Each point (key, on, lat, lon) on the nearest segment of its line: segment, snap_lat, snap_lon, distance_m, along_m, fraction.
 
-    Equally near segments: the first. Lines are joined by `on`; the nearest segment is an aggregation by key.
+    Equally near segments: the first. A line's segments are an array, so a point stays one row.
     """
-    lines = segs.groupBy(*on).agg(F.max(F.col("start_m") + F.col("length_m")).alias("line_m"))
-    met = points.join(segs, on)
-    t = geo.project_t(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    met = met.withColumn("t", t).withColumn("s_lat", F.expr("a_lat + (b_lat - a_lat) * t")).withColumn("s_lon", F.expr("a_lon + (b_lon - a_lon) * t"))
-    met = met.withColumn("d", geo.haversine(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")))
-    best = met.groupBy(key, *on).agg(F.min(F.struct(F.round("d", 6).alias("d"), "segment", "s_lat", "s_lon", F.expr("start_m + length_m * t").alias("along_m"))).alias("b"))
-    out = best.join(lines, on)
+    parts = ["segment", "a_lat", "a_lon", "b_lat", "b_lon", "length_m", "start_m"]
+    lines = segs.groupBy(*on).agg(F.collect_list(F.struct(*parts)).alias("_line"), F.max(F.col("start_m") + F.col("length_m")).alias("line_m"))
+
+    def place(s):
+        # Passes of their own, so that each part is computed once for a segment.
+        t = geo.project_t(F.col("lat"), F.col("lon"), s["a_lat"], s["a_lon"], s["b_lat"], s["b_lon"])
+        return F.transform(F.array(t), lambda u: F.struct(s["segment"].alias("segment"), (s["a_lat"] + (s["b_lat"] - s["a_lat"]) * u).alias("s_lat"), (s["a_lon"] + (s["b_lon"] - s["a_lon"]) * u).alias("s_lon"), (s["start_m"] + s["length_m"] * u).alias("along_m")))
+
+    away = F.transform(F.flatten(F.transform("_line", place)), lambda q: F.struct(F.round(geo.haversine(F.col("lat"), F.col("lon"), q["s_lat"], q["s_lon"]), 6).alias("d"), q["segment"].alias("segment"), q["s_lat"].alias("s_lat"), q["s_lon"].alias("s_lon"), q["along_m"].alias("along_m")))
+    met = points.join(F.broadcast(lines), on).select(key, *on, "line_m", F.array_min(away).alias("b"))
+    out = met.groupBy(key, *on, "line_m").agg(F.min("b").alias("b"))
     return out.select(key, *on, F.col("b.segment").alias("segment"), F.col("b.s_lat").alias("snap_lat"), F.col("b.s_lon").alias("snap_lon"), F.col("b.d").alias("distance_m"), F.col("b.along_m").alias("along_m"), F.expr("case when line_m > 0 then b.along_m / line_m else 0.0D end").alias("fraction"))
