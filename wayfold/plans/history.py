@@ -105,9 +105,12 @@ def next_stops(t: Transit) -> DataFrame:
     at = j.snap(placed, segs, ["route_id", "direction"], "vehicle_id").select("vehicle_id", "route_id", "direction", F.round("fraction", 6).alias("at"))
     lines = segs.groupBy("route_id", "direction").agg(F.max(F.col("start_m") + F.col("length_m")).alias("line_m")).where("line_m > 0")
     stops = stops_along(t).join(lines, ["route_id", "direction"]).select("route_id", "direction", "seq", F.round(F.col("stop_m") / F.col("line_m"), 6).alias("fraction"))
-    met = at.join(stops, ["route_id", "direction"]).where("fraction > at + 0.0001D")
-    w = W.partitionBy("vehicle_id")
-    return met.withColumn("running", F.row_number().over(w.orderBy("seq")).cast("bigint")).withColumn("total", F.count(F.lit(1)).over(w)).where("running <= 5").select("vehicle_id", "route_id", "direction", "seq", "running", "total")
+    lists = stops.groupBy("route_id", "direction").agg(F.array_sort(F.collect_list(F.struct("seq", "fraction"))).alias("stops"))
+    ahead = at.join(F.broadcast(lists), ["route_id", "direction"]).withColumn("left", F.filter("stops", lambda x: x["fraction"] > F.col("at") + 0.0001))
+    first = F.transform(F.slice("left", 1, 5), lambda x: F.struct(x["seq"].alias("seq"), F.col("route_id").alias("route_id"), F.col("direction").alias("direction")))
+    # one row a vehicle; should its row be there twice, the stops of both
+    met = ahead.select("vehicle_id", F.size("left").alias("n"), first.alias("first")).groupBy("vehicle_id").agg(F.sum("n").alias("total"), F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, 5).alias("first"))
+    return met.select("vehicle_id", "total", F.posexplode("first").alias("pos", "x")).select("vehicle_id", "x.route_id", "x.direction", "x.seq", (F.col("pos") + 1).cast("bigint").alias("running"), "total")
 
 
 #: Every fix of a run against every line, without any index.
