@@ -10,6 +10,7 @@ from wayfold.functions import numeric as n
 from wayfold.functions import temporal as tm
 from wayfold.functions import text as tx
 from wayfold.operators import records as r
+from wayfold.operators import tracks as k
 from wayfold.plans.book import Book
 from wayfold.sources.transit import NOW_US, Transit
 
@@ -168,8 +169,7 @@ def dead_letters(t: Transit) -> DataFrame:
 @query("SELECT fix_id, 'fixes-' || strftime(make_timestamp(t_us), '%Y%m%d-%H') || '.jsonl' AS file, row_number() OVER (PARTITION BY t_us // 3600000000 ORDER BY t_us, fix_id) AS line FROM fixes")
 def recorded_fixes(t: Transit) -> DataFrame:
     """Every fix with the hourly log file it is recorded in, and its line there."""
-    line = F.row_number().over(W.partitionBy(F.expr("t_us div 3600000000")).orderBy("t_us", "fix_id")).cast("bigint")
-    return t.fixes.select("fix_id", F.concat(F.lit("fixes-"), F.date_format(F.timestamp_micros("t_us"), "yyyyMMdd-HH"), F.lit(".jsonl")).alias("file"), line.alias("line"))
+    return k.numbered(t.fixes.select("fix_id", "t_us"), "t_us", "fix_id", 3_600_000_000, "line").select("fix_id", F.concat(F.lit("fixes-"), F.date_format(F.timestamp_micros("t_us"), "yyyyMMdd-HH"), F.lit(".jsonl")).alias("file"), "line")
 
 
 @query(
