@@ -33,33 +33,52 @@ def journeys(requests: DataFrame, timetable: DataFrame, transfers: DataFrame, ro
 
     requests: request, from_stop, to_stop, departure_s. transfers: from_stop, to_stop, walk_s. Lines run every
     headway_s from first_s to last_s. Riding one line twice in a journey is allowed only by leaving it between.
+
+    Only labels that can come to the target are made: walks lead to stops of lines or to the target, requests whose
+    target no line comes near have no journey, and in the last two rounds rides end where none or one more is needed.
     """
     where = scratch(requests.sparkSession, "journeys")
     rides = stored(boardings(timetable), f"{where}/rides")
+    boarded_at, left_at = rides.select("stop").distinct(), rides.select(F.col("to_stop").alias("stop")).distinct()
+    walking = stored(transfers.select(F.col("from_stop").alias("stop"), "to_stop", "walk_s"), f"{where}/walks")
+    links = walking.join(boarded_at.withColumnRenamed("stop", "to_stop"), "to_stop", "left_semi")
     none = F.array().cast(LEGS)
     walk = F.array(F.struct(F.lit("WALK").alias("kind"), F.lit(None).cast("bigint").alias("route_id"), F.lit(None).cast("int").alias("direction"), F.col("stop").alias("from_stop"), F.col("to_stop").alias("to_stop"), F.col("arrival_s").alias("start_s"), (F.col("arrival_s") + F.col("walk_s")).alias("end_s")))
-    links = transfers.select(F.col("from_stop").alias("stop"), "to_stop", "walk_s")
+    goal = requests.select("request", F.col("to_stop").alias("stop"))
+    # stops from which one walks to the target: where lines stop, and the first one
+    home = requests.select("request", "to_stop", F.col("from_stop").alias("stop")).distinct()
+    doors = requests.select("request", "to_stop").distinct().join(walking.join(left_at, "stop", "left_semi"), "to_stop").unionByName(home.join(walking, ["to_stop", "stop"])).distinct()
+    doors = stored(doors.select("request", "stop", "to_stop", "walk_s"), f"{where}/doors")
+    ends = stored(goal.unionByName(doors.select("request", "stop")).distinct().join(left_at, "stop", "left_semi").select("request", "stop"), f"{where}/ends")
+    before = ends.join(rides.select("stop", "to_stop").distinct().toDF("board", "stop"), "stop").select("request", F.col("board").alias("stop"))
+    walked_to = before.join(links.select("stop", F.col("to_stop")).toDF("from", "stop"), "stop").select("request", F.col("from").alias("stop"))
+    wanted = {rounds: ends, rounds - 1: ends.unionByName(before).unionByName(walked_to).distinct()}
 
     def walked(labels: DataFrame) -> DataFrame:
-        on = labels.join(links, "stop").select("request", F.col("to_stop").alias("stop"), (F.col("arrival_s") + F.col("walk_s")).alias("arrival_s"), F.concat("legs", walk).cast(LEGS).alias("legs"))
+        on = labels.join(links, "stop").unionByName(labels.join(doors, ["request", "stop"]).select(*labels.columns, "to_stop", "walk_s"))
+        on = on.select("request", F.col("to_stop").alias("stop"), (F.col("arrival_s") + F.col("walk_s")).alias("arrival_s"), F.concat("legs", walk).cast(LEGS).alias("legs"))
         return _least(labels.unionByName(on))
 
-    start = requests.select("request", F.col("from_stop").alias("stop"), F.col("departure_s").alias("arrival_s"), none.alias("legs"))
+    asked = requests.join(ends.select("request").distinct(), "request", "left_semi")
+    start = asked.select("request", F.col("from_stop").alias("stop"), F.col("departure_s").alias("arrival_s"), none.alias("legs"))
     best = fresh = stored(walked(start), f"{where}/round-0")
     out = None
     for k in range(1, rounds + 1):
         ready = F.greatest(F.col("arrival_s") - F.col("o1") - first_s, F.lit(0))
         leave = first_s + F.ceil(ready / headway_s) * headway_s
-        boarded = fresh.join(rides, "stop").withColumn("start_s", leave.cast("bigint")).where(F.col("start_s") <= last_s)
+        target = stored(best.join(goal, ["request", "stop"]).select("request", F.col("arrival_s").alias("bound_s")), f"{where}/bound-{k}")
+        in_time = "bound_s is null or arrival_s < bound_s"
+        boarded = fresh.join(target, "request", "left").join(rides, "stop").withColumn("start_s", leave.cast("bigint")).where(F.col("start_s") <= last_s)
         ride = F.array(F.struct(F.lit("RIDE").alias("kind"), "route_id", "direction", F.col("stop").alias("from_stop"), F.col("to_stop").alias("to_stop"), (F.col("start_s") + F.col("o1")).alias("start_s"), (F.col("start_s") + F.col("o1") + F.col("ride_s")).alias("end_s")))
-        reached = _least(boarded.select("request", F.col("to_stop").alias("stop"), (F.col("start_s") + F.col("o1") + F.col("ride_s")).alias("arrival_s"), F.concat("legs", ride).cast(LEGS).alias("legs")))
-        target = best.join(requests.select("request", F.col("to_stop").alias("stop")), ["request", "stop"]).select("request", F.col("arrival_s").alias("bound_s"))
+        landed = boarded.select("request", F.col("to_stop").alias("stop"), (F.col("start_s") + F.col("o1") + F.col("ride_s")).alias("arrival_s"), F.concat("legs", ride).cast(LEGS).alias("legs"), "bound_s").where(in_time).drop("bound_s")
+        reached = _least(landed.join(wanted[k], ["request", "stop"], "left_semi") if k in wanted else landed)
         known = best.select("request", "stop", F.col("arrival_s").alias("known_s"))
-        better = walked(reached).join(known, ["request", "stop"], "left").join(target, "request", "left").where("(known_s is null or arrival_s < known_s) and (bound_s is null or arrival_s < bound_s)")
+        better = walked(reached).join(known, ["request", "stop"], "left").join(target, "request", "left").where("known_s is null or arrival_s < known_s").where(in_time)
         fresh = stored(better.select("request", "stop", "arrival_s", "legs"), f"{where}/round-{k}")
         if fresh.isEmpty():
             break
-        done = fresh.join(requests.select("request", F.col("to_stop").alias("stop")), ["request", "stop"]).select("request", F.lit(k).alias("rides"), "arrival_s", "legs")
+        done = fresh.join(goal, ["request", "stop"]).select("request", F.lit(k).alias("rides"), "arrival_s", "legs")
         out = done if out is None else out.unionByName(done)
-        best = stored(_least(best.unionByName(fresh)), f"{where}/best-{k}")
+        if k < rounds:
+            best = stored(_least(best.unionByName(fresh)), f"{where}/best-{k}")
     return out if out is not None else requests.sparkSession.createDataFrame([], f"request bigint, rides int, arrival_s bigint, legs {LEGS}")

@@ -15,7 +15,7 @@ from wayfold.operators import routing as r
 from wayfold.operators import views as v
 from wayfold.plans.book import Book
 from wayfold.plans.business import NORM
-from wayfold.plans.fleet import SEGMENTS_SQL, SNAP_SQL, stop_transfers
+from wayfold.plans.fleet import SEGMENTS_SQL, SNAP_SQL, walks
 from wayfold.sources.transit import Transit, haversine_sql
 
 book = Book()
@@ -61,11 +61,24 @@ def one_transfer_journeys(t: Transit) -> DataFrame:
     return r.one_transfer_journeys(_asked(t), _pairs(t))
 
 
+def line_walks(t: Transit, asked: DataFrame, most_s: int) -> DataFrame:
+    """The walks of stop_transfers of at most most_s that a journey can have: to or from a stop on a line, or from its first stop to its last."""
+    s = t.stops.where("is_active").select("stop_id", "lat", "lon")
+    metres = (most_s + 1) * r.WALK_MS
+    met = walks(s, s.join(t.route_stops.select("stop_id").distinct(), "stop_id", "left_semi"), metres).select("from_stop", "to_stop", "walk_s")
+    ends = asked.select("from_stop", "to_stop").distinct()
+    ends = ends.join(s.toDF("from_stop", "lat", "lon"), "from_stop").join(s.toDF("to_stop", "r_lat", "r_lon"), "to_stop")
+    m = F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")), 3)
+    own = ends.where(m <= metres).select("from_stop", "to_stop", F.greatest(F.lit(1), F.round(m / r.WALK_MS).cast("bigint")).alias("walk_s"))
+    back = met.select(F.col("to_stop").alias("from_stop"), F.col("from_stop").alias("to_stop"), "walk_s")
+    return met.unionByName(back).unionByName(own).where(F.col("walk_s") <= most_s).distinct()
+
+
 @query()
 def raptor_journeys(t: Transit) -> DataFrame:
     """Earliest arrivals at 8:00 between stops, by number of rides; rounds are iterative."""
     asked = _asked(t).withColumn("departure_s", F.lit(8 * 3600).cast("bigint"))
-    return rp.journeys(asked, _timetable(t), stop_transfers(t).where("walk_s <= 400")).select("request", "rides", "arrival_s", F.size("legs").alias("legs"), F.to_json("legs").alias("path"))
+    return rp.journeys(asked, _timetable(t), line_walks(t, asked, 400)).select("request", "rides", "arrival_s", F.size("legs").alias("legs"), F.to_json("legs").alias("path"))
 
 
 @query("SELECT plan_id, option_no, minutes, transfers, walk_min FROM options o WHERE walk_min = 0 OR NOT EXISTS (SELECT 1 FROM options p WHERE p.plan_id = o.plan_id AND p.minutes <= o.minutes AND p.transfers <= o.transfers AND p.walk_min <= o.walk_min AND (p.minutes < o.minutes OR p.transfers < o.transfers OR p.walk_min < o.walk_min))")
@@ -150,7 +163,7 @@ def direction_by_course(t: Transit) -> DataFrame:
     """The direction whose nearest segment runs the way the vehicle does."""
     segs = j.segments(t.placed_stops).where("direction = 0")
     points = t.vehicles.where("lat is not null and route_id is not null").select("vehicle_id", "route_id", F.lit(0).alias("direction"), "lat", "lon")
-    met = j.snap(points, segs, ["route_id", "direction"], "vehicle_id").join(segs, ["route_id", "direction", "segment"]).join(t.vehicles.select("vehicle_id", "course"), "vehicle_id")
+    met = j.snap(points, segs, ["route_id", "direction"], "vehicle_id").join(F.broadcast(segs), ["route_id", "direction", "segment"]).join(t.vehicles.select("vehicle_id", "course"), "vehicle_id")
     off = geo.angle_between(F.col("course"), geo.planar_course(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
     return met.select("vehicle_id", F.when(off <= 90, 0).otherwise(1).alias("direction_by_course"))
 
