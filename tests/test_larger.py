@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from wayfold.operators import joins as j
+from wayfold.operators import motion
 from wayfold.operators import tracks as k
 from wayfold.plans import fleet, history
 from wayfold.sources.transit import Transit
@@ -43,3 +44,15 @@ def test_a_row_meets_its_line_as_an_array(spark):
     t = Transit(spark, "/root/testdata/sf0.001")
     assert "array_min" in plan(fleet.nearest_stop(t)) and "array_min" in plan(fleet.snap_to_route(t))
     assert "filter(stops" in plan(history.stop_visits(t)) and "filter(stops" in plan(history.next_stops(t))
+
+
+def test_calm_seconds_are_those_of_single_steps():
+    """Seconds taken at once equal seconds one by one, in every mode and beyond both timeouts."""
+    for mode, v in (("TRACKING", 9.5), ("DWELL", 0.0), ("OFF_ROUTE", 3.0), ("AT_TERMINAL", 0.0), ("GPS_LOST", 7.1), ("DEPARTING", 1.0)):
+        one, many = (motion.State(t_us=1_000_000, advanced_us=1_000_000, x=100.3, v=v, mode=mode) for _ in range(2))
+        for until in range(2_000_000, 120_000_000, 1_000_000):
+            motion.predict(one, until, 1500.0)
+        motion.predict(one, 120_400_000, 1500.0)
+        assert motion.calm_seconds(many, 120_400_000) in ((0,) if mode == "DEPARTING" else (15, 90))
+        motion.predict(many, 120_400_000, 1500.0)
+        assert one.row() == many.row()

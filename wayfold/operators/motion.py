@@ -43,18 +43,21 @@ class Line:
         self.k, self.x, self.y = k, lon * k, lat * DEGREE_PLANE_M
         self.cum = np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(self.x), np.diff(self.y)))])
         self.length, self.stops = float(self.cum[-1]), self.cum
+        dx, dy = np.diff(self.x), np.diff(self.y)
+        n = dx * dx + dy * dy
+        self.parts = self.x[:-1], self.y[:-1], self.cum[:-1], dx, dy, np.where(n > 0, n, 1), n > 0, np.sqrt(n)
 
     def snap(self, lat: float, lon: float, low: float = -math.inf, high: float = math.inf) -> tuple[float, float]:
         """(position, distance) of the nearest point between two positions; of the whole line if none is between."""
         px, py = lon * self.k, lat * DEGREE_PLANE_M
-        dx, dy = np.diff(self.x), np.diff(self.y)
-        n = dx * dx + dy * dy
-        t = np.clip(np.where(n > 0, ((px - self.x[:-1]) * dx + (py - self.y[:-1]) * dy) / np.where(n > 0, n, 1), 0), 0, 1)
-        at = self.cum[:-1] + t * np.sqrt(n)
-        d = np.hypot(self.x[:-1] + t * dx - px, self.y[:-1] + t * dy - py)
-        near = (at >= low) & (at <= high)
-        d = np.where(near, d, np.inf) if near.any() else d
-        i = int(np.argmin(d))
+        x, y, cum, dx, dy, n, long, sides = self.parts
+        t = np.minimum(np.maximum(np.where(long, ((px - x) * dx + (py - y) * dy) / n, 0.0), 0.0), 1.0)
+        at = cum + t * sides
+        d = np.hypot(x + t * dx - px, y + t * dy - py)
+        if low > -math.inf or high < math.inf:
+            near = (at >= low) & (at <= high)
+            d = np.where(near, d, np.inf) if near.any() else d
+        i = int(d.argmin())
         return float(at[i]), float(d[i])
 
 
@@ -93,9 +96,34 @@ STATE = (
 )
 
 
+def calm_seconds(s: State, until_us: int) -> int:
+    """Whole seconds up to a time in which `predict` changes position and variance only."""
+    whole = (until_us - s.advanced_us) // 1_000_000
+    if s.mode in ("DEPARTING", "NO_GPS"):
+        return whole if s.mode == "NO_GPS" else 0
+    limit = GONE_S if s.mode in ("OFF_ROUTE", "AT_TERMINAL", "GPS_LOST") else LOST_S
+    return max(0, min(whole, (int(limit * 1e6) - s.advanced_us + s.t_us) // 1_000_000))
+
+
+def coast(s: State, n: int, length: float) -> Iterator[tuple[float, float]]:
+    """(position, variance) of each of the next n calm seconds; the state is as after them at the end."""
+    moves = s.mode not in ("DWELL", "NO_GPS", "OFF_ROUTE", "AT_TERMINAL")
+    x, v, (a, b, c) = s.x, s.v, s.p
+    for _ in range(n):
+        if moves:
+            x = min(max(x + v, 0.0), length)
+        a, b, c = a + 2.0 * b + c + Q_POS, b + c, c + Q_VEL
+        yield x, a
+    s.x, s.p, s.advanced_us = x, [a, b, c], s.advanced_us + n * 1_000_000
+
+
 def predict(s: State, until_us: int, length: float) -> None:
     """Move on to a time in steps of a second since the last fix; no motion while standing, and none beyond the line."""
     while s.advanced_us < until_us:
+        if n := calm_seconds(s, until_us):
+            for _ in coast(s, n, length):
+                pass
+            continue
         step = min((until_us - s.advanced_us) / 1e6, 1.0)
         s.advanced_us = min(s.advanced_us + 1_000_000, until_us)
         since = (s.advanced_us - s.t_us) / 1e6
@@ -284,6 +312,11 @@ class Follower:
         length = self.lines[s.direction].length
         while s.mode != "NO_GPS" and (at := s.advanced_us + 1_000_000) <= until_us:
             before = s.mode
+            if n := calm_seconds(s, until_us):
+                mode, direction, trip, v, began = s.mode, s.direction, s.trip, s.v, s.advanced_us
+                for i, (x, variance) in enumerate(coast(s, n, length), 1):
+                    yield began + i * 1_000_000, None, mode, "", direction, trip, x, v, variance, None
+                continue
             predict(s, at, length)
             yield self._row(at, None, s.mode if s.mode != before else "", None)
 
@@ -320,7 +353,9 @@ def follow(fixes: DataFrame, placed_stops: DataFrame, seconds: bool = False, unt
     first = known.join(line_table(placed_stops), "route_id")
     first = first.join(states.select("vehicle_id", "route_id", "state"), ["vehicle_id", "route_id"], "left") if states is not None else first.withColumn("state", F.lit(None).cast(f"struct<{STATE_FIELDS}>"))
     rows = fixes.select(*columns).unionByName(first, allowMissingColumns=True).select(*columns, "lines", "state")
-    dealt = rows.repartition("vehicle_id").sortWithinPartitions("vehicle_id", "route_id", F.col("t_us").asc_nulls_first(), "fix_id")
+    # A number of parts, as those left to adaptive execution are few: it goes by bytes, and the fold is slow by its rows.
+    parts = int(fixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "vehicle_id").sortWithinPartitions("vehicle_id", "route_id", F.col("t_us").asc_nulls_first(), "fix_id")
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, who = None, None
