@@ -33,6 +33,8 @@ MOST_ROUNDS, LEFT = 6, 2
 PAIR_ROWS, BLOCK_ROWS = 64, 512
 #: Bits of the hash by which shingles are counted: a table of 2 to that many counts goes to the driver and the tasks.
 COUNT_BITS = 18
+#: Tasks that add these tables up.
+SUM_TASKS = 8
 #: Words kept by a Python worker.
 CACHE_WORDS = 400_000
 _WEIGHTS = np.random.default_rng(20).integers(0, 1 << 64, 16, np.uint64, endpoint=False) | np.uint64(1)
@@ -213,18 +215,27 @@ def _bucket(s: np.ndarray) -> np.ndarray:
 def usual_counts(held: DataFrame) -> np.ndarray:
     """How many sets have a shingle, by a hash of it: a table of fixed size, whatever the number of sets. held: shingles."""
 
+    def table(n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["counts"])
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
             for raw in batch.column(0):
                 np.add.at(n, _bucket(np.frombuffer(raw.as_py(), np.uint64)), 1)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["b", "n"])
+        yield from table(n)
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                n += np.frombuffer(raw.as_py(), np.int64)
+        yield from table(n)
 
-    counts = held.select("shingles").mapInArrow(count, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << COUNT_BITS, np.int64)
-    out[counts.column("b").to_numpy()] = counts.column("n").to_numpy()
-    return out
+    # A row for each task, not for each count; the tasks' tables are added up in a few.
+    tables = held.select("shingles").mapInArrow(count, "counts binary").repartition(SUM_TASKS).mapInArrow(add, "counts binary").toArrow()
+    return sum((np.frombuffer(t.as_py(), np.int64) for t in tables.column(0)), np.zeros(1 << COUNT_BITS, np.int64))
 
 
 def first_shingles(members: DataFrame, sets: DataFrame, share: Share, where: str) -> DataFrame:
