@@ -1,15 +1,19 @@
 """Round-based earliest arrival over a timetable, all requests at once.
 
-A round is a join: labels (request, stop, arrival) board every line that calls at their stop, at the first
-departure from then on, ride to all later stops, and walk one transfer. Labels improve by a minimum; a round
-goes on from stops that improved only, and arrivals no better than the target's are pruned. Labels carry their
-legs, so paths need no pointers back. Each round is a written table.
+Requests that can walk to the same stops of lines, in the same seconds from the same departure, share one search: a
+source. Targets that are walked to from the same stops are one as well. So searches grow with the places that differ
+for the lines, not with the requests, and only results come back to each request.
+
+A round is a join: labels (source, stop, arrival) board every line that calls at their stop, at the first departure
+from then on, ride to all later stops, and walk one transfer. Labels improve by a minimum; a round goes on from stops
+that improved only. Labels carry their legs, so paths need no pointers back. Each round is a written table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from wayfold.operators.storage import scratch, stored
 
@@ -23,9 +27,25 @@ def boardings(timetable: DataFrame) -> DataFrame:
     return a.join(b, ["route_id", "direction"]).where("p1 < p2 and stop <> to_stop").select("route_id", "direction", "stop", "to_stop", "o1", (F.col("o2") - F.col("o1")).alias("ride_s"))
 
 
-def _least(labels: DataFrame) -> DataFrame:
-    best = labels.groupBy("request", "stop").agg(F.min(F.struct("arrival_s", F.size("legs").alias("n"), "legs")).alias("b"))
-    return best.select("request", "stop", F.col("b.arrival_s").alias("arrival_s"), F.col("b.legs").alias("legs"))
+def _least(labels: DataFrame, *by: str) -> DataFrame:
+    best = labels.groupBy(*by).agg(F.min(F.struct("arrival_s", F.size("legs").alias("n"), "legs")).alias("b"))
+    return best.select(*by, F.col("b.arrival_s").alias("arrival_s"), F.col("b.legs").alias("legs"))
+
+
+def _leg(kind: str, route_id: Column, direction: Column, from_stop: str, to_stop: str, start_s: Column, seconds: Column) -> Column:
+    return F.array(F.struct(F.lit(kind).alias("kind"), route_id.cast("bigint").alias("route_id"), direction.cast("int").alias("direction"), F.col(from_stop).alias("from_stop"), F.col(to_stop).alias("to_stop"), start_s.alias("start_s"), (start_s + seconds).alias("end_s"))).cast(LEGS)
+
+
+def _walk(from_stop: str, to_stop: str, start_s: str) -> Column:
+    """The leg of walk_s, none where that is null."""
+    walk = _leg("WALK", F.lit(None), F.lit(None), from_stop, to_stop, F.col(start_s), F.col("walk_s"))
+    return F.when(F.col("walk_s").isNotNull(), walk).otherwise(F.array().cast(LEGS))
+
+
+def shared(ways: DataFrame, stop: str, name: str) -> DataFrame:
+    """stop, its ways (stop, walk_s) in order, and as `name` the first of the stops that have the same ones. ways: `stop`, way, walk_s."""
+    listed = ways.groupBy(stop).agg(F.sort_array(F.collect_set(F.struct(F.col("way").alias("stop"), "walk_s"))).alias("ways"))
+    return listed.join(listed.groupBy("ways").agg(F.min(stop).alias(name)), "ways")
 
 
 def journeys(requests: DataFrame, timetable: DataFrame, transfers: DataFrame, rounds: int = 4, first_s: int = 6 * 3600, last_s: int = 23 * 3600, headway_s: int = 600) -> DataFrame:
@@ -34,51 +54,60 @@ def journeys(requests: DataFrame, timetable: DataFrame, transfers: DataFrame, ro
     requests: request, from_stop, to_stop, departure_s. transfers: from_stop, to_stop, walk_s. Lines run every
     headway_s from first_s to last_s. Riding one line twice in a journey is allowed only by leaving it between.
 
-    Only labels that can come to the target are made: walks lead to stops of lines or to the target, requests whose
-    target no line comes near have no journey, and in the last two rounds rides end where none or one more is needed.
+    Requests whose start or target no line comes near have no journey. A search has no target, so none is pruned by
+    it but in the last round; results are the same, as what arrives no earlier at a stop cannot do so later on.
     """
     where = scratch(requests.sparkSession, "journeys")
     rides = stored(boardings(timetable), f"{where}/rides")
     boarded_at, left_at = rides.select("stop").distinct(), rides.select(F.col("to_stop").alias("stop")).distinct()
-    walking = stored(transfers.select(F.col("from_stop").alias("stop"), "to_stop", "walk_s"), f"{where}/walks")
+    walking = stored(transfers.groupBy("from_stop", "to_stop").agg(F.min("walk_s").alias("walk_s")), f"{where}/walks")
+    # a way without seconds: the stop itself, to which nobody walks
+    here = lambda stops, name: stops.select(F.col("stop").alias(name), F.col("stop").alias("way"), F.lit(None).cast("bigint").alias("walk_s"))
     links = walking.join(boarded_at.withColumnRenamed("stop", "to_stop"), "to_stop", "left_semi")
-    none = F.array().cast(LEGS)
-    walk = F.array(F.struct(F.lit("WALK").alias("kind"), F.lit(None).cast("bigint").alias("route_id"), F.lit(None).cast("int").alias("direction"), F.col("stop").alias("from_stop"), F.col("to_stop").alias("to_stop"), F.col("arrival_s").alias("start_s"), (F.col("arrival_s") + F.col("walk_s")).alias("end_s")))
-    goal = requests.select("request", F.col("to_stop").alias("stop"))
-    # stops from which one walks to the target: where lines stop, and the first one
-    home = requests.select("request", "to_stop", F.col("from_stop").alias("stop")).distinct()
-    doors = requests.select("request", "to_stop").distinct().join(walking.join(left_at, "stop", "left_semi"), "to_stop").unionByName(home.join(walking, ["to_stop", "stop"])).distinct()
-    doors = stored(doors.select("request", "stop", "to_stop", "walk_s"), f"{where}/doors")
-    ends = stored(goal.unionByName(doors.select("request", "stop")).distinct().join(left_at, "stop", "left_semi").select("request", "stop"), f"{where}/ends")
-    before = ends.join(rides.select("stop", "to_stop").distinct().toDF("board", "stop"), "stop").select("request", F.col("board").alias("stop"))
-    walked_to = before.join(links.select("stop", F.col("to_stop")).toDF("from", "stop"), "stop").select("request", F.col("from").alias("stop"))
-    wanted = {rounds: ends, rounds - 1: ends.unionByName(before).unionByName(walked_to).distinct()}
-
-    def walked(labels: DataFrame) -> DataFrame:
-        on = labels.join(links, "stop").unionByName(labels.join(doors, ["request", "stop"]).select(*labels.columns, "to_stop", "walk_s"))
-        on = on.select("request", F.col("to_stop").alias("stop"), (F.col("arrival_s") + F.col("walk_s")).alias("arrival_s"), F.concat("legs", walk).cast(LEGS).alias("legs"))
-        return _least(labels.unionByName(on))
-
-    asked = requests.join(ends.select("request").distinct(), "request", "left_semi")
-    start = asked.select("request", F.col("from_stop").alias("stop"), F.col("departure_s").alias("arrival_s"), none.alias("legs"))
-    best = fresh = stored(walked(start), f"{where}/round-0")
-    out = None
+    doors = walking.join(left_at.withColumnRenamed("stop", "from_stop"), "from_stop", "left_semi")
+    out_of = links.select("from_stop", F.col("to_stop").alias("way"), "walk_s").unionByName(here(boarded_at, "from_stop"))
+    into = doors.select("to_stop", F.col("from_stop").alias("way"), "walk_s").unionByName(here(left_at, "to_stop"))
+    origins = stored(shared(out_of.join(requests.select("from_stop").distinct(), "from_stop", "left_semi"), "from_stop", "origin"), f"{where}/origins")
+    targets = stored(shared(into.join(requests.select("to_stop").distinct(), "to_stop", "left_semi"), "to_stop", "target"), f"{where}/targets")
+    source = F.struct("origin", "departure_s").alias("source")
+    asked = requests.where("from_stop <> to_stop").join(origins.select("from_stop", "origin"), "from_stop").join(targets.select("to_stop", "target"), "to_stop")
+    asked = stored(asked.select("request", "from_stop", "to_stop", "departure_s", source, "target"), f"{where}/asked")
+    ends = targets.where("to_stop = target").select("target", F.inline("ways"))
+    wanted = stored(asked.select("source", "target").distinct().join(ends, "target"), f"{where}/wanted")
+    between = stored(links.join(left_at.withColumnRenamed("stop", "from_stop"), "from_stop", "left_semi").withColumnRenamed("from_stop", "stop"), f"{where}/between")
+
+    begun = asked.select("source").distinct().select("source", "source.origin", "source.departure_s").join(origins.where("from_stop = origin").select("origin", F.inline("ways")), "origin")
+    start = begun.select("source", "stop", (F.col("departure_s") + F.coalesce("walk_s", F.lit(0))).alias("arrival_s"), _walk("origin", "stop", "departure_s").alias("legs"))
+    best = fresh = stored(_least(start, "source", "stop"), f"{where}/round-0")
+    found = []
     for k in range(1, rounds + 1):
         ready = F.greatest(F.col("arrival_s") - F.col("o1") - first_s, F.lit(0))
         leave = first_s + F.ceil(ready / headway_s) * headway_s
-        target = stored(best.join(goal, ["request", "stop"]).select("request", F.col("arrival_s").alias("bound_s")), f"{where}/bound-{k}")
-        in_time = "bound_s is null or arrival_s < bound_s"
-        boarded = fresh.join(target, "request", "left").join(rides, "stop").withColumn("start_s", leave.cast("bigint")).where(F.col("start_s") <= last_s)
-        ride = F.array(F.struct(F.lit("RIDE").alias("kind"), "route_id", "direction", F.col("stop").alias("from_stop"), F.col("to_stop").alias("to_stop"), (F.col("start_s") + F.col("o1")).alias("start_s"), (F.col("start_s") + F.col("o1") + F.col("ride_s")).alias("end_s")))
-        landed = boarded.select("request", F.col("to_stop").alias("stop"), (F.col("start_s") + F.col("o1") + F.col("ride_s")).alias("arrival_s"), F.concat("legs", ride).cast(LEGS).alias("legs"), "bound_s").where(in_time).drop("bound_s")
-        reached = _least(landed.join(wanted[k], ["request", "stop"], "left_semi") if k in wanted else landed)
-        known = best.select("request", "stop", F.col("arrival_s").alias("known_s"))
-        better = walked(reached).join(known, ["request", "stop"], "left").join(target, "request", "left").where("known_s is null or arrival_s < known_s").where(in_time)
-        fresh = stored(better.select("request", "stop", "arrival_s", "legs"), f"{where}/round-{k}")
+        boarded = fresh.join(rides, "stop").withColumn("start_s", leave.cast("bigint")).where(F.col("start_s") <= last_s)
+        if k == rounds:
+            boarded = boarded.join(wanted.select("source", F.col("stop").alias("to_stop")).distinct(), ["source", "to_stop"], "left_semi")
+        ride = _leg("RIDE", F.col("route_id"), F.col("direction"), "stop", "to_stop", F.col("start_s") + F.col("o1"), F.col("ride_s"))
+        landed = boarded.select("source", F.col("to_stop").alias("stop"), (F.col("start_s") + F.col("o1") + F.col("ride_s")).alias("arrival_s"), F.concat("legs", ride).alias("legs"))
+        reached = stored(_least(landed, "source", "stop"), f"{where}/reached-{k}")
+        found.append(reached.withColumn("rides", F.lit(k)))
+        if k == rounds:
+            break
+        on = reached.join(between, "stop").select("source", F.col("to_stop").alias("stop"), (F.col("arrival_s") + F.col("walk_s")).alias("arrival_s"), F.concat("legs", _walk("stop", "to_stop", "arrival_s")).alias("legs"))
+        known = best.select("source", "stop", F.col("arrival_s").alias("known_s"))
+        better = _least(reached.unionByName(on), "source", "stop").join(known, ["source", "stop"], "left").where("known_s is null or arrival_s < known_s")
+        fresh = stored(better.select("source", "stop", "arrival_s", "legs"), f"{where}/round-{k}")
         if fresh.isEmpty():
             break
-        done = fresh.join(goal, ["request", "stop"]).select("request", F.lit(k).alias("rides"), "arrival_s", "legs")
-        out = done if out is None else out.unionByName(done)
-        if k < rounds:
-            best = stored(_least(best.unionByName(fresh)), f"{where}/best-{k}")
-    return out if out is not None else requests.sparkSession.createDataFrame([], f"request bigint, rides int, arrival_s bigint, legs {LEGS}")
+        if k < rounds - 1:
+            best = stored(_least(best.unionByName(fresh), "source", "stop"), f"{where}/best-{k}")
+
+    come = None
+    for reached in found:
+        come = reached if come is None else come.unionByName(reached)
+    come = come.join(wanted, ["source", "stop"]).select("source", "target", "rides", (F.col("arrival_s") + F.coalesce("walk_s", F.lit(0))).alias("arrival_s"), F.concat("legs", _walk("stop", "target", "arrival_s")).alias("legs"))
+    fewer = W.partitionBy("source", "target").orderBy("rides").rowsBetween(W.unboundedPreceding, -1)
+    come = _least(come, "source", "target", "rides").withColumn("bound_s", F.min("arrival_s").over(fewer)).where("bound_s is null or arrival_s < bound_s").drop("bound_s")
+    afoot = asked.select("request", "from_stop", "to_stop", "departure_s", "source", "target").join(walking, ["from_stop", "to_stop"], "left")
+    own = F.transform("legs", lambda leg, i: leg.withField("from_stop", F.when(i == 0, F.col("from_stop")).otherwise(leg["from_stop"])).withField("to_stop", F.when(i == F.size("legs") - 1, F.col("to_stop")).otherwise(leg["to_stop"])))
+    met = come.join(afoot, ["source", "target"]).where("walk_s is null or arrival_s < departure_s + walk_s")
+    return met.select("request", "rides", "arrival_s", own.cast(LEGS).alias("legs"))
