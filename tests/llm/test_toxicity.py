@@ -42,6 +42,13 @@ def test_held_out_labels_do_not_matter(spark):
     assert models[0] == models[1]
 
 
+def test_order_of_rows_does_not_matter(spark):
+    docs, labels, _ = corpus(400)
+    frame, marked = docs_table(spark, docs), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    turned = frame.orderBy(F.desc("doc_id")).coalesce(1)
+    assert t.train(frame, marked) == t.train(turned, marked)
+
+
 def test_negative_part_is_not_driven_below_zero():
     rng = np.random.default_rng(1)
     rows = [np.array([0]) if k < 20 else np.array([1 + k % 3]) for k in range(120)]

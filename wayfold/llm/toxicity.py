@@ -142,8 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         positive = pdf["positive"].to_numpy()
         if positive.all() or not positive.any():
             return pd.DataFrame({"weights": []})
-        rows = [np.array([known[f] for f in fs if f in known], np.int64) for fs in pdf["features"]]
-        return pd.DataFrame({"weights": [train_shard(rows, positive, len(known), prior)]})
+        ids = [[known[f] for f in fs if f in known] for fs in pdf["features"]]
+        # A shuffle hands on rows in any order, and sums of doubles depend on it.
+        order = sorted(range(len(ids)), key=lambda k: (positive[k], ids[k]))
+        return pd.DataFrame({"weights": [train_shard([np.array(ids[k], np.int64) for k in order], positive[order], len(known), prior)]})
 
     # Few positives are kept together: a shard needs enough of them.
     groups = max(1, sizes[1] // SHARD_POSITIVES)
@@ -155,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         own = F.pmod(F.col("shard"), F.lit(groups))
         dealt = sample.withColumn("shard", F.explode(F.when(F.col("positive") == 1, F.sequence(own, F.lit(shards - 1).cast("bigint"), F.lit(groups).cast("bigint"))).otherwise(F.array(F.pmod(F.col("shard"), F.lit(shards))))))
     made = dealt.groupBy("shard").applyInPandas(fit, "weights array<double>")
-    fitted = [r["w"] for r in made.select(F.posexplode("weights").alias("i", "w")).groupBy("i").agg(F.avg("w").alias("w")).orderBy("i").collect()]
+    mean = F.aggregate(F.array_sort(F.collect_list("w")), F.lit(0.0), lambda a, w: a + w) / F.count("w")
+    fitted = [r["w"] for r in made.select(F.posexplode("weights").alias("i", "w")).groupBy("i").agg(mean.alias("w")).orderBy("i").collect()]
     if not fitted:
         return Model({}, math.log(prior / (1 - prior)))
     return Model(dict(zip(vocabulary, fitted, strict=False)), fitted[-1])
